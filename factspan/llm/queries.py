@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factspan.llm import decontaminate, minhash
+from factspan.llm import bpe, decontaminate, minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.minhash_report(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_report(_table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = rf"""
@@ -55,6 +59,7 @@ FROM d LEFT JOIN c USING (doc_id) JOIN m USING (doc_id)
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_minhash": op4_minhash,
+    "op7_bpe": op7_bpe,
 }
 
 ORACLE_SQL = {
