@@ -48,8 +48,10 @@ class Vocabulary:
     """A byte-level BPE with word ends, read from a tokenizers file; lower-cases and splits as that file says."""
 
     def __init__(self, path: str | None = None):
-        with open(path or default_path(), encoding="utf-8") as f:
-            spec = json.load(f)
+        with open(path or default_path(), "rb") as f:
+            raw_spec = f.read()
+        self.key = hashlib.sha256(raw_spec).hexdigest()
+        spec = json.loads(raw_spec)
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
         byte = _byte_chars()
         raw = lambda t: bytes(byte[c] for c in t.removesuffix(suffix)) + (_END if t.endswith(suffix) else b"")
@@ -211,12 +213,16 @@ class Encoder:
             self.long = False
 
 
+#: A worker's encoder, kept from task to task.
+_encoders: dict[str, Encoder] = {}
+
+
 def _encoder(vocabulary) -> Encoder:
-    known = globals().setdefault("_encoders", {})
-    if vocabulary.id not in known:
-        known.clear()
-        known[vocabulary.id] = Encoder(vocabulary.value)
-    return known[vocabulary.id]
+    v = vocabulary.value
+    if v.key not in _encoders:
+        _encoders.clear()
+        _encoders[v.key] = Encoder(v)
+    return _encoders[v.key]
 
 
 def _hex(text: str) -> str:
