@@ -28,7 +28,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/factspan-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``written`` that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -75,7 +84,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        e = written(small, "cc")
+        old, e = e, written(small, "cc")
+        discard(old)
         now = _mark(e, F.col("u"), F.col("v"))
         if now == before:
             break
