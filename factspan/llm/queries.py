@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factspan.llm import bpe, decontaminate, minhash, suffixes, toxicity
+from factspan.llm import bpe, decontaminate, embeddings, langid, minhash, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.vector_links(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.minhash_report(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
@@ -66,13 +74,29 @@ FROM d LEFT JOIN c USING (doc_id) JOIN m USING (doc_id)
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_embeddings": op2_embeddings,
+    "op3_language": op3_language,
     "op4_minhash": op4_minhash,
     "op7_bpe": op7_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+       AND len(list_filter(x, lambda c: c <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+      WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, component_id = v.vec_id AS kept
+FROM v JOIN m USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
 ORACLE_SQL = {
     "op1_decontamination": OP1_SQL,
+    "op2_embeddings": OP2_SQL,
     "op4_minhash": OP4_SQL,
 }
