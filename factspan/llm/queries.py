@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factspan.llm import bpe, decontaminate, embeddings, langid, minhash, suffixes, toxicity
+from factspan.llm import bpe, decontaminate, embeddings, langid, licenses, minhash, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeat_report(_table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_minhash": op4_minhash,
     "op7_bpe": op7_bpe,
+    "op8_licenses": op8_licenses,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
 }
@@ -99,4 +104,5 @@ ORACLE_SQL = {
     "op1_decontamination": OP1_SQL,
     "op2_embeddings": OP2_SQL,
     "op4_minhash": OP4_SQL,
+    "op8_licenses": licenses.ORACLE_SQL,
 }
