@@ -10,6 +10,7 @@ text's hits add up to into a score.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -23,7 +24,7 @@ from factspan.llm.bytetext import chunks
 from factspan.llm.tables import fresh
 
 #: Bounds of the sample that the model is fitted on: texts of each label, and characters of a text.
-SAMPLE = 4000
+SAMPLE = 2500
 SAMPLE_CHARS = 10_000
 #: Terms of the lexicon, and those of them that are matched within one edit.
 TERMS = 400
@@ -198,10 +199,9 @@ class Model:
         if terms:
             self.weight = np.concatenate([self.weight, np.zeros(len(terms))])
             self._weigh_fuzzy(texts, y, fuzzy)
-            self._fit(self.features(texts), y)
+            self._fit(np.concatenate([self.features(texts[k : k + 100]) for k in range(0, len(texts), 100)]), y)
 
     def _lexicon(self, texts: list[str], y: np.ndarray):
-        sets = [set(words_of(t)) for t in texts]
         n1, n0 = y.sum(), len(y) - y.sum()
 
         def candidates(words: set[str]) -> set[tuple[str, bool]]:
@@ -210,16 +210,17 @@ class Model:
                 out.update((w[:k], True) for k in range(3, min(len(w), 9)))
             return out
 
-        pos: Counter = Counter()
-        for s, t in zip(sets, y, strict=True):
-            if t:
-                pos.update(candidates(s))
         least = max(5, 0.01 * n1)
+        rough = np.zeros(1 << 22, np.int32)  # an upper bound of each candidate's count
+        for t in (t for t, label in zip(texts, y, strict=True) if label):
+            rough[np.fromiter({zlib.crc32(repr(c).encode()) >> 10 for c in candidates(set(words_of(t)))}, np.int64)] += 1
+        pos: Counter = Counter()
+        for t in (t for t, label in zip(texts, y, strict=True) if label):
+            pos.update(c for c in candidates(set(words_of(t))) if rough[zlib.crc32(repr(c).encode()) >> 10] >= least)
         pos = Counter({c: n for c, n in pos.items() if n >= least})
         neg: Counter = Counter()
-        for s, t in zip(sets, y, strict=True):
-            if not t:
-                neg.update(candidates(s) & pos.keys())
+        for t in (t for t, label in zip(texts, y, strict=True) if not label):
+            neg.update(candidates(set(words_of(t))) & pos.keys())
         odds = {c: float(np.log(((n + 0.5) / (n1 + 1)) / ((neg[c] + 0.5) / (n0 + 1)))) for c, n in pos.items()}
         good = {c for c, v in odds.items() if v > 2.0}
         for w, stem in sorted(good, key=lambda c: (-len(c[0]), not c[1])):  # a shorter form that says no more goes
@@ -237,8 +238,8 @@ class Model:
     def _weigh_fuzzy(self, texts: list[str], y: np.ndarray, fuzzy: set[int]) -> None:
         """A near miss weighs what the sample says of it; one that clean texts use weighs nothing."""
         n, seen = len(self.automaton.terms), np.zeros((2, 2 * len(self.automaton.terms)))
-        for at in range(0, len(texts), 500):
-            p = Points(texts[at : at + 500])
+        for at in range(0, len(texts), 100):
+            p = Points(texts[at : at + 100])
             hit = self.automaton.run(p)
             got = np.unique(np.stack([p.text[hit >= 0], hit[hit >= 0]]), axis=1)
             for label in (0, 1):
