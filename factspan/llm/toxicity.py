@@ -284,23 +284,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ self.coef[:-1] + self.coef[-1], -30, 30)))
 
 
-def fit(labelled: DataFrame, *, text: str = "text", label: str = "label", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` texts of each label, those of the smallest hashes, of ``SAMPLE_CHARS`` characters at most.
-
-    Rows with a null or empty text, or a label other than 0 and 1, teach
-    nothing; a text that repeats counts once, as toxic if any of its rows is.
-    Without rows of both labels every score is the share of label 1.
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
+    """Fit on at most ``sample`` documents of each label, those whose ids have the smallest hashes.
+
+    The ids are drawn first, so only their texts are read to the driver; a text
+    of more than ``SAMPLE_CHARS`` characters, a null or an empty one teaches
+    nothing. Labels other than 0 and 1 are ignored; a document or text that
+    repeats is toxic if any of its rows is. Without texts of both labels every
+    score is the share of label 1.
     """
-    known = (
-        labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
-        .where(f"t is not null and y in (0, 1) and length(t) between 1 and {SAMPLE_CHARS}")
-        .groupBy("t")
-        .agg(F.max("y").alias("y"))
+    known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
+    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
+    rows = (
+        docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
+        .where(f"length(t) between 1 and {SAMPLE_CHARS}")
+        .join(F.broadcast(drawn[0].unionByName(drawn[1])), "id")  # at most 2 * sample ids
+        .select("t", "y")
+        .limit(4 * sample)
+        .collect()
     )
-    rows = []
-    for y in (0, 1):
-        rows += known.where(F.col("y") == y).orderBy(F.xxhash64("t"), "t").limit(sample).collect()
-    return Model([r["t"] for r in rows], [r["y"] for r in rows])
+    seen: dict[str, int] = {}
+    for t, y in rows:
+        seen[t] = max(y, seen.get(t, 0))
+    texts = sorted(seen)
+    return Model(texts, [seen[t] for t in texts])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, text: str, name: str) -> Iterator[pa.RecordBatch]:
@@ -322,8 +329,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def fit_labels(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on ``labels.toxic`` of the documents that are not held out."""
-    known = labels.select("doc_id", F.col("toxic").alias("label")).where("label in (0, 1)").where(~held_out())
-    return fit(docs.select("doc_id", "text").join(known, "doc_id").select("text", "label"))
+    return fit(docs, labels.where(~held_out()))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
