@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factspan.llm import bpe, decontaminate, embeddings, langid, licenses, minhash, suffixes, toxicity
+from factspan.llm import bpe, decontaminate, embeddings, langid, licenses, linededup, minhash, suffixes, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.minhash_report(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_report(_table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_report(_table(spark, sf_dir, "documents"))
 
@@ -81,6 +89,8 @@ QUERIES = {
     "op2_embeddings": op2_embeddings,
     "op3_language": op3_language,
     "op4_minhash": op4_minhash,
+    "op5_token_counts": op5_token_counts,
+    "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
     "op8_licenses": op8_licenses,
     "op9_suffix_dedup": op9_suffix_dedup,
@@ -104,5 +114,6 @@ ORACLE_SQL = {
     "op1_decontamination": OP1_SQL,
     "op2_embeddings": OP2_SQL,
     "op4_minhash": OP4_SQL,
+    "op6_line_dedup": linededup.ORACLE_SQL,
     "op8_licenses": licenses.ORACLE_SQL,
 }
