@@ -1,24 +1,52 @@
-"""Five stages that turn ``documents`` into deduplicated, decontaminated, encoded text."""
+"""Five stages that turn ``documents`` into clean, deduplicated, encoded text.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one
+before it kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factspan.llm import bpe, decontaminate, linededup, minhash, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the model is fitted on the labels that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop_toxic(docs, toxicity.fit_labels(docs, labels))
 
-from factspan.llm import decontaminate, minhash
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat or nearly repeat an earlier line go; ``n_chars`` follows the text."""
+    return linededup.drop_repeated_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
     return minhash.drop_near_duplicates(docs)
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark text go."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("near_dedup", near_dedup), ("decontamination", decontamination)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds ``ids`` and ``n_tokens``, and ``decoded``, the text that the ids give back."""
+    return bpe.decode(bpe.encode(docs)).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
 
+#: The first stage is a fitted model and the last a merge algorithm, so SQL cannot express the rows.
 ORACLE_SQL = None
 
 
