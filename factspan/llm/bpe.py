@@ -21,13 +21,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factspan.llm.bytetext import chunks
+from factspan.llm.bytetext import StepTable, chunks
 
 #: Marks the end of a word; no byte of UTF-8.
 _END = b"\xff"
 #: Words kept in a worker's table, and the longest that is kept.
 CACHE = 300_000
 CACHE_LENGTH = 64
+#: Longest words, in bytes, that are handled many at a time.
+TOGETHER = 40
 _NONE = np.int64(1 << 40)
 
 
@@ -58,7 +60,18 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.shown = {i: t for t, i in (model["vocab"] | self.special).items()}
         self.id = {raw(t): i for t, i in model["vocab"].items() if t not in self.special}
-        self.longest = max(map(len, self.id))
+        step: dict[tuple[int, int], int] = {}
+        token = [-1]
+        for t, i in self.id.items():
+            node = 0
+            for c in t:
+                if (node, c) not in step:
+                    step[node, c] = len(token)
+                    token.append(-1)
+                node = step[node, c]
+            token[node] = i
+        self.steps, self.token = StepTable(step, 256), np.array(token)
+        self.single = np.array([[self.id[bytes([b])], self.id[bytes([b]) + _END]] for b in range(255)] + [[-1, -1]])
         n = max(self.shown) + 1
         self.rank, self.left, self.right = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
@@ -68,9 +81,7 @@ class Vocabulary:
             self.merge[a, b] = (r, c)
             if self.rank[c] < 0:
                 self.rank[c], self.left[c], self.right[c] = r, a, b
-        codes = np.array([a << 20 | b for a, b in self.merge], np.int64)
-        order = np.argsort(codes)
-        self.codes, self.merged = codes[order], np.array([r for r, _ in self.merge.values()], np.int64)[order]
+        self.pairs = StepTable({k: r << 20 | c for k, (r, c) in self.merge.items()}, 1 << 20)
         made = np.flatnonzero(self.rank >= 0)
         fine = np.ones(n, bool)
         fine[made] = self.compatible(self.left[made], self.right[made], self.rank[made])
@@ -93,9 +104,8 @@ class Vocabulary:
         until_a = np.full(n, _NONE) if limit is None else limit.copy()
         until_b = until_a - 1
         while len(at):
-            code = a << 20 | b
-            k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            r = np.where(self.codes[k] == code, self.merged[k], _NONE)
+            r = self.pairs.get(a, b)
+            r = np.where(r >= 0, r >> 20, _NONE)
             bad = (r < until_a) & (r <= until_b)
             ok[at[bad]] = False
             go = ~bad & ((self.rank[a] >= 0) | (self.rank[b] >= 0))
@@ -105,16 +115,73 @@ class Vocabulary:
             a, b = np.where(undo_b, a, self.right[a]), np.where(undo_b, self.left[b], b)
         return ok
 
-    def propose(self, word: bytes) -> list[int]:
-        """Longest match from the left; ``word`` ends with the end mark, which never stands alone."""
-        out, at, n, get = [], 0, len(word), self.id.get
-        while at < n:
-            for stop in range(min(n, at + self.longest), at, -1):
-                if stop != n - 1 and (t := get(word[at:stop])) is not None:
-                    out.append(t)
-                    at = stop
-                    break
-        return out
+    def propose(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Longest match from the left, for many words at once: the word and the id of each token, in order.
+
+        Words end with the end mark, which never stands alone.
+        """
+        words, ids, turns = [], [], []
+        live, begin, at = np.arange(len(start)), start.copy(), start.copy()
+        node = np.zeros(len(start), np.int64)
+        best, best_at = np.full(len(start), -1, np.int64), start.copy()
+        turn = 0
+        while len(live):
+            more = at < stop
+            node = np.where(more, self.steps.get(node, data[np.minimum(at, len(data) - 1)].astype(np.int64)), -1)
+            at = at + 1
+            hit = np.where(node >= 0, self.token[node], -1)
+            fine = (hit >= 0) & (at != stop - 1)
+            best, best_at = np.where(fine, hit, best), np.where(fine, at, best_at)
+            done = np.flatnonzero(node < 0)
+            if len(done):
+                words.append(live[done])
+                ids.append(best[done])
+                turns.append(np.full(len(done), turn))
+                begin[done] = at[done] = best_at[done]
+                node[done], best[done] = 0, -1
+                go = begin < stop
+                live, begin, at, node, best, best_at, start, stop = (x[go] for x in (live, begin, at, node, best, best_at, start, stop))
+            turn += 1
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        word, token = np.concatenate(words), np.concatenate(ids)
+        order = np.lexsort((np.concatenate(turns), word))
+        return word[order], token[order]
+
+    def merge_together(self, raw: list[bytes]) -> list[list[int]]:
+        """Merging by rank, leftmost first, one merge in each word at a time."""
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) - 1
+        width = int(size.max(initial=1))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        first = np.cumsum(size + 1) - size - 1
+        cols = np.arange(width)
+        inside = cols < size[:, None]
+        byte = np.where(inside, data[np.minimum(first[:, None] + cols, len(data) - 1)], 255)
+        ids = self.single[byte, (cols == size[:, None] - 1).astype(int)]
+        right = np.concatenate([ids[:, 1:], np.full((len(raw), 1), -1)], 1)
+        found = self.pairs.get(ids.ravel(), right.ravel()).reshape(ids.shape)
+        found = np.where(found >= 0, found, _NONE << 20)
+        out = ids.copy()
+        live = np.arange(len(raw))
+        while len(live):
+            k = found.argmin(1)
+            least = found[np.arange(len(live)), k]
+            go = least < _NONE << 20
+            out[live[~go]] = ids[~go]
+            live, ids, found, k, least = live[go], ids[go], found[go], k[go], least[go]
+            if not len(live):
+                break
+            rows = np.arange(len(live))
+            keep = np.minimum(cols + (cols > k[:, None]), width - 1)  # the symbol after k goes
+            ids, found = np.take_along_axis(ids, keep, 1), np.take_along_axis(found, keep, 1)
+            ids[:, -1], found[:, -1] = -1, _NONE << 20
+            ids[rows, k] = least & ((1 << 20) - 1)
+            for at in (k - 1, k):
+                ok = (at >= 0) & (at < width - 1)
+                left, after = ids[rows[ok], at[ok]], ids[rows[ok], at[ok] + 1]
+                new = self.pairs.get(left, after)
+                found[rows[ok], at[ok]] = np.where(new >= 0, new, _NONE << 20)
+        return [row[: n].tolist() for row, n in zip(out, (out >= 0).sum(1).tolist(), strict=True)]
 
     def merged_exactly(self, word: bytes) -> list[int]:
         """Merging by rank, leftmost first, with a heap over a linked list of symbols."""
@@ -141,16 +208,21 @@ class Vocabulary:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         raw = [w.encode("utf-8", "surrogatepass") + _END for w in words]
-        found = [self.propose(w) for w in raw]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((t for ts in found for t in ts), np.int64, int(size.sum()))
-        owner = np.repeat(np.arange(len(found)), size)
-        bad = np.zeros(len(found), bool)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        stop = np.cumsum(size)
+        owner, flat = self.propose(np.frombuffer(b"".join(raw), np.uint8), stop - size, stop)
+        bad = np.zeros(len(raw), bool)
         bad[owner[~self.reachable[flat]]] = True
         pair = np.flatnonzero(owner[1:] == owner[:-1])
         codes, back = np.unique(flat[pair] << 20 | flat[pair + 1], return_inverse=True)
         bad[owner[pair[~self.compatible(codes >> 20, codes & ((1 << 20) - 1))[back]]]] = True
-        for i in np.flatnonzero(bad).tolist():
+        found = [x.tolist() for x in np.split(flat, np.cumsum(np.bincount(owner, minlength=len(raw)))[:-1])]
+        short = np.flatnonzero(bad & (size <= TOGETHER))
+        for at in range(0, len(short), 20_000):
+            own = short[at : at + 20_000].tolist()
+            for i, ids in zip(own, self.merge_together([raw[i] for i in own]), strict=True):
+                found[i] = ids
+        for i in np.flatnonzero(bad & (size > TOGETHER)).tolist():
             found[i] = self.merged_exactly(raw[i])
         return found
 
@@ -165,21 +237,22 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts with a table of the words met so far."""
+    """Encodes texts with a table of the words met so far: their ids as bytes, or else ids and tokens as text."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.table: dict[str, tuple[int, ...]] = {}
-        self.ids: dict[str, str] = {}
+    def __init__(self, vocabulary: Vocabulary, as_text: bool):
+        self.v, self.as_text = vocabulary, as_text
+        self.ids: dict[str, bytes | str] = {}
         self.shown: dict[str, str] = {}
         for t, i in vocabulary.special.items():
             self._keep(t, [i])
         self.long = False
 
     def _keep(self, word: str, found: list[int]) -> None:
-        self.table[word] = tuple(found)
-        self.ids[word] = " ".join(map(str, found))
-        self.shown[word] = " ".join(map(self.v.shown.__getitem__, found))
+        if self.as_text:
+            self.ids[word] = " ".join(map(str, found))
+            self.shown[word] = " ".join(map(self.v.shown.__getitem__, found))
+        else:
+            self.ids[word] = np.array(found, np.int32).tobytes()
 
     def _words(self, text: str) -> list[str]:
         out: list[str] = []
@@ -190,7 +263,7 @@ class Encoder:
         return out
 
     def _know(self, docs: Iterable[list[str]]) -> None:
-        new = set().union(*docs) - self.table.keys()
+        new = set().union(*docs) - self.ids.keys()
         if new:
             words = list(new)
             for w, found in zip(words, self.v.encode_words(words), strict=True):
@@ -199,8 +272,8 @@ class Encoder:
 
     def _trim(self) -> None:
         """Forget every word beyond the bound, or else the very long ones."""
-        full = len(self.table) > CACHE
-        for d in (self.table, self.ids, self.shown):
+        full = len(self.ids) > CACHE
+        for d in (self.ids, self.shown):
             for w in [w for w in d if w not in self.v.special and (full or len(w) > CACHE_LENGTH)]:
                 del d[w]
 
@@ -208,21 +281,21 @@ class Encoder:
         docs = [self._words(t or "") for t in texts]
         self._know(docs)
         yield from docs
-        if self.long or len(self.table) > CACHE:
+        if self.long or len(self.ids) > CACHE:
             self._trim()
             self.long = False
 
 
 #: A worker's encoder, kept from task to task.
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def _encoder(vocabulary) -> Encoder:
+def _encoder(vocabulary, as_text: bool) -> Encoder:
     v = vocabulary.value
-    if v.key not in _encoders:
+    if (v.key, as_text) not in _encoders:
         _encoders.clear()
-        _encoders[v.key] = Encoder(v)
-    return _encoders[v.key]
+        _encoders[v.key, as_text] = Encoder(v, as_text)
+    return _encoders[v.key, as_text]
 
 
 def _hex(text: str) -> str:
@@ -230,7 +303,7 @@ def _hex(text: str) -> str:
 
 
 def _report(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    enc = _encoder(vocabulary)
+    enc = _encoder(vocabulary, True)
     for batch in batches:
         for rows, _, _ in chunks(batch, "text", 1 << 20):
             n, ids, shown = [], [], []
@@ -243,18 +316,22 @@ def _report(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.Record
 
 
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary, text: str, ids: str) -> Iterator[pa.RecordBatch]:
-    enc = _encoder(vocabulary)
+    enc = _encoder(vocabulary, False)
     for batch in batches:
         for rows, _, _ in chunks(batch, text, 1 << 20):
-            found = [[i for w in words for i in enc.table[w]] for words in enc.texts(rows.column(text).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.list_(pa.int32()))], names=[*rows.schema.names, ids])
+            found = [b"".join(map(enc.ids.__getitem__, words)) for words in enc.texts(rows.column(text).to_pylist())]
+            ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, ids])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], vocabulary, ids: str, text: str) -> Iterator[pa.RecordBatch]:
     shown = vocabulary.value.shown
     for batch in batches:
-        said = [None if x is None else " ".join(shown[i] for i in x if i in shown) for x in batch.column(ids).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], names=[*batch.schema.names, text])
+        for at in range(0, batch.num_rows, 256):
+            rows = batch.slice(at, 256)
+            said = [None if x is None else " ".join(shown[i] for i in x if i in shown) for x in (v.as_py() for v in rows.column(ids))]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(said, pa.string())], names=[*rows.schema.names, text])
 
 
 def _schema(df: DataFrame, name: str, kind: str) -> str:

@@ -127,3 +127,37 @@ class Words:
     def join(self, at: int, n: int) -> bytes:
         raw = self.data
         return b" ".join(raw[self.start[i] : self.stop[i]].tobytes() for i in range(at, at + n))
+
+
+class StepTable:
+    """A map from pairs of small numbers to numbers, for many lookups at once (open addressing)."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int], width: int):
+        self.width = width
+        keys = [a * width + b for a, b in pairs]
+        bits = max(18, (4 * len(keys)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, U64(64 - bits)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        homes = (mix(np.array(keys, np.int64).astype(U64)) >> self.shift).astype(np.int64)
+        for k, at, to in zip(keys, homes.tolist(), pairs.values(), strict=True):
+            while self.keys[at] >= 0:
+                at = (at + 1) & self.mask
+            self.keys[at], self.values[at] = k, to
+
+    def get(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The value of each pair, or -1; pairs with a negative member have none."""
+        key = a * self.width + b
+        at = (mix(key.astype(U64)) >> self.shift).astype(np.int64)
+        found = self.keys[at]
+        known = (a >= 0) & (b >= 0)
+        out = np.where((found == key) & known, self.values[at], -1)
+        todo = np.flatnonzero((found != key) & (found >= 0) & known)
+        spot = at[todo]
+        while len(todo):
+            spot = (spot + 1) & self.mask
+            found = self.keys[spot]
+            hit = found == key[todo]
+            out[todo[hit]] = self.values[spot[hit]]
+            go = ~hit & (found >= 0)
+            todo, spot = todo[go], spot[go]
+        return out

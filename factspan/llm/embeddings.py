@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factspan.llm.tables import connected_components, written
+from factspan.llm.tables import connected_components, discard, settled, written
 
 THRESHOLD = 0.93
 #: Vectors aimed at in a cell, pivots of one label, pivots that are broadcast.
@@ -108,7 +108,7 @@ def vector_links(vectors: DataFrame, *, threshold: float = THRESHOLD, vec_id: st
 
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     placed = known.select("label", "dim", "node", "copies", "vector").mapInPandas(partial(_cells, pivots=units, radius=radius), "label bigint, dim int, cell int, own boolean, node bigint, copies bigint, vector array<double>")
-    placed = written(placed, "cells")
+    cells = placed = written(placed, "cells")
     at = ["label", "dim", "cell"]
     counts = placed.groupBy(*at).agg(F.ceil(F.count_if("own") / BLOCK).alias("rows"), F.ceil(F.count("*") / BLOCK).alias("cols"))
     placed = placed.join(counts, at)
@@ -122,7 +122,8 @@ def vector_links(vectors: DataFrame, *, threshold: float = THRESHOLD, vec_id: st
     group = connected_components(found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = known.select("node", "copies", "least").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    info = named.join(least, "component").join(degree, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), "component_id")
+    info = settled(named.join(least, "component").join(degree, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), "component_id"))
+    discard(known, cells, found)
     out = base.select("vec_id", "node").join(info, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factspan.llm.tables import fresh, written
+from factspan.llm.tables import discard, fresh, settled, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -24,27 +24,23 @@ _FIRST_ID = -(1 << 63)
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(row, doc, no, line)``: a row's key, its document id (null: before all others), and its lines."""
-    return docs.select(F.xxhash64(doc_id, text).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST_ID)).alias("doc"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
-
-
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.lower(line), "\t\r\f\x0b", "    "), " "), "")
+    """``(row, doc, no, words)``: a row's key, its document id (null: before all others), and the word hashes of its lines."""
+    lines = docs.select(F.xxhash64(doc_id, text).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST_ID)).alias("doc"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
+    blank = F.lower("line")
+    for c in "\t\r\f\x0b":
+        blank = F.replace(blank, F.lit(c), F.lit(" "))
+    return lines.select("row", "doc", "no", F.transform(F.array_remove(F.split(blank, " "), ""), lambda w: F.hash(w)).alias("words")).where(F.size("words") > 0)
 
 
 def _with_tokens(df: DataFrame, ranks: Column, n: int) -> DataFrame:
-    """Add ``tokens``: the distinct shingle hashes of ``line``, rarest first, 16 bits of rank over 47 bits of hash.
-
-    The word hashes are a column of their own, so that they are computed once.
-    """
-    rank = lambda x: F.coalesce(F.get(ranks, F.pmod(x, F.lit(BUCKETS)).cast("int")), F.lit(0)).cast("long") * F.lit(1 << 47)
+    """Add ``tokens``: the distinct shingle hashes of ``words``, rarest first, 16 bits of rank over 47 bits of hash."""
+    rank = lambda x: F.coalesce(F.get(ranks, F.pmod(x, F.lit(BUCKETS))), F.lit(0)).cast("long") * F.lit(1 << 47)
     token = lambda first, x: F.coalesce(rank(first) + F.shiftrightunsigned(x, 17), F.lit(0).cast("long"))
     word = lambda i: F.get(F.col("words"), i)
     shingles = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: token(word(i), F.xxhash64(*[word(i + k) for k in range(n)])))
     whole = F.array(token(word(F.lit(0)), F.xxhash64("words")))
-    df = df.withColumn("words", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     df = df.withColumn("shingles", F.when(F.size("words") >= n, shingles).otherwise(whole))
-    return df.withColumn("tokens", F.sort_array(F.array_distinct("shingles"))).drop("words", "shingles")
+    return df.withColumn("tokens", F.sort_array(F.array_distinct("shingles"))).drop("shingles")
 
 
 def _fits(percent: int) -> Column:
@@ -55,31 +51,32 @@ def _fits(percent: int) -> Column:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs of a line and an earlier one, the lines ``(doc, no)`` that are similar to it."""
-    a = sets.select("doc", "no", F.col("tokens").alias("x"))
-    b = sets.select(F.col("doc").alias("fdoc"), F.col("no").alias("fno"), F.col("tokens").alias("y"))
+    """Of distinct pairs ``(id, fid)``, the later lines (of ids ``id``) that are similar to the earlier one."""
+    a = sets.select("id", F.col("tokens").alias("x"))
+    b = sets.select(F.col("id").alias("fid"), F.col("tokens").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    fine = pairs.join(a, ["doc", "no"]).join(b, ["fdoc", "fno"]).where(100 * shared >= percent * (F.size("x") + F.size("y") - shared))
-    return fine.select("doc", "no").distinct()
+    fine = pairs.join(a, "id").join(b, "fid").where(100 * shared >= percent * (F.size("x") + F.size("y") - shared))
+    return fine.select("id").distinct()
 
 
 def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``(row, dropped array<int>)``: places from 0 of the lines of a row that an earlier line repeats.
 
     ``row`` is ``xxhash64(doc_id, text)``. Lines are separated by a line feed;
-    earlier is by document id (null first), then place. A line goes when it
-    equals an earlier line, or when the Jaccard similarity of its distinct
-    shingles of ``shingle`` lower-cased words with those of some earlier line,
-    kept or not, is at least ``percent`` / 100; fewer words are one shingle. A
-    line without words is never dropped. Rows that repeat an id and text are
+    earlier is by document id (null first), then place. A line goes when its
+    words equal those of an earlier line, or when the Jaccard similarity of its
+    distinct shingles of ``shingle`` words with those of some earlier line,
+    kept or not, is at least ``percent`` / 100; fewer words are one shingle.
+    Words are lower-cased and stand between blanks, tabs and other ASCII white
+    space; they are compared by a 32-bit hash, shingles by 63 bits over these.
+    A line without words is never dropped. Rows that repeat an id and text are
     one row here. Rows that lose nothing are not returned.
     """
-    lines = _lines(docs, doc_id, text).where(F.length(F.trim(F.translate("line", "\t\r\f\x0b", "    "))) > 0)
-    keyed = lines.withColumns({"k1": F.xxhash64("line", F.length("line")), "k2": F.hash("line")})
-    known = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "no")).alias("at"), F.first("line").alias("line"))
-    known = written(known.select("k1", "k2", "at.doc", "at.no", "line"), "lines")
+    lines = _lines(docs, doc_id, text).withColumns({"k1": F.xxhash64("words"), "k2": F.hash("words")})
+    known = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "no")).alias("at"), F.first("words").alias("words"))
+    known = written(known.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "at.doc", "at.no", "words"), "lines")
 
-    counts = known.select(F.explode(_words(F.col("line"))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("bucket")).count().collect()
+    counts = known.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).alias("bucket")).count().collect()
     ranks = [0] * BUCKETS
     for rank, r in enumerate(sorted(counts, key=lambda r: (r["count"], r["bucket"]))):
         ranks[r["bucket"]] = rank + 1
@@ -87,24 +84,28 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     size = F.size("tokens")
     prefix = F.slice("tokens", 1, size - F.floor((size * percent + 99) / 100).cast("int") + 1)
-    posts = _with_tokens(known.select("doc", "no", "line"), table, shingle).select("doc", "no", size.alias("n"), F.posexplode(prefix).alias("i", "token"))
-    posts = posts.withColumn("i", F.col("i") + 1).withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
+    posts = _with_tokens(known.select("id", "words"), table, shingle).select("id", F.explode(prefix).alias("token"))
+    posts = posts.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
     posts = written(posts, "posts")
-    sets = posts.select("doc", "no").distinct().join(known, ["doc", "no"])
-    sets = written(_with_tokens(sets, table, shingle).select("doc", "no", "tokens"), "sets")
+    sets = posts.select("id").distinct().join(known.select("id", "doc", "no", "words"), "id")
+    sets = written(_with_tokens(sets, table, shingle).select("id", "doc", "no", "tokens"), "sets")
 
-    first = posts.groupBy("token").agg(F.min(F.struct("doc", "no", "n", "i")).alias("f")).select("token", F.col("f.doc").alias("fdoc"), F.col("f.no").alias("fno"), F.col("f.n").alias("fn"), F.col("f.i").alias("fi"))
+    # places and sizes for the filters: a token's place is where it stands in its line's order
+    spots = sets.select("id", "doc", "no", F.size("tokens").alias("n"), F.posexplode(F.slice("tokens", 1, F.size("tokens") - F.floor((F.size("tokens") * percent + 99) / 100).cast("int") + 1)).alias("i", "token")).withColumn("i", F.col("i") + 1)
+    spots = written(spots.join(posts.select("token").distinct(), "token"), "spots")
+    first = spots.groupBy("token").agg(F.min(F.struct("doc", "no", "id", "n", "i")).alias("f")).select("token", F.col("f.doc").alias("fdoc"), F.col("f.no").alias("fno"), F.col("f.id").alias("fid"), F.col("f.n").alias("fn"), F.col("f.i").alias("fi"))
     later = (F.col("doc") > F.col("fdoc")) | ((F.col("doc") == F.col("fdoc")) & (F.col("no") > F.col("fno")))
-    pair = ["doc", "no", "fdoc", "fno"]
-    near = written(posts.join(first, "token").where(later & _fits(percent)).select(*pair).distinct(), "near")
+    near = written(spots.join(first, "token").where(later & _fits(percent)).select("id", "fid").distinct(), "near")
     gone = written(_similar(near, sets, percent), "gone")
-    others = posts.select("token", F.col("doc").alias("fdoc"), F.col("no").alias("fno"), F.col("n").alias("fn"), F.col("i").alias("fi"))
-    rest = posts.join(gone, ["doc", "no"], "left_anti").join(others, "token").where(later & _fits(percent)).select(*pair).distinct()
-    gone = gone.unionByName(_similar(rest.join(near, pair, "left_anti"), sets, percent))
-
-    verdict = known.select("k1", "k2", "doc", "no").join(gone.withColumn("gone", F.lit(True)), ["doc", "no"], "left").select("k1", "k2", F.col("doc").alias("fdoc"), F.col("no").alias("fno"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    dropped = keyed.select("row", "doc", "no", "k1", "k2").join(verdict, ["k1", "k2"]).where(F.col("gone") | later)
-    return dropped.groupBy("row").agg(F.sort_array(F.collect_set("no")).alias("dropped"))
+    others = spots.select("token", F.col("doc").alias("fdoc"), F.col("no").alias("fno"), F.col("id").alias("fid"), F.col("n").alias("fn"), F.col("i").alias("fi"))
+    rest = spots.join(gone, "id", "left_anti").join(others, "token").where(later & _fits(percent)).select("id", "fid").distinct()
+    lost = gone.unionByName(_similar(rest.join(near, ["id", "fid"], "left_anti"), sets, percent))
+
+    verdict = known.select("id", "k1", "k2", "doc", "no").join(lost.withColumn("gone", F.lit(True)), "id", "left").select("k1", "k2", F.col("doc").alias("fdoc"), F.col("no").alias("fno"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    dropped = lines.select("row", "doc", "no", "k1", "k2").join(verdict, ["k1", "k2"]).where(F.col("gone") | later)
+    out = settled(dropped.groupBy("row").agg(F.sort_array(F.collect_set("no")).alias("dropped")))
+    discard(known, posts, sets, spots, near, gone)
+    return out
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:

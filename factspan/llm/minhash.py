@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspan.llm.bytetext import NONSPACE, U64, Words, chunks, mix
-from factspan.llm.tables import connected_components, fresh, written
+from factspan.llm.tables import connected_components, discard, fresh, settled, written
 
 COORDINATES = 64
 MATCHES = 26
@@ -197,6 +197,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     pairs = _block_pairs(members.join(classes.select("id", "sig"), "id"))
     candidates = pairs.select("key", "lo", "hi", "id", "sig").groupBy("key", "lo", "hi").applyInPandas(_collide, "a bigint, b bigint")
     groups = connected_components(candidates)
+    discard(members)
     weight = groups.join(classes, groups.node == classes.id).groupBy("component").agg(F.ceil(F.sum("n") / SHINGLE_BLOCK).alias("blocks"))
     chosen = written(groups.join(weight, "component").select(F.col("node").alias("id"), F.col("component").alias("grp"), "blocks"), "groups")
 
@@ -208,7 +209,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     label = top.join(found, top.rep == found.node, "left").select("set", F.coalesce("component", "rep").alias("component"))
     out = signed.join(label, "set", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
-    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    out = out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    out = settled(out)
+    discard(signed, classes, chosen)
+    return out
 
 
 def minhash_report(docs: DataFrame, **options) -> DataFrame:

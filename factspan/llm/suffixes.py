@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspan.llm.bytetext import U64, PrefixHash, chunks, mix
-from factspan.llm.tables import discard, fresh, written
+from factspan.llm.tables import discard, fresh, settled, written
 
 LENGTH = 200
 GRAM = 32
@@ -233,8 +233,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.xxhash64("text", F.octet_length("text")))
 
 
-def _covered(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """``(key, text, starts)`` of distinct texts with byte ranges to cut, and ``(key)`` of texts that have copies."""
+def _covered(docs: DataFrame, length: int, gram: int, kept: str | None) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts with bytes to cut, as ``_cut`` returns them, and ``(key)`` of texts that have copies."""
     keyed = _keyed(docs.select("text")).where(f"octet_length(text) >= {length}")
     copied = written(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "copies")
     found = written(keyed.mapInArrow(partial(_runs, length=length, gram=gram), "anchor bigint, span bigint, key bigint, s int, n int"), "runs")
@@ -266,7 +266,11 @@ def _covered(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFr
         .select("key", F.struct((F.col("s") + F.get("starts", "i")).alias("a"), (F.col("s") + F.get("starts", F.col("i") + 1) - 1 + length).alias("b")).alias("r"))
         .groupBy("key").agg(F.collect_set("r").alias("starts"))
     )
-    return texts.join(ranges, "key"), copied
+    kind = "string" if kept is None else "binary"
+    done = settled(texts.join(ranges, "key").mapInArrow(partial(_cut, length=length, kept=kept), f"key bigint, n_removed bigint, n_spans bigint, kept {kind}"))
+    copied, old = settled(copied), copied
+    discard(held, spans, texts, fetched, old)
+    return done, copied
 
 
 def repeat_report(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -278,8 +282,7 @@ def repeat_report(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) ->
     is left. A text shorter than ``length`` loses nothing; rows that repeat a
     text are copies of it. Texts are told apart by a 64-bit hash.
     """
-    cut, copied = _covered(docs, length, gram)
-    done = cut.mapInArrow(partial(_cut, length=length, kept=None), "key bigint, n_removed bigint, n_spans bigint, kept string")
+    done, copied = _covered(docs, length, gram, None)
     slim = _keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     out = slim.join(done, "key", "left").join(copied.withColumn("copy", F.lit(True)), "key", "left")
     gone = F.coalesce(F.col("copy"), F.lit(False))
@@ -295,8 +298,7 @@ def repeat_report(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) ->
 def remove_repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``; pieces of a character at a cut go with it. A null text stays null."""
     key, kept, copy = fresh(docs, "key", "kept", "copy")
-    cut, copied = _covered(docs.select(F.col(text).alias("text")), length, gram)
-    done = cut.mapInArrow(partial(_cut, length=length, kept="text"), "key bigint, n_removed bigint, n_spans bigint, kept binary")
+    done, copied = _covered(docs.select(F.col(text).alias("text")), length, gram, "text")
     done = done.select(F.col("key").alias(key), F.col("kept").alias(kept))
     out = docs.withColumn(key, F.xxhash64(text, F.octet_length(text)))
     out = out.join(done, key, "left").join(copied.select(F.col("key").alias(key), F.lit(True).alias(copy)), key, "left")

@@ -6,6 +6,7 @@ read back, so a lost executor never takes the only copy with it.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -17,10 +18,7 @@ from pyspark.sql import functions as F
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "factspan-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return found.rstrip("/")
+    return (found or os.path.join(tempfile.gettempdir(), "factspan-checkpoints")).rstrip("/")
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -33,11 +31,21 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by ``written`` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._written_to)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more, and let finished shuffles be cleaned up."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()  # the driver cleans up shuffles as their plans are collected
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Compute ``df`` into a reliable checkpoint, which the driver cleans up when nothing refers to it."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    return df.checkpoint()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -92,4 +100,6 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
         before = now
     stars = e.groupBy("u").agg(F.min("v").alias("component"))
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return stars.select(F.col("u").alias("node"), "component").unionByName(roots)
+    out = settled(stars.select(F.col("u").alias("node"), "component").unionByName(roots))
+    discard(e)
+    return out

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factspan.llm.bytetext import U64, chunks, mix
+from factspan.llm.bytetext import StepTable, chunks
 
 #: Marks the beginning of a word in the vocabulary.
 START = "▁"
@@ -63,29 +63,11 @@ class Pieces:
             value[node] = s
         self.value = np.array(value)
         self.width = len(letters) + 1
-        keys = np.array([a * self.width + c for a, c in step], np.int64)
-        bits = max(18, (4 * len(keys)).bit_length())
-        self.shift = U64(64 - bits)
-        self.slots, self.targets = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
-        for k, to in zip(keys.tolist(), step.values(), strict=True):  # open addressing
-            at = int(mix(np.array([k], U64))[0] >> self.shift)
-            while self.slots[at] >= 0:
-                at = (at + 1) & ((1 << bits) - 1)
-            self.slots[at], self.targets[at] = k, to
+        self.steps = StepTable(step, self.width)
 
     def next(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """The state after one more character, or -1."""
-        key = state * self.width + code
-        out = np.full(len(key), -1, np.int64)
-        live = np.flatnonzero((state >= 0) & (code > 0))
-        at = (mix(key[live].astype(U64)) >> self.shift).astype(np.int64)
-        while len(live):
-            found = self.slots[at]
-            hit = found == key[live]
-            out[live[hit]] = self.targets[at[hit]]
-            go = ~hit & (found >= 0)
-            live, at = live[go], (at[go] + 1) & (len(self.slots) - 1)
-        return out
+        """The state after one more character, or -1; code 0 is a character of no piece."""
+        return self.steps.get(state, code)
 
 
 def count_words(pieces: Pieces, words: list[str]) -> np.ndarray:
