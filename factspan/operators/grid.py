@@ -226,3 +226,94 @@ def drop_ambiguous_rows(rows: DataFrame) -> DataFrame:
     """Rows whose label, letters and digits only, is the only such one in its table."""
     n = F.count("*").over(Window.partitionBy("source_id", L.alphanumeric(F.col("label"))))
     return rows.withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+def two_row_facts(cells: DataFrame) -> DataFrame:
+    """``(source_id, row_label, row_ord, year, period, value)`` of sheets with years above months or quarters.
+
+    Blocks may be stacked: a block's rows end where the next one's header
+    begins. Periods that two columns of a block claim are dropped. The label
+    columns are the text columns left of a block's first data column; their
+    names are carried down. Of facts with equal keys the first counts.
+    """
+    blocks = header_blocks(cells)
+    end = F.coalesce(F.lead("year_row").over(Window.partitionBy("source_id").orderBy("year_row")), F.lit(1 << 30))
+    blocks = blocks.withColumn("end_row", end)
+    cols = period_columns(cells).join(blocks.select("source_id", F.col("year_row").alias("r")), ["source_id", "r"])
+    cols = drop_colliding_periods(cols).withColumnRenamed("r", "year_row")
+    first = cols.groupBy("source_id", "year_row").agg(F.min("c").alias("first_col"))
+    body = cells.where(~is_empty()).join(blocks, "source_id").where("r > year_row + 1 and r < end_row").join(first, ["source_id", "year_row"])
+    values = body.where("kind = 'num'").join(cols, ["source_id", "year_row", "c"]).select("source_id", "year_row", "r", "c", "year", "period", F.col("d_val").alias("value"))
+    texts = body.where("kind = 'text' and c < first_col")
+    width = texts.groupBy("source_id", "year_row").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    parts = texts.join(width, ["source_id", "year_row"]).groupBy("source_id", "year_row", "r").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.map_from_entries(F.collect_list(F.struct("c", "s_val"))).alias("m"))
+    parts = parts.select(F.struct("source_id", "year_row").alias("source_id"), "r", F.transform(F.sequence("lo", "hi"), lambda c: F.col("m")[c]).alias("parts"))
+    key = parts.select(F.to_json("source_id").alias("source_id"), "r", "parts")
+    named = carry_labels(key).select(F.from_json("source_id", "source_id string, year_row int").alias("k"), "r", "row_label")
+    named = named.select(F.col("k.source_id").alias("source_id"), F.col("k.year_row").alias("year_row"), "r", "row_label").where("row_label <> ''")
+    facts = values.join(named, ["source_id", "year_row", "r"])
+    kept = facts.groupBy("source_id", "row_label", "year", "period").agg(F.min_by(F.struct("r", "value"), F.struct("r", "c")).alias("v"))
+    return kept.select("source_id", "row_label", F.col("v.r").alias("row_ord"), "year", "period", F.col("v.value").alias("value"))
+
+
+def bands(cells: DataFrame) -> DataFrame:
+    """``(source_id, first_header, first_data)``: the header band of a sheet; rows of one repeated value before it are titles.
+
+    A header row is mostly text; the band ends at the first row that is not.
+    """
+    full = cells.where(~is_empty())
+    width = full.groupBy("source_id").agg((F.max("c") + 1).alias("width"))
+    rows = full.groupBy("source_id", "r").agg(F.count("*").alias("n"), F.avg((F.col("kind") == "text").cast("int")).alias("text"), F.count_distinct("s_val", "d_val").alias("kinds"))
+    rows = rows.join(width, "source_id").withColumn("title", (F.col("text") == 1) & ((F.col("n") == 1) | ((F.col("kinds") == 1) & (2 * F.col("n") >= F.col("width")))))
+    header = F.min(F.when(~F.col("title") & (F.col("text") > 0.5), F.col("r"))).over(Window.partitionBy("source_id"))
+    rows = rows.withColumn("first_header", header)
+    data = rows.where("r > first_header and text <= 0.5").groupBy("source_id", "first_header").agg(F.min("r").alias("first_data"))
+    return data.select("source_id", "first_header", "first_data")
+
+
+def tidy_facts(cells: DataFrame) -> DataFrame:
+    """``(source_id, row_label, col_label, value, is_aggregate, cell)``: every number of a sheet under its header path.
+
+    Columns of mostly numbers below the header band are values, the others
+    labels; header parts are joined by the qualifier, label parts by a dash.
+    ``is_aggregate`` is set where a row or a column scores as a total.
+    """
+    from factspan.operators import aggregates as A
+
+    at = bands(cells)
+    full = cells.where(~is_empty()).join(at, "source_id")
+    data = full.where("r >= first_data")
+    kind = data.groupBy("source_id", "c").agg((F.avg((F.col("kind") == "num").cast("int")) >= 0.5).alias("is_value"))
+    head = full.where("r between first_header and first_data - 1").groupBy("source_id", "c").agg(F.array_sort(F.collect_list(F.struct("r", F.trim(cell_text()).alias("s")))).alias("p"))
+    head = head.select("source_id", "c", F.array_join(F.array_distinct(F.transform("p", lambda x: x["s"])), L.QUALIFIER).alias("col_label"))
+    data = data.join(kind, ["source_id", "c"])
+    names = data.where("not is_value").groupBy("source_id", "r").agg(F.array_sort(F.collect_list(F.struct("c", F.trim(cell_text()).alias("s")))).alias("p"))
+    names = names.select("source_id", "r", F.array_join(F.transform("p", lambda x: x["s"]), " - ").alias("row_label"))
+    values = data.where("is_value and kind = 'num'").select("source_id", "r", "c", "d_val", "bold", "fill", "top_border")
+    facts = values.join(names, ["source_id", "r"]).join(head, ["source_id", "c"])
+    by_row = A.sum_of_others(facts.select("source_id", F.col("r").alias("row_label"), F.col("c").alias("col_label"), F.col("d_val").alias("value"))).select("source_id", F.col("row_label").alias("r"), F.col("is_sum").alias("row_sum"))
+    by_col = A.sum_of_others(facts.select("source_id", F.col("c").alias("row_label"), F.col("r").alias("col_label"), F.col("d_val").alias("value"))).select("source_id", F.col("row_label").alias("c"), F.col("is_sum").alias("col_sum"))
+    style = facts.groupBy("source_id", "r").agg((F.bool_and("bold") | F.bool_and("fill") | F.bool_and("top_border")).alias("style"))
+    edge = facts.groupBy("source_id").agg(F.max("r").alias("last_r"), F.max("c").alias("last_c"))
+    facts = facts.join(by_row, ["source_id", "r"]).join(by_col, ["source_id", "c"]).join(style, ["source_id", "r"]).join(edge, "source_id")
+    row = A.score(A.has_keyword(F.col("row_label")), F.col("style"), F.col("row_sum"), F.col("r") == F.col("last_r"))
+    col = A.score(A.has_keyword(F.col("col_label")), F.lit(False), F.col("col_sum"), F.col("c") == F.col("last_c"))
+    total = (A.classify(row) == "aggregate") | (A.classify(col) == "aggregate")
+    return facts.select("source_id", "row_label", "col_label", F.col("d_val").alias("value"), total.alias("is_aggregate"), F.struct("r", "c").alias("cell"))
+
+
+def cascade(tiers: list[DataFrame]) -> DataFrame:
+    """Facts of the first parser that found any in a sheet, parsers in order of trust; the tier is ``parser`` from 0."""
+    every = None
+    for k, t in enumerate(tiers):
+        cols = ["source_id", "row_label", "row_ord", "year", "period", "col_label", "value"]
+        t = t.select(*[F.col(c) if c in t.columns else F.lit(None).cast("int" if c in ("row_ord", "year") else "string").alias(c) for c in cols], F.lit(k).alias("parser"))
+        every = t if every is None else every.unionByName(t)
+    best = every.groupBy("source_id").agg(F.min("parser").alias("parser"))
+    return every.join(best, ["source_id", "parser"])
+
+
+def collapsed(facts: DataFrame) -> DataFrame:
+    """``(source_id, collapsed)``: whether a parse gave one label to several rows."""
+    rows = facts.select("source_id", "row_label", "row_ord").distinct()
+    return rows.groupBy("source_id").agg((F.count_distinct("row_label") < F.count("*")).alias("collapsed"))

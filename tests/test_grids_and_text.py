@@ -178,3 +178,33 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["n"], r["total"]) for r in spark.table("counts").collect()] == [(6, 9.0)]
+
+
+def test_two_row_facts(spark):
+    rows = [
+        ["Survei", None, 2025, 2025, 2026, 2026],
+        ["", "", "III", "IV", "I", "I"],
+        ["A.", "Penjualan", 1, 2, 3, 4],
+        ["-", "Makanan", 5, 6, 7, 8],
+        [None, None, 2026, 2026],
+        [None, None, "Q1", "Q2"],
+        ["B.", "Harga", 9, 10],
+    ]
+    got = {(r["row_label"], r["year"], r["period"]): r["value"] for r in grid.two_row_facts(sheet(spark, rows)).collect()}
+    assert got == {("Penjualan", 2025, "Q3"): 1, ("Penjualan", 2025, "Q4"): 2, ("Makanan", 2025, "Q3"): 5, ("Makanan", 2025, "Q4"): 6, ("Harga", 2026, "Q1"): 9, ("Harga", 2026, "Q2"): 10}
+
+
+def test_tidy_facts(spark):
+    rows = [["Laporan"], [None, "Semester 1", "Semester 1", "Total"], ["Produk", "Q1", "Q2", "Total"], ["Kopi", 1, 2, 3], ["Teh", 3, 4, 7], ["Total", 4, 6, 10]]
+    cells = sheet(spark, rows).select("*", F.lit(False).alias("bold"), F.lit(False).alias("fill"), F.lit(False).alias("top_border"))
+    got = {(r["row_label"], r["col_label"]): (r["value"], r["is_aggregate"]) for r in grid.tidy_facts(cells).collect()}
+    assert got[("Kopi", "Semester 1 > Q1")] == (1, False) and got[("Teh", "Semester 1 > Q2")] == (4, False)
+    assert got[("Total", "Semester 1 > Q1")] == (4, True) and got[("Kopi", "Total")] == (3, True) and len(got) == 9
+
+
+def test_cascade(spark):
+    kind = "source_id string, row_label string, row_ord int, year int, period string, value double"
+    a = spark.createDataFrame([("s", "x", 0, 2026, "Jan", 1.0)], kind)
+    b = spark.createDataFrame([("s", "y", 0, 2026, "Jan", 2.0), ("t", "y", 0, 2026, "Jan", 3.0), ("t", "y", 1, 2026, "Jan", 4.0)], kind)
+    assert sorted((r["source_id"], r["parser"], r["value"]) for r in grid.cascade([a, b]).collect()) == [("s", 0, 1.0), ("t", 1, 3.0), ("t", 1, 4.0)]
+    assert {r["source_id"]: r["collapsed"] for r in grid.collapsed(b).collect()} == {"s": False, "t": True}
