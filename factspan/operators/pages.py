@@ -70,12 +70,13 @@ def line_periods(line: Column) -> Column:
     """The longest run of three period tokens or more on a line, the first of equal ones, or null."""
     empty = F.array().cast("array<string>")
 
+    marked = F.transform(tokens_of(line), lambda t: F.struct(t.alias("token"), (P.bare_token(t).isNotNull() | P.parse_period(t).isNotNull()).alias("period")))
+
     def step(a: Column, t: Column) -> Column:
-        period = P.bare_token(t).isNotNull() | P.parse_period(t).isNotNull()
-        now = F.when(period, F.concat(a["now"], F.array(t))).otherwise(empty)
+        now = F.when(t["period"], F.concat(a["now"], F.array(t["token"]))).otherwise(empty)
         return F.struct(now.alias("now"), F.when(F.size(now) > F.size(a["best"]), now).otherwise(a["best"]).alias("best"))
 
-    best = F.aggregate(tokens_of(line), F.struct(empty.alias("now"), empty.alias("best")), step)["best"]
+    best = F.aggregate(marked, F.struct(empty.alias("now"), empty.alias("best")), step)["best"]
     return F.when(F.size(best) >= 3, best)
 
 

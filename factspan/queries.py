@@ -725,3 +725,101 @@ def stage_timer(spark, sf):
 @query("SELECT epoch_us(date_trunc('hour', ts)) AS window_start, event_type, count(*) AS n, sum(CAST(value AS DECIMAL(18,4)))::DOUBLE AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf):
     return stream.windowed_counts(_t(spark, sf, "events")).select(F.unix_micros("window_start").alias("window_start"), "event_type", "n", "total")
+
+
+# Printed pages, sheets with two header rows, pointers and extraction.
+
+
+def _wide(spark, sf):
+    """Segments with all four quarters of a year: ``(row_label, year, Q1..Q4)``."""
+    return _quarter_wide(spark, sf).where("Q1 is not null and Q2 is not null and Q3 is not null and Q4 is not null")
+
+
+_FULL = f"SELECT * FROM ({_WIDE}) WHERE \"Q1\" IS NOT NULL AND \"Q2\" IS NOT NULL AND \"Q3\" IS NOT NULL AND \"Q4\" IS NOT NULL"
+_LONG = f"SELECT row_label, year, period, value FROM (UNPIVOT ({_FULL}) ON \"Q1\", \"Q2\", \"Q3\", \"Q4\" INTO NAME period VALUE value)"
+
+
+@query(f"SELECT year AS page_id, lower(row_label) AS label, period, round(value, 2) AS value, 'juta usd' AS unit FROM ({_LONG}) WHERE year IN (SELECT year FROM ({_FULL}) GROUP BY 1 HAVING count(*) >= 2)")
+def printed_page_tables(spark, sf):
+    from factspan.operators import pages
+
+    w = _wide(spark, sf)
+    cell = lambda q: F.replace(F.format_string("%.2f", F.col(q)), F.lit("."), F.lit(","))
+    k = F.row_number().over(_window("year", "row_label"))
+    body = w.select(F.col("year").alias("page_id"), (F.lit(90.0) - k).alias("y"), F.concat_ws(" ", F.lower("row_label"), *[cell(q) for q in P.QUARTERS]).alias("line"))
+    head = w.select(F.col("year").alias("page_id")).distinct().select("page_id", F.explode(F.array(F.struct(F.lit(100.0).alias("y"), F.lit("Tabel 1. Order value (juta usd)").alias("line")), F.struct(F.lit(95.0).alias("y"), F.lit("Segment Q1 Q2 Q3 Q4").alias("line")))).alias("x")).select("page_id", "x.*")
+    return pages.page_tables(head.unionByName(body)).select("page_id", "label", "period", "value", "unit")
+
+
+@query(f"SELECT row_label, year, period, value FROM ({_LONG})")
+def two_row_sheets(spark, sf):
+    w = _wide(spark, sf)
+    num = lambda r, c, v: F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit("num").alias("kind"), F.lit(None).cast("string").alias("s_val"), v.cast("double").alias("d_val"))
+    word = lambda r, c, s: F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit("text").alias("kind"), s.alias("s_val"), F.lit(None).cast("double").alias("d_val"))
+    cells = [word(2, 0, F.col("row_label"))]
+    for c, q in enumerate(P.QUARTERS, 1):
+        cells += [num(0, c, F.col("year")), word(1, c, F.lit(q)), num(2, c, F.col(q))]
+    g = w.select(F.concat_ws("|", "row_label", "year").alias("source_id"), F.explode(F.array(*cells)).alias("x")).select("source_id", "x.*", F.lit(None).cast("timestamp_ntz").alias("ts_val"))
+    return grid.two_row_facts(g).select("row_label", "year", "period", "value")
+
+
+@query(f"SELECT row_label, year || ' > ' || period AS col_label, value, false AS is_aggregate FROM ({_LONG}) WHERE year = 1996 UNION ALL SELECT 'Total', '1996 > ' || period, round(sum(CAST(value AS DECIMAL(18,4)))::DOUBLE, 4), true FROM ({_LONG}) WHERE year = 1996 GROUP BY period")
+def tidy_sheet_facts(spark, sf):
+    w = _wide(spark, sf).where("year = 1996")
+    total = w.agg(*[F.round(F.sum(F.col(q).cast("decimal(18,4)")).cast("double"), 4).alias(q) for q in P.QUARTERS]).withColumn("row_label", F.lit("Total"))
+    rows = w.select("row_label", *P.QUARTERS).withColumn("k", F.row_number().over(Window.orderBy("row_label"))).unionByName(total.withColumn("k", F.lit(99)))  # five segments
+    cells = [F.struct((F.col("k") + 1).cast("int").alias("r"), F.lit(0).alias("c"), F.lit("text").alias("kind"), F.col("row_label").alias("s_val"), F.lit(None).cast("double").alias("d_val"))]
+    cells += [F.struct((F.col("k") + 1).cast("int").alias("r"), F.lit(c).alias("c"), F.lit("num").alias("kind"), F.lit(None).cast("string").alias("s_val"), F.col(q).alias("d_val")) for c, q in enumerate(P.QUARTERS, 1)]
+    body = rows.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    head = spark.createDataFrame([(r, c, "text", s, None) for c, q in enumerate(P.QUARTERS, 1) for r, s in ((0, "1996"), (1, q))] + [(1, 0, "text", "Segment", None)], body.schema)
+    g = head.unionByName(body).select(F.lit("s").alias("source_id"), "*", F.lit(None).cast("timestamp_ntz").alias("ts_val"), F.lit(False).alias("bold"), F.lit(False).alias("fill"), F.lit(False).alias("top_border"))
+    return grid.tidy_facts(g).select("row_label", "col_label", "value", "is_aggregate")
+
+
+@query(f"SELECT row_label || '|' || year AS claim_id, 'value' AS operation, round(\"Q1\", 2) AS claimed_value, 'Jan' AS period FROM ({_FULL})")
+def finalized_claims(spark, sf):
+    from factspan.operators import extraction
+
+    w = _wide(spark, sf)
+    point = lambda m: F.array(F.struct(F.col("row_label").alias("metric_label"), F.col("year").cast("int").alias("year"), m.alias("month"), F.lit(None).cast("string").alias("col_label")))
+    raw = F.replace(F.format_string("%.2f", F.col("Q1")), F.lit("."), F.lit(","))
+    cols = lambda op, value, m: w.select(F.concat_ws("|", "row_label", "year").alias("claim_id"), F.lit(op).alias("operation"), value.alias("value_raw"), F.lit(None).cast("string").alias("unit"), F.lit("").alias("quote"), point(m).alias("points"))
+    every = cols("value", raw, F.lit("Januari")).unionByName(cols("sum", F.lit("tidak ada"), F.lit("Mei"))).unionByName(cols("value", raw, F.lit("hari")))
+    return extraction.finalize(every).select("claim_id", "operation", "claimed_value", F.col("points")[0]["period"].alias("period"))
+
+
+@query("SELECT 'Loans' AS family, count(DISTINCT p_type) AS n FROM part WHERE contains(lower(p_type), 'econ') HAVING count(*) > 0")
+def table_suggestions(spark, sf):
+    from factspan.operators import pointers
+
+    p = _t(spark, sf, "part").select(F.col("p_partkey").alias("claim_ord"), F.col("p_type").alias("metric_label"), F.lit("Inconclusive").alias("verdict"), F.lit(None).cast("string").alias("matched_source"))
+    families = spark.createDataFrame([(0, "Loans", "econ"), (1, "Deposits", "nothing like it")], "family_ord int, family string, keyword string")
+    return pointers.suggest_tables(p, families).select("family", F.size("metrics").cast("long").alias("n"))
+
+
+@query(f"SELECT row_label || '|' || year || '|' || period AS claim_id, value, CASE WHEN prior THEN 1 ELSE 0 END AS prior FROM (SELECT a.row_label, a.year, a.period, a.value, false AS prior FROM ({ORDERS_SQL}) a JOIN ({ORDERS_SQL}) b ON a.row_label = b.row_label AND a.period = b.period AND b.year = a.year - 1 UNION ALL SELECT a.row_label, a.year, a.period, b.value, true FROM ({ORDERS_SQL}) a JOIN ({ORDERS_SQL}) b ON a.row_label = b.row_label AND a.period = b.period AND b.year = a.year - 1)")
+def pointer_settlement(spark, sf):
+    from factspan.operators import pointers
+
+    f = order_facts(spark, sf)
+    c = _claim(f.withColumn("claim_id", _id()), "yoy_growth", F.lit(1.0), F.array(_point()))
+    q = pointers.point_queries(c)
+    col = lambda y, m: y * 12 + m
+    cells = f.select(F.lit("s").alias("source_id"), F.dense_rank().over(Window.orderBy("row_label")).alias("r"), "row_label", col(F.col("year"), F.col("m")).alias("c"), "value")  # a handful of segments
+    at = cells.select("r", "row_label").distinct()
+    numbers = cells.select("source_id", "r", "c", F.lit("num").alias("kind"), F.lit(None).cast("string").alias("s_val"), F.col("value").alias("d_val"))
+    names = at.select(F.lit("s").alias("source_id"), "r", F.lit(0).alias("c"), F.lit("text").alias("kind"), F.col("row_label").alias("s_val"), F.lit(None).cast("double").alias("d_val"))
+    label = F.upper(F.replace("metric_label", F.lit("Order value "), F.lit("")))
+    found = q.join(at, label == F.col("row_label")).select("claim_id", "ord", "prior", F.lit("s").alias("source_id"), F.lit(0).alias("source_ord"), "r", col(F.col("year"), P.ordinal(F.col("period"))).alias("c"))
+    titles = spark.createDataFrame([("s", "Survey")], "source_id string, title string")
+    done = pointers.settle(found, q, numbers.unionByName(names), titles)
+    return done.select("claim_id", F.explode("found").alias("x")).select("claim_id", "x.value", F.col("x.prior").cast("int").alias("prior"))
+
+
+@query()
+def anchor_sentences(spark, sf):
+    from factspan.operators import extraction
+
+    d = _t(spark, sf, "documents").select("doc_id", L.squeezed(F.col("text")).alias("text"))
+    a = d.select(F.col("doc_id").alias("claim_id"), "doc_id", F.array_join(F.slice(F.split("text", " "), 3, 7), " ").alias("anchor"), F.lit("the and").alias("metric"), F.lit(None).cast("string").alias("value_raw"))
+    return extraction.locate(a, d)
