@@ -1,12 +1,12 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
-Equal lines are collapsed first. The tokens of a distinct line are its word
-shingles, ordered by rarity (how common a shingle's first word is over all
-distinct lines, then a hash). Two lines that are similar enough share a token
+The tokens of a line are its word shingles, ordered by rarity (how common a
+shingle's first word is over all lines, then a hash). Two lines that are similar enough share a token
 in their prefixes, so only prefixes are posted; posted tokens that no other
-line has are dropped. Candidates pass the length and positional filters and
-are verified on whole token sets, each line first against the earliest line
-of its tokens, and only the lines that stay open against the others.
+line has are dropped. Candidates pass length, positional and bitmap filters and
+are verified on whole token sets, each line first against the earliest lines
+of its tokens, and only the lines that stay open against the others: a group
+of similar lines is not spelt out in pairs.
 """
 
 from __future__ import annotations
@@ -14,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factspan.llm.tables import discard, fresh, settled, written
+from factspan.llm.tables import discard, fresh, release, settled, written
 
 SHINGLE = 5
 PERCENT = 80
 #: Words are counted by the hash modulo this; the driver gets as many counts.
 BUCKETS = 4096
+#: A line is compared with the earliest line of each of its tokens, then with this many, then with all.
+EARLIEST = 16
 _FIRST_ID = -(1 << 63)
 
 
@@ -43,11 +45,24 @@ def _with_tokens(df: DataFrame, ranks: Column, n: int) -> DataFrame:
     return df.withColumn("tokens", F.sort_array(F.array_distinct("shingles"))).drop("shingles")
 
 
+def _parity(half: int) -> Column:
+    """64 bits: for each bit, whether an odd number of ``tokens`` falls on it; two halves make 128."""
+    place = lambda t: F.pmod(t, F.lit(128)).cast("int") - 64 * half
+    bit = lambda t: F.when(place(t).between(0, 63), F.call_function("shiftleft", F.lit(1).cast("long"), place(t))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate("tokens", F.lit(0).cast("long"), lambda x, t: x.bitwiseXOR(bit(t)))
+
+
 def _fits(percent: int) -> Column:
-    """Length and positional filters on a pair's sizes and places (``n``, ``i`` and ``fn``, ``fi``)."""
+    """Length, positional and bitmap filters on a pair (``n``, ``i``, ``b0``, ``b1`` and the same with ``f``).
+
+    Sets that are similar enough differ in few tokens, and bits of their
+    parities that differ are at most as many.
+    """
+    total = F.col("n") + F.col("fn")
     length = 100 * F.least("n", "fn") >= percent * F.greatest("n", "fn")
     reach = F.least("i", "fi") + F.least(F.col("n") - F.col("i"), F.col("fn") - F.col("fi"))
-    return length & ((100 + percent) * reach >= percent * (F.col("n") + F.col("fn")))
+    apart = F.bit_count(F.col("b0").bitwiseXOR(F.col("fb0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("fb1")))
+    return length & ((100 + percent) * reach >= percent * total) & ((100 + percent) * apart <= (100 - percent) * total)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -72,11 +87,14 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     A line without words is never dropped. Rows that repeat an id and text are
     one row here. Rows that lose nothing are not returned.
     """
-    lines = _lines(docs, doc_id, text).withColumns({"k1": F.xxhash64("words"), "k2": F.hash("words")})
-    known = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "no")).alias("at"), F.first("words").alias("words"))
-    known = written(known.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "at.doc", "at.no", "words"), "lines")
-
-    counts = known.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).alias("bucket")).count().collect()
+    spark = docs.sparkSession
+    lines = _lines(docs, doc_id, text).withColumns({"id": F.monotonically_increasing_id(), "k1": F.xxhash64("words"), "k2": F.hash("words")})
+    lines = written(lines, "lines")
+    slim = lines.select("id", "row", "doc", "no", "k1", "k2")
+    equal = slim.groupBy("k1", "k2").agg(F.min(F.struct("doc", "no", "id")).alias("at"), F.count("*").alias("c")).where("c > 1")
+    copies = slim.join(equal, ["k1", "k2"]).where("id <> at.id").select("id", "row", "no", F.col("at.id").alias("first"), (F.struct("doc", "no") > F.struct("at.doc", "at.no")).alias("later"))
+    copies = written(copies, "copies")
+    counts = lines.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).alias("bucket")).count().collect()
     ranks = [0] * BUCKETS
     for rank, r in enumerate(sorted(counts, key=lambda r: (r["count"], r["bucket"]))):
         ranks[r["bucket"]] = rank + 1
@@ -84,27 +102,39 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     size = F.size("tokens")
     prefix = F.slice("tokens", 1, size - F.floor((size * percent + 99) / 100).cast("int") + 1)
-    posts = _with_tokens(known.select("id", "words"), table, shingle).select("id", F.explode(prefix).alias("token"))
+    posts = _with_tokens(lines.select("id", "words"), table, shingle).select("id", F.explode(prefix).alias("token"))
     posts = posts.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
+    every = written(posts, "every")
+    release(spark)
+    posts = every.join(copies.select("id"), "id", "left_anti").withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
     posts = written(posts, "posts")
-    sets = posts.select("id").distinct().join(known.select("id", "doc", "no", "words"), "id")
-    sets = written(_with_tokens(sets, table, shingle).select("id", "doc", "no", "tokens"), "sets")
+    discard(every)
+    sets = lines.select("id", "doc", "no", "words").join(posts.select("id").distinct(), "id")
+    sets = written(_with_tokens(sets, table, shingle).select("id", "doc", "no", "tokens", _parity(0).alias("b0"), _parity(1).alias("b1")), "sets")
+    release(spark)
 
     # places and sizes for the filters: a token's place is where it stands in its line's order
-    spots = sets.select("id", "doc", "no", F.size("tokens").alias("n"), F.posexplode(F.slice("tokens", 1, F.size("tokens") - F.floor((F.size("tokens") * percent + 99) / 100).cast("int") + 1)).alias("i", "token")).withColumn("i", F.col("i") + 1)
-    spots = written(spots.join(posts.select("token").distinct(), "token"), "spots")
-    first = spots.groupBy("token").agg(F.min(F.struct("doc", "no", "id", "n", "i")).alias("f")).select("token", F.col("f.doc").alias("fdoc"), F.col("f.no").alias("fno"), F.col("f.id").alias("fid"), F.col("f.n").alias("fn"), F.col("f.i").alias("fi"))
+    spots = posts.join(sets, "id").select("id", "doc", "no", F.size("tokens").alias("n"), F.array_position("tokens", F.col("token")).alias("i"), "token", "b0", "b1")
+    rank = F.row_number().over(Window.partitionBy("token").orderBy("doc", "no", "id"))
+    spots = written(spots.withColumn("rank", rank), "spots")
     later = (F.col("doc") > F.col("fdoc")) | ((F.col("doc") == F.col("fdoc")) & (F.col("no") > F.col("fno")))
-    near = written(spots.join(first, "token").where(later & _fits(percent)).select("id", "fid").distinct(), "near")
-    gone = written(_similar(near, sets, percent), "gone")
-    others = spots.select("token", F.col("doc").alias("fdoc"), F.col("no").alias("fno"), F.col("id").alias("fid"), F.col("n").alias("fn"), F.col("i").alias("fi"))
-    rest = spots.join(gone, "id", "left_anti").join(others, "token").where(later & _fits(percent)).select("id", "fid").distinct()
-    lost = gone.unionByName(_similar(rest.join(near, ["id", "fid"], "left_anti"), sets, percent))
-
-    verdict = known.select("id", "k1", "k2", "doc", "no").join(lost.withColumn("gone", F.lit(True)), "id", "left").select("k1", "k2", F.col("doc").alias("fdoc"), F.col("no").alias("fno"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    dropped = lines.select("row", "doc", "no", "k1", "k2").join(verdict, ["k1", "k2"]).where(F.col("gone") | later)
+    names = ["doc", "no", "id", "n", "i", "b0", "b1"]
+    open_, lost, used = spots, None, []
+    for low, high in ((1, 1), (2, EARLIEST), (EARLIEST + 1, None)):
+        some = spots.where(F.col("rank").between(low, high) if high else F.col("rank") >= low)
+        others = some.select("token", *[F.col(c).alias(f"f{c}") for c in names])
+        pairs = open_.join(others, "token").where(later & _fits(percent)).select("id", "fid").distinct()
+        found = written(_similar(pairs, sets, percent), "found")
+        used.append(found)
+        lost = found if lost is None else lost.unionByName(found)
+        if high:
+            open_ = open_.join(found, "id", "left_anti")
+
+    lost = written(lost, "lost")
+    dropped = slim.select("id", "row", "no").join(lost, "id").select("row", "no")
+    dropped = dropped.unionByName(copies.where("later").select("row", "no")).unionByName(copies.where("not later").join(lost.select(F.col("id").alias("first")), "first").select("row", "no"))
     out = settled(dropped.groupBy("row").agg(F.sort_array(F.collect_set("no")).alias("dropped")))
-    discard(known, posts, sets, spots, near, gone)
+    discard(lines, copies, posts, sets, spots, lost, *used)
     return out
 
 

@@ -10,11 +10,26 @@ import gc
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Whether a query's shuffle files are deleted as it ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaning_up(spark: SparkSession):
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -22,10 +37,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table that was written."""
+    """Write ``df`` to the shared folder and return the table that was written; the shuffles of the write go with it."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/factspan-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _cleaning_up(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
@@ -36,8 +52,14 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver clean up the shuffles of finished steps, which it does as their plans are collected."""
     gc.collect()
-    tables[0].sparkSession._jvm.System.gc()  # the driver cleans up shuffles as their plans are collected
+    spark._jvm.System.gc()
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -45,7 +67,8 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint()
+    with _cleaning_up(spark):
+        return df.checkpoint()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
