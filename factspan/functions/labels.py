@@ -91,19 +91,22 @@ def query_is_about(query: Column, label: Column, title: Column) -> Column:
     return let(words, rule)
 
 
-def query_names_subject(query: Column, title: Column) -> Column:
-    """Whether a title covers every significant word of a query, synonyms included."""
-    stop = _words(TITLE_STOP_WORDS)
-    words = F.array_except(significant_words(F.replace(F.lower(query), F.lit("dana pihak ketiga"), F.lit("dpk"))), stop)
-    named = F.array_except(significant_words(F.coalesce(title, F.lit(""))), stop)
+def subject_words(query: Column) -> Column:
+    """The words that name a query's subject."""
+    return F.array_except(significant_words(F.replace(F.lower(query), F.lit("dana pihak ketiga"), F.lit("dpk"))), _words(TITLE_STOP_WORDS))
+
 
-    def covered(w: Column) -> Column:
-        synonym = F.lit(False)
-        for k, v in SUBJECT_SYNONYMS.items():
-            synonym |= (w == k) & F.arrays_overlap(_words(v), named)
-        return F.array_contains(named, w) | synonym
+def covered_words(title: Column) -> Column:
+    """The words that a title covers: its own, and those it has a synonym of."""
+    named = F.array_except(significant_words(F.coalesce(title, F.lit(""))), _words(TITLE_STOP_WORDS))
+    more = [F.when(F.arrays_overlap(_words(v), named), F.array(F.lit(k))).otherwise(F.array().cast("array<string>")) for k, v in SUBJECT_SYNONYMS.items()]
+    return F.array_distinct(F.concat(named, *more))
 
-    return let(words, lambda ws: (F.size(ws) > 0) & F.forall(ws, covered)) & (F.coalesce(title, F.lit("")) != "")
+
+def query_names_subject(query: Column, title: Column) -> Column:
+    """Whether a title covers every significant word of a query, synonyms included."""
+    words = subject_words(query)
+    return let(words, lambda w: (F.size(w) > 0) & (F.size(F.array_except(w, covered_words(title))) == 0)) & (F.coalesce(title, F.lit("")) != "")
 
 
 def quote_names_member(label: Column, quote: Column) -> Column:

@@ -65,13 +65,10 @@ def resolve(claims: DataFrame, sources: DataFrame, facts: DataFrame) -> DataFram
     points = claims.where("guard is null").select("claim_id", F.size("points").alias("n"), F.explode("points").alias("p")).select("claim_id", "n", "p.*")
     dated = points.where("col_label is null")
     placed = points.where("col_label is not null")
-    temporal = F.broadcast(sources.where("axis = 'temporal'").select("source_id"))  # as many rows as tables
-    categorical = F.broadcast(sources.where("axis = 'categorical'").select("source_id"))
+    of = lambda axis: labels.join(sources.where(F.col("axis") == axis).select("source_id"), "source_id", "left_semi")
     key = ["query", "year", "period"]
-    asked = dated.select(F.col("metric_label").alias("query"), "year", "period").distinct().join(temporal)
-    cells = placed.select(F.col("metric_label").alias("query"), F.col("col_label").alias("col_query")).distinct().join(categorical)
-    by_period = lookup_period(asked, labels, facts)
-    by_cell = lookup_cell(cells, labels, facts)
+    by_period = lookup_period(dated.select(F.col("metric_label").alias("query"), "year", "period"), of("temporal"), facts)
+    by_cell = lookup_cell(placed.select(F.col("metric_label").alias("query"), F.col("col_label").alias("col_query")), of("categorical"), facts)
     a = dated.withColumnRenamed("metric_label", "query").join(by_period, key)
     a = a.select("claim_id", "n", "ord", "source_id", "query", "label", "year", "period", F.lit(None).cast("string").alias("col_label"), "value")
     b = placed.select("claim_id", "n", "ord", F.col("metric_label").alias("query"), F.col("col_label").alias("col_query")).join(by_cell, ["query", "col_query"])
@@ -85,7 +82,7 @@ def resolve(claims: DataFrame, sources: DataFrame, facts: DataFrame) -> DataFram
 def with_units(answers: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:
     """Add claim, source, ``factor`` and ``comparable``; answers whose unit cannot be converted are left out."""
     df = answers.join(claims.select("claim_id", "operation", "claimed_value", "unit"), "claim_id").join(
-        F.broadcast(sources.select("source_id", "source_ord", "name", "origin", F.col("unit").alias("table_unit"), "axis")), "source_id"
+        sources.select("source_id", "source_ord", "name", "origin", F.col("unit").alias("table_unit"), "axis"), "source_id"
     )
     column = F.get(F.filter(F.transform("found", lambda p: N.column_unit(p["col_label"])), lambda u: u.isNotNull()), F.lit(0))
     table = F.when(F.col("axis") == "categorical", F.coalesce(column, F.col("table_unit"))).otherwise(F.col("table_unit"))

@@ -31,46 +31,63 @@ def contained(needles: DataFrame, haystacks: DataFrame, needle: str, haystack: s
     return n.join(h, [*on, "_gram"]).where(F.contains(F.col(haystack), F.col(needle))).drop("_gram")
 
 
+def _scope(queries: DataFrame) -> list[str]:
+    return ["source_id"] if "source_id" in queries.columns else []
+
+
 def match_tiers(queries: DataFrame, labels: DataFrame) -> DataFrame:
     """``(source_id, query, label, row_ord, tier, key1, key2)`` for every candidate of every query.
 
-    ``queries``: ``(source_id, query)``; ``labels``: ``(source_id, row_label,
-    row_ord, title)``, one row for each label of a source. Tiers: 1 canonical
+    ``queries``: ``(query)``, asked of every source, or ``(source_id, query)``;
+    ``labels``: ``(source_id, row_label, row_ord, title)``, one row for each
+    label of a source. Tiers: 1 canonical
     equality; 2 the label contains the query, shortest first; 3 the member of a
     qualified label occurs in the query, most shared words first, then longest
     member; 4 the query contains the label and is about it, longest first.
     Candidates that drop the qualifier of a qualified query are left out.
     """
-    q = queries.select("source_id", "query").distinct().withColumn("q", L.canonical(F.col("query")))
+    on = _scope(queries)
+    q = queries.select(*on, "query").distinct().withColumn("q", L.canonical(F.col("query")))
     lab = labels.select("source_id", F.col("row_label").alias("label"), "row_ord", "title").withColumn("l", L.canonical(F.col("label")))
     none = F.lit(0)
-    inside = contained(q, lab, "q", "l", ["source_id"])
+    inside = contained(q, lab, "q", "l", on)
     size = F.length("label")
     same = F.col("q") == F.col("l")  # equality is containment too; only its better tier counts
     inside = inside.withColumns({"tier": F.when(same, 1).otherwise(2), "key1": F.when(same, 0).otherwise(size), "key2": none})
     members = lab.where(L.is_qualified(F.col("label"))).withColumn("m", L.canonical(L.leaf(F.col("label"))))
     shared = F.size(F.array_intersect(L.significant_words(F.col("label")), L.significant_words(F.col("query"))))
-    member = contained(members, q, "m", "q", ["source_id"]).withColumns({"tier": F.lit(3), "key1": -shared, "key2": -F.length("m")})
+    member = contained(members, q, "m", "q", on).withColumns({"tier": F.lit(3), "key1": -shared, "key2": -F.length("m")})
     about = L.query_is_about(F.col("query"), F.col("label"), F.col("title"))
-    within = contained(lab, q, "l", "q", ["source_id"]).where(about).withColumns({"tier": F.lit(4), "key1": -size, "key2": none})
+    within = contained(lab, q, "l", "q", on).where(about).withColumns({"tier": F.lit(4), "key1": -size, "key2": none})
     cols = ["source_id", "query", "label", "row_ord", "tier", "key1", "key2"]
     every = inside.select(*cols).unionByName(member.select(*cols)).unionByName(within.select(*cols))
     return every.where(L.qualifier_kept(F.col("query"), F.col("label")))
 
 
 def total_rows(queries: DataFrame, labels: DataFrame) -> DataFrame:
-    """The total rows of tables whose title names a query's subject, as candidates of the last tier."""
-    q = queries.select("source_id", "query").distinct()
-    rows = labels.where(F.lower(F.trim("row_label")).isin(L.TOTAL_ROWS))
-    found = q.join(rows, "source_id").where(L.query_names_subject(F.col("query"), F.col("title")))
+    """The total rows of tables whose title names a query's subject, as candidates of the last tier.
+
+    A title that covers every word of a query covers its first one, so the
+    candidates come from an equi-join on that word.
+    """
+    on = _scope(queries)
+    words = F.array_sort(L.subject_words(F.col("query")))
+    q = queries.select(*on, "query").distinct().withColumn("_word", F.get(words, F.lit(0))).where("_word is not null")
+    rows = labels.where(F.lower(F.trim("row_label")).isin(L.TOTAL_ROWS)).withColumn("_word", F.explode(L.covered_words(F.col("title"))))
+    found = q.join(rows, [*on, "_word"]).where(L.query_names_subject(F.col("query"), F.col("title")))
     return found.select("source_id", "query", F.col("row_label").alias("label"), "row_ord", F.lit(5).alias("tier"), F.lit(0).alias("key1"), F.lit(0).alias("key2"))
 
 
+def same_label(queries: DataFrame, labels: DataFrame) -> DataFrame:
+    """The very label that is asked for, as a candidate before all others."""
+    on = _scope(queries)
+    same = queries.select(*on, "query").distinct().join(labels.select("source_id", F.col("row_label").alias("query"), "row_ord"), [*on, "query"])
+    return same.select("source_id", "query", F.col("query").alias("label"), "row_ord", F.lit(0).alias("tier"), F.lit(0).alias("key1"), F.lit(0).alias("key2"))
+
+
 def candidates(queries: DataFrame, labels: DataFrame) -> DataFrame:
     """All candidates in order of preference: the very label (tier 0), the tiers, and total rows."""
-    same = queries.select("source_id", "query").distinct().join(labels.select("source_id", F.col("row_label").alias("query"), "row_ord"), ["source_id", "query"])
-    same = same.select("source_id", "query", F.col("query").alias("label"), "row_ord", F.lit(0).alias("tier"), F.lit(0).alias("key1"), F.lit(0).alias("key2"))
-    return same.unionByName(match_tiers(queries, labels)).unionByName(total_rows(queries, labels))
+    return same_label(queries, labels).unionByName(match_tiers(queries, labels)).unionByName(total_rows(queries, labels))
 
 
 def _best(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -97,11 +114,15 @@ def lookup_exact(points: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def lookup_period(points: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
-    """``(source_id, query, year, period, label, value)`` of points that some label with data at the period answers."""
-    keys = ["source_id", "query", "year", "period"]
+    """``(source_id, query, year, period, label, value)`` of points that some label with data at the period answers.
+
+    Points without a ``source_id`` are asked of every source.
+    """
+    keys = [*_scope(points), "query", "year", "period"]
     p = points.select(*keys).distinct()
     f = facts.where(F.col("year").isNotNull() & F.col("value").isNotNull()).select("source_id", F.col("row_label").alias("label"), "year", "period", "value")
-    found = p.join(candidates(p, labels), ["source_id", "query"]).join(f, ["source_id", "label", "year", "period"])
+    found = p.join(candidates(p, labels), [*_scope(points), "query"]).join(f, ["source_id", "label", "year", "period"])
+    keys = ["source_id", "query", "year", "period"]
     return _best(found, keys, ["tier", "key1", "key2", "row_ord", "label"]).select(*keys, "label", "value")
 
 
@@ -110,23 +131,23 @@ def lookup_cell(points: DataFrame, labels: DataFrame, facts: DataFrame) -> DataF
 
     Row candidates are tried in order of preference; a column only counts where
     the row has a value in it. There is no fallback to total rows, and columns
-    have no qualifier rule.
+    have no qualifier rule. Points without a ``source_id`` are asked of every source.
     """
-    keys = ["source_id", "query", "col_query"]
-    p = points.select(*keys).distinct()
+    on = _scope(points)
+    p = points.select(*on, "query", "col_query").distinct()
     f = facts.where(F.col("col_label").isNotNull() & F.col("value").isNotNull()).select("source_id", F.col("row_label").alias("label"), "col_label", "value")
     title = labels.select("source_id", "title").distinct()
-    cols = f.groupBy("source_id", "col_label").agg(F.min("label").alias("_any")).join(title, "source_id")
+    cols = f.select("source_id", "col_label").distinct().join(title, "source_id")
     cols = cols.select("source_id", F.col("col_label").alias("row_label"), F.dense_rank().over(Window.partitionBy("source_id").orderBy("col_label")).alias("row_ord"), "title")
-    same = lambda q, lab: q.join(lab.select("source_id", F.col("row_label").alias("query"), "row_ord"), ["source_id", "query"]).select("source_id", "query", F.col("query").alias("label"), "row_ord", F.lit(0).alias("tier"), F.lit(0).alias("key1"), F.lit(0).alias("key2"))
-    rq = p.select("source_id", "query").distinct()
-    cq = p.select("source_id", F.col("col_query").alias("query")).distinct()
-    rows = same(rq, labels).unionByName(match_tiers(rq, labels))
-    found_cols = same(cq, cols).unionByName(match_tiers(cq, cols))
+    rq = p.select(*on, "query").distinct()
+    cq = p.select(*on, F.col("col_query").alias("query")).distinct()
+    rows = same_label(rq, labels).unionByName(match_tiers(rq, labels))
+    found_cols = same_label(cq, cols).unionByName(match_tiers(cq, cols))
     found_cols = found_cols.select("source_id", F.col("query").alias("col_query"), F.col("label").alias("col_label"), F.col("tier").alias("c_tier"), F.col("key1").alias("c1"), F.col("key2").alias("c2"), F.col("row_ord").alias("c_ord"))
-    found = p.join(rows, ["source_id", "query"]).join(found_cols, ["source_id", "col_query"]).join(f, ["source_id", "label", "col_label"])
+    found = p.join(rows, [*on, "query"]).join(found_cols, ["source_id", "col_query"]).join(f, ["source_id", "label", "col_label"])
     exact_first = F.when((F.col("tier") == 0) & (F.col("c_tier") == 0), 0).otherwise(1)
     found = found.withColumn("_exact", exact_first)
+    keys = ["source_id", "query", "col_query"]
     return _best(found, keys, ["_exact", "tier", "key1", "key2", "row_ord", "c_tier", "c1", "c2", "c_ord"]).select(*keys, "label", "col_label", "value")
 
 
