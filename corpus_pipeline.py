@@ -35,7 +35,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds ``ids`` and ``n_tokens``, and ``decoded``, the text that the ids give back."""
-    return bpe.decode(bpe.encode(docs)).withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe.encode(docs, decoded="decoded").withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [

@@ -218,8 +218,8 @@ class Vocabulary:
         bad[owner[pair[~self.compatible(codes >> 20, codes & ((1 << 20) - 1))[back]]]] = True
         found = [x.tolist() for x in np.split(flat, np.cumsum(np.bincount(owner, minlength=len(raw)))[:-1])]
         short = np.flatnonzero(bad & (size <= TOGETHER))
-        for at in range(0, len(short), 20_000):
-            own = short[at : at + 20_000].tolist()
+        for at in range(0, len(short), 5_000):
+            own = short[at : at + 5_000].tolist()
             for i, ids in zip(own, self.merge_together([raw[i] for i in own]), strict=True):
                 found[i] = ids
         for i in np.flatnonzero(bad & (size > TOGETHER)).tolist():
@@ -315,14 +315,17 @@ def _report(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(shown)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _encode(batches: Iterator[pa.RecordBatch], vocabulary, text: str, ids: str) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], vocabulary, text: str, ids: str, decoded: str | None) -> Iterator[pa.RecordBatch]:
     enc = _encoder(vocabulary, False)
+    shown = vocabulary.value.shown
     for batch in batches:
-        for rows, _, _ in chunks(batch, text, 1 << 20):
+        for rows, _, _ in chunks(batch, text, 1 << 19):
             found = [b"".join(map(enc.ids.__getitem__, words)) for words in enc.texts(rows.column(text).to_pylist())]
             ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
-            yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, ids])
+            out = [*rows.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))]
+            if decoded is not None:
+                out.append(pa.array([" ".join(map(shown.__getitem__, np.frombuffer(x, np.int32).tolist())) for x in found], pa.string()))
+            yield pa.RecordBatch.from_arrays(out, names=[*rows.schema.names, ids, *[decoded] * (decoded is not None)])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], vocabulary, ids: str, text: str) -> Iterator[pa.RecordBatch]:
@@ -338,14 +341,16 @@ def _schema(df: DataFrame, name: str, kind: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{name}` {kind}"])
 
 
-def encode(df: DataFrame, *, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, *, path: str | None = None, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Add the token ids of each whole text as ``array<int>``; a null text counts as empty.
 
     ``path`` names the vocabulary file. Special tokens in a text are encoded
-    as such. ``ids`` must be a name that ``df`` does not have. Every row stays.
+    as such. With ``decoded``, the text that the ids give back is added too, in
+    the same pass. The names must be ones that ``df`` does not have. Every row stays.
     """
     vocabulary = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
-    return df.mapInArrow(partial(_encode, vocabulary=vocabulary, text=text, ids=ids), _schema(df, ids, "array<int>"))
+    schema = _schema(df, ids, "array<int>") + (f", `{decoded}` string" if decoded is not None else "")
+    return df.mapInArrow(partial(_encode, vocabulary=vocabulary, text=text, ids=ids, decoded=decoded), schema)
 
 
 def decode(df: DataFrame, *, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+_LIBC = ctypes.CDLL(None)
 _GOLDEN = 0x9E3779B97F4A7C15
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -59,6 +61,13 @@ def binary(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def trim() -> None:
+    """Give memory that is free back to the system: idle workers share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def chunks(batch: pa.RecordBatch, name: str, size: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Split a batch into runs of rows with about ``size`` bytes of text: (rows, bytes, offsets from 0)."""
     data, offsets = binary(batch.column(name))
@@ -68,6 +77,7 @@ def chunks(batch: pa.RecordBatch, name: str, size: int = 2 << 20) -> Iterator[tu
         stop = min(stop, n)
         yield batch.slice(at, stop - at), data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at]
         at = stop
+    trim()
 
 
 def char_class(*ranges: tuple[int, int]) -> np.ndarray:

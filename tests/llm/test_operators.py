@@ -245,6 +245,8 @@ def test_bpe(docs, nothing):
     rows = df.collect()
     assert Counter(map(tuple, bpe.bpe_report(df).collect())) == Counter(map(want, rows))
     coded = {r["doc_id"]: (r["ids"], r["decoded"]) for r in bpe.decode(bpe.encode(df.where("doc_id >= 1000"))).collect()}
+    same = {r["doc_id"]: (r["ids"], r["back"]) for r in bpe.encode(df.where("doc_id >= 1000"), decoded="back").collect()}
+    assert same == coded
     for i, t in enumerate(extra, 1000):
         ids = tok.encode(t, add_special_tokens=False).ids
         assert coded[i] == (ids, tok.decode(ids, skip_special_tokens=False))
