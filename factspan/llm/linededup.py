@@ -1,12 +1,13 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
-The tokens of a line are its word shingles, ordered by rarity (how common a
-shingle's first word is over all lines, then a hash). Two lines that are similar enough share a token
-in their prefixes, so only prefixes are posted; posted tokens that no other
-line has are dropped. Candidates pass length, positional and bitmap filters and
-are verified on whole token sets, each line first against the earliest lines
-of its tokens, and only the lines that stay open against the others: a group
-of similar lines is not spelt out in pairs.
+Lines of equal words are collapsed. The tokens of a line are its word shingles,
+ordered by rarity (how common a shingle's first word is over all lines, then a
+hash). Two lines that are similar enough share a token in their prefixes, so
+only prefixes are posted; posted tokens that no other line has are dropped.
+Candidates pass length, positional and bitmap filters and are verified on whole
+token sets, each line first against the earliest lines of its tokens, and only
+the lines that stay open against the others: a group of similar lines is not
+spelt out in pairs.
 """
 
 from __future__ import annotations
