@@ -36,7 +36,7 @@ COORDINATES = 64
 MATCHES = 26
 #: Members of a posting in one block; shingles of a group in one block.
 POSTING_BLOCK = 4096
-SHINGLE_BLOCK = 2_000_000
+SHINGLE_BLOCK = 500_000
 
 _MULTIPLY = mix(np.arange(1, COORDINATES + 1, dtype=U64)) | U64(1)
 _ADD = mix(np.arange(1001, 1001 + COORDINATES, dtype=U64))
@@ -136,8 +136,10 @@ def _confirm(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     size = np.array([len(s) for s in sets], np.int64)
     every = np.concatenate(sets)
     values, code, freq = np.unique(every, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(ids)), size)
+    code = code.astype(np.int32)
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), size)
     by_value = owner[np.argsort(code, kind="stable")]
+    del every, values, owner
     first = np.concatenate([[0], np.cumsum(freq)])
     own = np.split(code, np.cumsum(size)[:-1])
 
