@@ -152,15 +152,20 @@ def unknown_words(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     One-letter words, and two letters without a vowel, are not words; fragments
     that with a neighbour, one blank apart, are in the dictionary are not either.
+    Neighbours are those in the same row, whatever its ``doc_id``; rows without
+    one count in ``n`` but not in ``n_docs``. The dictionary is broadcast.
     """
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    t = word_tokens(docs).withColumns({"prev": F.lag("word").over(w), "nxt": F.lead("word").over(w), "gap_after": F.lead("gap").over(w)})
+    pairs = docs.select("doc_id", F.regexp_extract_all("text", F.lit(rf"([^A-Za-z]*)({_TOKEN})"), F.lit(0)).alias("pairs"))
+    split = pairs.select("doc_id", F.transform("pairs", lambda x: F.regexp_extract(x, rf"({_TOKEN})$", 1)).alias("word"), F.transform("pairs", lambda x: F.regexp_extract(x, r"^([^A-Za-z]*)", 1)).alias("gap"))
+    after = lambda c: F.slice(c, F.lit(2), F.size(c))
+    near = {"prev": F.concat(F.array(F.lit(None).cast("string")), F.col("word")), "nxt": after(F.col("word")), "gap_after": after(F.col("gap"))}
+    t = split.withColumns(near).select("doc_id", F.explode(F.arrays_zip("word", "gap", "prev", "nxt", "gap_after")).alias("x")).select("doc_id", "x.*")
     lower = t.where((F.col("word") == F.lower("word")) & (F.length("word") >= 2) & ~((F.length("word") == 2) & ~F.col("word").rlike("[aiueo]")))
-    open_ = lower.join(dictionary, "word", "left_anti")
+    known = F.broadcast(dictionary.select(F.col("word").alias("_joined")))  # else every word of every text is shuffled
+    open_ = lower.join(known, F.col("word") == F.col("_joined"), "left_anti")
     left = F.when(F.col("gap") == " ", F.lower(F.concat("prev", "word")))
     right = F.when(F.col("gap_after") == " ", F.lower(F.concat("word", "nxt")))
     for side in (left, right):
-        known = dictionary.select(F.col("word").alias("_joined"))
         open_ = open_.withColumn("_side", side).join(known, F.col("_side") == F.col("_joined"), "left_anti").drop("_side")
     return open_.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 

@@ -675,9 +675,9 @@ def reduplication(spark, sf):
 
 @query()
 def unknown_words(spark, sf):
-    d = _t(spark, sf, "documents")
-    words = text.word_tokens(d.where("doc_id % 2 = 0")).select(F.lower("word").alias("word")).distinct()
-    return text.unknown_words(d.where("doc_id % 2 = 1"), words)
+    said = _t(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "text")
+    words = text.word_tokens(said).select(F.lower("word").alias("word")).distinct()
+    return text.unknown_words(_t(spark, sf, "documents"), words)
 
 
 @query()
