@@ -8,6 +8,8 @@ text of its own, for the one-line notices that name a licence.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,38 @@ LICENSES = {
     "Zlib": "zlib License\n\n(C)\n\nThis software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution.",
 }
 
+#: Texts of common licences, one file for each identifier.
+TEXTS = Path(__file__).parent / "license_texts"
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """``(license, text)`` of the whole texts that are known.
+
+    A text with an appendix after its terms stands without it as well, and the
+    three-clause BSD text with any holder's wording, with and without its last clause.
+    """
+    out = list(LICENSES.items())
+    for path in sorted(TEXTS.glob("*.txt")):
+        name, text = path.stem, path.read_text(encoding="utf-8")
+        if name == "BSD-3-Clause-UC":
+            name = "BSD-3-Clause"
+            head, rest = text.split("3. ")
+            clause, rest = rest.split("\n\n", 1)
+            plain = rest.replace("THE REGENTS AND", "THE COPYRIGHT HOLDERS AND").replace("THE REGENTS OR", "THE COPYRIGHT HOLDER OR")
+            head = "\n".join(x for x in head.split("\n") if x.strip() != "All rights reserved.")
+            for kind, title, body in (
+                ("BSD-3-Clause", "BSD 3-Clause License", f"{head}3. {clause.replace('University', 'copyright holder')}\n\n{plain}"),
+                ("BSD-2-Clause", "BSD 2-Clause License", f"{head}\n{plain}"),
+            ):
+                rights = body.replace("Redistribution and use", "All rights reserved.\n\nRedistribution and use", 1)
+                out += [(kind, t) for b in (body, rights) for t in (b, f"{title}\n\n{b}")]
+        out.append((name, text))
+        if _END in text:
+            out.append((name, text[: text.index(_END) + len(_END)]))
+    return out
+
+
 #: One-line notices and the licence each names.
 NOTICES = {
     "Released under the MIT License.": "MIT",
@@ -70,9 +104,9 @@ def digest(text: Column) -> Column:
     return F.sha2(normal(text).cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
-    """``(known, license)``: digests of a fixed table of texts. Equal digests keep the first name."""
-    rows = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(texts.items())], "name string, text string, ord int")
+def known_digests(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
+    """``(known, license)``: digests of named texts. Equal digests keep the first name."""
+    rows = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(texts)], "name string, text string, ord int")
     return rows.select(digest(F.col("text")).alias("known"), "name", "ord").groupBy("known").agg(F.min_by("name", "ord").alias("license"))
 
 
@@ -85,8 +119,8 @@ def license_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     an empty one, or one of copyright lines only, the digest of nothing.
     """
     spark = docs.sparkSession
-    whole = known_digests(spark, LICENSES)
-    lines = known_digests(spark, {n: n for n in NOTICES})
+    whole = known_digests(spark, whole_texts())
+    lines = known_digests(spark, [(n, n) for n in NOTICES])
     name = F.create_map(*[F.lit(x) for kv in NOTICES.items() for x in kv])
     table = dict(lines.select("known", name[F.col("license")].alias("license")).collect())  # as many as NOTICES
     lookup = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
@@ -101,7 +135,7 @@ def license_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 def with_license(docs: DataFrame, *, text: str = "text", license: str = "license") -> DataFrame:
     """``docs`` with the identifier of the licence that its whole text is, or null."""
     key, known = fresh(docs, "digest", "known")
-    whole = known_digests(docs.sparkSession, LICENSES).select(F.col("known").alias(known), F.col("license").alias(license))
+    whole = known_digests(docs.sparkSession, whole_texts()).select(F.col("known").alias(known), F.col("license").alias(license))
     return docs.withColumn(key, digest(F.col(text))).join(F.broadcast(whole), F.col(key) == F.col(known), "left").drop(key, known)
 
 
