@@ -124,8 +124,9 @@ def license_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     name = F.create_map(*[F.lit(x) for kv in NOTICES.items() for x in kv])
     table = dict(lines.select("known", name[F.col("license")].alias("license")).collect())  # as many as NOTICES
     lookup = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    longest = max(map(len, NOTICES)) * 2
-    found = F.filter(F.transform(F.filter(F.split(text, "\n"), lambda x: F.length(x) <= longest), lambda x: lookup[digest(x)]), lambda x: x.isNotNull())
+    longest = spark.createDataFrame([(n,) for n in NOTICES], "name string").agg(F.max(F.length(normal(F.col("name"))))).first()[0]
+    plain = F.filter(F.transform(F.split(text, "\n"), normal), lambda x: F.length(x) <= longest)
+    found = F.filter(F.transform(plain, lambda x: lookup[F.sha2(x.cast("binary"), 256)]), lambda x: x.isNotNull())
     base = docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("digest"), F.coalesce(found, F.array().cast("array<string>")).alias("found"))
     return base.join(F.broadcast(whole), base.digest == whole.known, "left").select(
         "doc_id", "digest", "license", F.size("found").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices")
