@@ -13,7 +13,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,8 @@ from factspan.llm.tables import fresh
 #: Bounds of the sample that the model is fitted on: texts of each label, and characters of a text.
 SAMPLE = 2500
 SAMPLE_CHARS = 10_000
-#: Terms of the lexicon, and those of them that are matched within one edit.
+#: Terms of the lexicon; all of them are matched within one edit.
 TERMS = 400
-FUZZY_TERMS = 64
-FUZZY_LENGTH = 5
 #: Words on either side of a hit that decide whether it is quoted; what a quoted or reported hit counts.
 CONTEXT = 8
 QUOTED = 0.2
@@ -57,8 +55,12 @@ class Points:
         self.raw = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         low = self.raw < _TOP
         near = np.where(low, self.raw, 0)
-        self.lower = np.where(low, _LOWER[near], self.raw)
-        inside = np.where(low, _WORD[near], True)
+        self.lower = _LOWER[near]
+        inside = _WORD[near]
+        if not low.all():
+            high, at = np.unique(self.raw[~low], return_inverse=True)
+            self.lower[~low] = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in map(chr, high.tolist())], np.uint32)[at]
+            inside[~low] = np.array([chr(c).isalnum() for c in high.tolist()])[at]
         n = len(self.raw)
         cut = np.zeros(n + 1, bool)
         cut[self.first] = True
@@ -96,64 +98,95 @@ class Points:
         return self.lower[self.start[w] : self.stop[w]].astype("<u4").tobytes().decode("utf-32-le", "replace")
 
 
+def near_terms(terms: list[tuple[str, bool]]):
+    """A function from a word to the terms it is within one edit of, or begins within one edit of where they are stems."""
+    less = lambda w: {w, *(w[:k] + w[k + 1 :] for k in range(len(w)))}
+    index: tuple[dict, dict] = ({}, {})
+    for t, (term, stem) in enumerate(terms):
+        for form in less(term):
+            index[stem].setdefault(form, []).append(t)
+    sizes = [len(w) for w, stem in terms if stem]
+
+    @cache
+    def near(part: str, stem: bool) -> frozenset[int]:
+        found = {t for form in less(part) for t in index[stem].get(form, ())}
+        return frozenset(t for t in found if len(terms[t][0]) != len(part) or sum(map(str.__ne__, part, terms[t][0])) <= 1)
+
+    def of(word: str) -> set[int]:
+        out = set(near(word, False))
+        for k in range(min(sizes, default=1) - 1, min(len(word), max(sizes, default=-1) + 1) + 1):
+            out |= near(word[:k], True)
+        return out
+
+    return of
+
+
 class Automaton:
     """The lexicon's trie and its Levenshtein automata as one table of states.
 
     A word that is a term exactly gives that term; else one that begins with a
-    stem gives the longest such stem; else one within one edit of a fuzzy term
-    gives that term. Results are term numbers: exact and stem terms from 0,
-    fuzzy ones from ``len(terms)``; -1 for none.
+    stem gives the longest such stem; else one within one edit of a fuzzy term,
+    or that begins within one edit of a fuzzy stem, gives that term, the one of
+    most weight and then the first. Results are term numbers: exact and stem
+    terms from 0, fuzzy ones from ``len(terms)``; -1 for none.
     """
 
-    def __init__(self, terms: list[tuple[str, bool]], fuzzy: set[int]):
+    def __init__(self, terms: list[tuple[str, bool]], fuzzy: set[int], weight: np.ndarray | None = None):
         self.terms = terms
         letters = sorted({c for t, _ in terms for c in t})
-        self.classes = np.zeros(_TOP, np.uint8 if len(letters) < 255 else np.uint16)
+        self.classes = np.zeros(max(map(ord, letters), default=0) + 2, np.uint8 if len(letters) < 255 else np.uint16)  # the last is of all beyond
         for k, c in enumerate(letters):
-            if ord(c) < _TOP:
-                self.classes[ord(c)] = k + 1
+            self.classes[ord(c)] = k + 1
         child: list[dict[int, int]] = [{}]
-        bend: list[bool] = [False]  # nodes on the way to a fuzzy term
-        word_at, stem_at, fuzzy_at = {}, {}, {}
+        far = len(terms)
+        order = sorted(fuzzy, key=lambda t: (0 if weight is None else -weight[t], t))
+        rank = {t: k for k, t in enumerate(order)}
+        bend: list[int] = [far]  # the first rank of the fuzzy terms beyond a node
+        word_at, stem_at, near_word, near_stem = {}, {}, {}, {}
         number = {c: k + 1 for k, c in enumerate(letters)}
         for t, (term, stem) in enumerate(terms):
             node = 0
-            bend[0] |= t in fuzzy
+            bend[0] = min(bend[0], rank.get(t, far))
             for c in term:
                 if number[c] not in child[node]:
                     child[node][number[c]] = len(child)
                     child.append({})
-                    bend.append(False)
+                    bend.append(far)
                 node = child[node][number[c]]
-                bend[node] |= t in fuzzy
+                bend[node] = min(bend[node], rank.get(t, far))
             (stem_at if stem else word_at)[node] = t
             if t in fuzzy:
-                fuzzy_at[node] = t
+                (near_stem if stem else near_word)[node] = rank[t]
 
-        def closed(nodes: frozenset) -> frozenset:
-            return nodes | {(m, 1) for n, e in nodes if not e and bend[n] for m in child[n].values() if bend[m]}
+        def closed(nodes: set, stem: int, near: int) -> tuple:
+            """A state without what can no longer decide the result: ``near`` is the first rank of the stems met so far."""
+            if stem >= 0:
+                return frozenset(x for x in nodes if not x[1]), stem, far
+            nodes = nodes | {(m, 1) for n, e in nodes if not e for m in child[n].values()}
+            near = min([near, *(near_stem[n] for n, e in nodes if e and n in near_stem)])
+            return frozenset((n, e) for n, e in nodes if not e or (bend[n] < near and (n, 0) not in nodes)), stem, near
 
         def step(state: tuple, c: int) -> tuple:
-            nodes, stem = state
+            nodes, stem, near = state
             out = set()
             for n, e in nodes:
                 m = child[n].get(c)
-                if m is not None and (not e or bend[m]):
+                if m is not None:
                     out.add((m, e))
                     if not e and m in stem_at:
                         stem = stem_at[m]
-                if not e and bend[n]:
+                if not e and stem < 0 and bend[n] < near:
                     out.add((n, 1))
-                    out |= {(x, 1) for x in child[n].values() if bend[x]}
-            return closed(frozenset(out)), stem
+                    out |= {(x, 1) for x in child[n].values()}
+            return closed(out, stem, near)
 
         def result(state: tuple) -> int:
-            nodes, stem = state
+            nodes, stem, near = state
             exact = [word_at[n] for n, e in nodes if not e and n in word_at]
-            near = [fuzzy_at[n] for n, e in nodes if e and n in fuzzy_at]
-            return exact[0] if exact else stem if stem >= 0 else min(near) + len(terms) if near else -1
+            near = min([near, *(near_word[n] for n, e in nodes if e and n in near_word)])
+            return exact[0] if exact else stem if stem >= 0 else order[near] + len(terms) if near < far else -1
 
-        begin = (closed(frozenset({(0, 0)})), -1)
+        begin = closed({(0, 0)}, -1, far)
         known, todo, rows, ends = {begin: 0}, [begin], [], []
         while todo:
             nxt = []
@@ -177,7 +210,7 @@ class Automaton:
         state = np.zeros(len(p.start), np.int32)
         live = np.arange(len(p.start))
         size = p.stop - p.start
-        cls = np.where(p.lower < _TOP, self.classes[np.where(p.lower < _TOP, p.lower, 0)], 0)
+        cls = self.classes[np.minimum(p.lower, len(self.classes) - 1)]
         k = 0
         while len(live):
             state[live] = self.table[state[live], cls[p.start[live] + k]]
@@ -192,13 +225,15 @@ class Model:
     def __init__(self, texts: list[str], labels: list[int]):
         y = np.array(labels, float)
         self.reporting = frozenset(_REPORTING)
-        terms, self.weight, fuzzy = self._lexicon(texts, y) if 0 < y.sum() < len(y) else ([], np.zeros(0), set())
-        self.automaton = Automaton(terms, fuzzy)
+        terms, self.weight = self._lexicon(texts, y) if 0 < y.sum() < len(y) else ([], np.zeros(0))
+        self.automaton = Automaton(terms, set())
         self.rate = float(y.mean()) if len(y) else 0.0
         self.centre = self.scale = self.coef = None
         if terms:
             self.weight = np.concatenate([self.weight, np.zeros(len(terms))])
-            self._weigh_fuzzy(texts, y, fuzzy)
+            self._weigh_fuzzy(texts, y)
+            near = self.weight[len(terms) :]
+            self.automaton = Automaton(terms, set(np.flatnonzero(near > 0).tolist()), near)  # a near miss without weight counts nowhere
             self._fit(np.concatenate([self.features(texts[k : k + 100]) for k in range(0, len(texts), 100)]), y)
 
     def _lexicon(self, texts: list[str], y: np.ndarray):
@@ -232,20 +267,22 @@ class Model:
             if any((w[:k], True) in good and odds[w[:k], True] >= odds[c] - 0.7 for k in range(3, len(w))):
                 good.discard(c)
         best = sorted(good, key=lambda c: (-pos[c] * odds[c], c))[:TERMS]
-        whole = [k for k, (w, stem) in enumerate(best) if not stem and len(w) >= FUZZY_LENGTH and w.isascii()]
-        return best, np.array([odds[c] for c in best]), set(whole[:FUZZY_TERMS])
+        return best, np.array([odds[c] for c in best])
 
-    def _weigh_fuzzy(self, texts: list[str], y: np.ndarray, fuzzy: set[int]) -> None:
+    def _weigh_fuzzy(self, texts: list[str], y: np.ndarray) -> None:
         """A near miss weighs what the sample says of it; one that clean texts use weighs nothing."""
-        n, seen = len(self.automaton.terms), np.zeros((2, 2 * len(self.automaton.terms)))
+        n, near, known = len(self.automaton.terms), near_terms(self.automaton.terms), {}
+        seen = np.zeros((2, 2 * n))
         for at in range(0, len(texts), 100):
-            p = Points(texts[at : at + 100])
-            hit = self.automaton.run(p)
-            got = np.unique(np.stack([p.text[hit >= 0], hit[hit >= 0]]), axis=1)
-            for label in (0, 1):
-                seen[label] += np.bincount(got[1][y[at + got[0]] == label], minlength=2 * n)
+            sets = [set(words_of(t)) for t in texts[at : at + 100]]
+            new = sorted(set().union(*sets) - known.keys())
+            p = Points(new)
+            first = dict(zip(p.text.tolist(), self.automaton.run(p).tolist(), strict=True))
+            known.update((w, (first[k],) if first.get(k, -1) >= 0 else tuple(x + n for x in near(w))) for k, w in enumerate(new))
+            for words, label in zip(sets, y[at : at + 100], strict=True):
+                seen[int(label), list(set().union(*map(known.__getitem__, words)))] += 1
         n1, n0 = y.sum() + 1, len(y) - y.sum() + 1
-        for t in fuzzy:
+        for t in range(n):
             w = np.log(((seen[1, n + t] + MISSPELLED * seen[1, t] + 0.05) / n1) / ((seen[0, n + t] + 0.05) / n0))
             self.weight[n + t] = np.clip(w if seen[0, n + t] <= 0.002 * n0 else 0.0, 0, self.weight[t])
 
