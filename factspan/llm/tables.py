@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -31,27 +32,42 @@ def _cleaning_up(spark: SparkSession):
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (found or os.path.join(tempfile.gettempdir(), "factspan-checkpoints")).rstrip("/")
 
 
+def _hadoop(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table that was written; the shuffles of the write go with it."""
+    """Write ``df`` to the shared folder and return the table that was written; the shuffles of the write go with it.
+
+    The table is deleted by ``discard``, or else when the driver's JVM ends,
+    whether the write succeeded or not.
+    """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/factspan-{tag}-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark)}/factspan-{tag}-{uuid.uuid4().hex}"
+    fs, path = _hadoop(spark, folder)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
     with _cleaning_up(spark):
-        df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
+        df.write.parquet(f"{folder}/table")
+    out = spark.read.schema(df.schema).parquet(f"{folder}/table")
+    out._written_to = folder
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more, and let finished shuffles be cleaned up."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = _hadoop(df.sparkSession, df._written_to)
+        fs.delete(path, True)
+        fs.cancelDeleteOnExit(path)
     if tables:
         release(tables[0].sparkSession)
 
@@ -63,12 +79,16 @@ def release(spark: SparkSession) -> None:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Compute ``df`` into a reliable checkpoint, which the driver cleans up when nothing refers to it."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    with _cleaning_up(spark):
-        return df.checkpoint()
+    """Compute ``df`` into a table that a result still reads; it stays until the driver's JVM ends."""
+    return written(df, "result")
+
+
+def without(df: DataFrame, text: str, *names: str) -> DataFrame:
+    """``df`` less the columns that a new column of one of ``names`` replaces; ``text`` cannot be one of them."""
+    lost = [c for c in df.columns if c.lower() in {n.lower() for n in names}]
+    if text in lost:
+        raise ValueError(f"the new column would replace the text: {text}")
+    return df.drop(*lost)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -105,9 +125,9 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     before = _mark(e, F.col("u"), F.col("v"))
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).repartition("u")  # dealt anew, so that a hub's share of the join can be split
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).repartition("u")
         joined = large.join(low, "u")
         small = (
             joined.where("v <> m")
