@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspan.llm.bytetext import ALNUM, U64, Words, chunks
-from factspan.llm.tables import fresh, written
+from factspan.llm.tables import discard, fresh, without, written
 
 #: Words of a window.
 WINDOW = 10
-#: Windows in one broadcast block; more are scanned in further blocks.
+#: Windows in one broadcast block, and bytes of their words; more are scanned in further blocks.
 BLOCK = 500_000
+BLOCK_BYTES = 100 << 20
 #: Bits of the table that most hashes are turned away by.
 _FILTER_BITS = 22
 
@@ -49,7 +50,7 @@ class WindowSet:
     def __init__(self, rows: list):
         self.by_length: dict[int, dict[int, dict[bytes, set[str]]]] = {}
         for item, n, h, words in rows:
-            self.by_length.setdefault(n, {}).setdefault(h % (1 << 64), {}).setdefault(bytes(words), set()).add(item)
+            self.by_length.setdefault(n, {}).setdefault(h % (1 << 64), {}).setdefault(bytes(words), set()).update(() if item is None else (item,))
         self.filters = {}
         for n, d in self.by_length.items():
             f = np.zeros(1 << _FILTER_BITS, bool)
@@ -62,7 +63,7 @@ class WindowSet:
             at, h = words.grams(n)
             near = np.flatnonzero(self.filters[n][h >> U64(64 - _FILTER_BITS)])
             for i, x in zip(at[near].tolist(), h[near].tolist(), strict=True):
-                if (same := known.get(x)) and (found := same.get(words.join(i, n))):
+                if (same := known.get(x)) and (found := same.get(words.join(i, n))) is not None:
                     diff[i] += 1
                     diff[i + n] -= 1
                     items.setdefault(int(words.text[i]), set()).update(found)
@@ -110,25 +111,31 @@ def find_windows(
     past the last, of maximal runs; the ids as sorted strings; the number of
     words; the number of covered words. Lower-cases A-Z; words
     are runs of digits, letters a-z and characters beyond ASCII. An item of
-    fewer than ``window`` words is one window; items without words, and those
-    with a null id, have none. A null or empty text has no words and no hits.
-    Every row of ``docs`` is kept as often as it occurs, with all its columns;
-    ``names`` must be columns that ``docs`` does not have.
+    fewer than ``window`` words is one window; items without words have none.
+    Windows of items with a null id hit as others do, but no id is listed for
+    them. A null or empty text has no words and no hits. Every row of ``docs``
+    is kept as often as it occurs, with all its columns but those called like
+    one of ``names``, which are replaced.
     """
+    docs = without(docs, text, *names)
     spark = docs.sparkSession
-    got = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
+    got = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null")
     windows = written(got.mapInArrow(partial(_benchmark_windows, window=window), "item string, n int, hash bigint, words binary").distinct(), "windows")
-    total = windows.count()
-    blocks = max(1, -(-total // block))
+    total, size = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()
+    blocks = max(1, -(-total // block), -(-size // BLOCK_BYTES))
     types = {f.name: f.dataType for f in docs.schema}
     schema = ", ".join(f"`{c}` {types[c].simpleString()}" for c in docs.columns) + ", `{}` array<int>, `{}` array<string>, `{}` bigint, `{}` bigint".format(*names)
-    out = docs
+    out, held = docs, None
     for k in range(blocks):
-        own = windows.where(F.pmod(F.xxhash64("hash", "n", "item"), F.lit(blocks)) == k)
+        own = windows.where(F.pmod(F.xxhash64("hash", "n", "words", "item"), F.lit(blocks)) == k)
         known = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in own.collect()]))
         out = out.mapInArrow(partial(_scan, windows=known, text=text, names=list(names), first=k == 0), schema)
         if k < blocks - 1:
-            out = written(out, "scan")
+            old, out = held, written(out, "scan")
+            held = out
+            if old is not None:
+                discard(old)
+    discard(windows)
     return out
 
 
