@@ -29,6 +29,7 @@ BLOCK = 3000
 
 def _unit(vectors: pd.Series) -> np.ndarray:
     x = np.stack(vectors.to_numpy()).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)  # squares of very large or small components stay finite and above zero
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
