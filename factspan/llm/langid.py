@@ -13,16 +13,18 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factspan.llm.bytetext import chunks
+from factspan.llm.tables import without
 
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 WINDOW = 256
-#: Bounds of the sample that the network is trained on: texts, their characters, and windows of each.
+#: Bounds of the sample that the network is trained on: texts, texts of a language at least, their characters, and windows of each.
 SAMPLE = 3000
+SAMPLE_LEAST = 20
 SAMPLE_CHARS = 10_000
 SAMPLE_WINDOWS = 6
 UNKNOWN = "und"
@@ -124,15 +126,22 @@ class Network:
 
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Network | None:
-    """Train on at most ``sample`` texts, those whose ids have the smallest hashes, of ``SAMPLE_CHARS`` characters at most.
-
-    The ids are drawn first, so only their texts are read to the driver. Rows
-    with a null id or language, or a null or empty text, teach nothing; without
-    any there is no network, and every language is unknown.
+    """Train on about ``sample`` texts, equally many of each language, those whose ids have the smallest hashes.
+
+    A language gives ``sample`` divided by the number of languages, but
+    ``SAMPLE_LEAST`` at least; texts over ``SAMPLE_CHARS`` characters are not
+    drawn, and ``SAMPLE_WINDOWS`` windows of each are used. The ids are drawn
+    first, so only their texts are read to the driver; of rows that repeat an
+    id and language, the least text counts. Rows with a null id or language, or
+    a null or empty text, teach nothing; without any there is no network, and
+    every language is unknown.
     """
     known = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col(lang).alias("y")).where(f"id is not null and y is not null and length(t) between 1 and {SAMPLE_CHARS}")
-    drawn = known.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = known.join(F.broadcast(drawn), "id").select("t", "y").limit(2 * sample).collect()
+    some = known.select("id", "y").distinct()
+    share = max(SAMPLE_LEAST, sample // max(1, some.select("y").distinct().count()))
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
+    drawn = some.withColumn("rank", rank).where(F.col("rank") <= share).drop("rank")
+    rows = known.join(F.broadcast(drawn), ["id", "y"]).groupBy("id", "y").agg(F.min("t").alias("t")).select("t", "y").collect()
     rows = sorted(rows, key=lambda r: (r["t"], r["y"]))
     if not rows:
         return None
@@ -165,7 +174,11 @@ def _apply(batches: Iterator[pa.RecordBatch], network, text: str, lang: str, sco
 
 
 def identify(docs: DataFrame, network: Network | None, *, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Add the language of each whole text and its probability; ``und`` and 0 for a text that is null or has no letters."""
+    """Add the language of each whole text and its probability; ``und`` and 0 for a text that is null or has no letters.
+
+    Every row stays, repeated ones too; columns called ``lang`` or ``score`` are replaced.
+    """
+    docs = without(docs, text, lang, score)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{lang}` string, `{score}` double"])
     return docs.mapInArrow(partial(_apply, network=docs.sparkSession.sparkContext.broadcast(network), text=text, lang=lang, score=score), schema)
 
