@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspan.llm.bytetext import chunks
-from factspan.llm.tables import fresh
+from factspan.llm.tables import fresh, without
 
 #: Bounds of the sample that the model is fitted on: texts of each label, and characters of a text.
 SAMPLE = 2500
@@ -43,7 +43,9 @@ _REPORTING = ("said", "says", "called", "quote", "quoted", "quotes", "word", "te
 
 
 def words_of(text: str) -> list[str]:
-    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    """Runs of letters and digits, lower-cased one character at a time where that gives one character, as ``Points`` does."""
+    low = text.replace("Σ", "σ").lower() if "İ" not in text else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return "".join(c if c.isalnum() else " " for c in low).split()
 
 
 class Points:
@@ -326,8 +328,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
     The ids are drawn first, so only their texts are read to the driver; a text
     of more than ``SAMPLE_CHARS`` characters, a null or an empty one teaches
-    nothing. Labels other than 0 and 1 are ignored; a document or text that
-    repeats is toxic if any of its rows is. Without texts of both labels every
+    nothing, and of rows that repeat an id, the least text counts. Labels other
+    than 0 and 1 are ignored; a document or text that repeats is toxic if any
+    of its rows is. Without texts of both labels every
     score is the share of label 1.
     """
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
@@ -336,8 +339,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
         .where(f"length(t) between 1 and {SAMPLE_CHARS}")
         .join(F.broadcast(drawn[0].unionByName(drawn[1])), "id")  # at most 2 * sample ids
+        .groupBy("id")
+        .agg(F.min("t").alias("t"), F.max("y").alias("y"))
         .select("t", "y")
-        .limit(4 * sample)
         .collect()
     )
     seen: dict[str, int] = {}
@@ -355,7 +359,11 @@ def _score(batches: Iterator[pa.RecordBatch], model, text: str, name: str) -> It
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "score") -> DataFrame:
-    """Add a score from 0 to 1 for each whole text; higher means toxic. Null and empty texts score as texts without hits."""
+    """Add a score from 0 to 1 for each whole text; higher means toxic. Null and empty texts score as texts without hits.
+
+    Every row stays, repeated ones too; a column called ``name`` is replaced.
+    """
+    docs = without(docs, text, name)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` double"])
     return docs.mapInArrow(partial(_score, model=docs.sparkSession.sparkContext.broadcast(model), text=text, name=name), schema)
 
@@ -376,6 +384,9 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents that score below ``threshold``, with the columns of ``docs``."""
+    """The documents that score below ``threshold``, with the columns of ``docs``.
+
+    Null and empty texts score as texts without hits; every kept row stays as often as it occurs.
+    """
     (name,) = fresh(docs, "score")
     return score(docs, model, text=text, name=name).where(F.col(name) < threshold).drop(name)
