@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspan.llm.bytetext import StepTable, chunks
+from factspan.llm.tables import without
 
 #: Marks the end of a word; no byte of UTF-8.
 _END = b"\xff"
@@ -54,6 +55,7 @@ class Vocabulary:
             raw_spec = f.read()
         self.key = hashlib.sha256(raw_spec).hexdigest()
         spec = json.loads(raw_spec)
+        pattern = self._pattern(spec)
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
         byte = _byte_chars()
         raw = lambda t: bytes(byte[c] for c in t.removesuffix(suffix)) + (_END if t.endswith(suffix) else b"")
@@ -89,7 +91,25 @@ class Vocabulary:
             fine[c] &= fine[self.left[c]] and fine[self.right[c]]
         self.reachable = fine
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self.words = regex.compile(pattern)
+
+    @staticmethod
+    def _pattern(spec: dict) -> str:
+        """The file's pattern of words; a file that asks for steps other than those built here is refused."""
+        steps = lambda part, names: spec[part][names] if spec[part] and spec[part]["type"] == "Sequence" else [spec[part]]
+        first, *rest = steps("pre_tokenizer", "pretokenizers")
+        fine = (
+            steps("normalizer", "normalizers") == [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+            and (first or {}).get("type") == "Split" and first.get("invert") is True and first.get("behavior") == "Removed" and "Regex" in first["pattern"]
+            and [(s["type"], s.get("add_prefix_space"), s.get("use_regex")) for s in rest] == [("ByteLevel", False, False)]
+            and spec["post_processor"] is None and spec["decoder"] is None
+            and all(not spec["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+            and spec["model"].get("end_of_word_suffix")
+            and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"])
+        )
+        if not fine:
+            raise ValueError("the vocabulary file asks for a normaliser, split, model or added tokens that are not supported")
+        return first["pattern"]["Regex"]
 
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """Whether no merge across the border of ``a`` and ``b`` comes (before rank ``limit``) while both are made.
@@ -346,15 +366,20 @@ def encode(df: DataFrame, *, path: str | None = None, text: str = "text", ids: s
 
     ``path`` names the vocabulary file. Special tokens in a text are encoded
     as such. With ``decoded``, the text that the ids give back is added too, in
-    the same pass. The names must be ones that ``df`` does not have. Every row stays.
+    the same pass. Columns of these names are replaced. Every row stays.
     """
+    df = without(df, text, ids, *[decoded] * (decoded is not None))
     vocabulary = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
     schema = _schema(df, ids, "array<int>") + (f", `{decoded}` string" if decoded is not None else "")
     return df.mapInArrow(partial(_encode, vocabulary=vocabulary, text=text, ids=ids, decoded=decoded), schema)
 
 
 def decode(df: DataFrame, *, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Add the text of token ids: their strings joined by blanks. Unknown and null ids are skipped, null stays null."""
+    """Add the text of token ids: their strings joined by blanks. Unknown and null ids are skipped, null stays null.
+
+    A column called ``text`` is replaced.
+    """
+    df = without(df, ids, text)
     vocabulary = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
     return df.mapInArrow(partial(_decode, vocabulary=vocabulary, ids=ids, text=text), _schema(df, text, "string"))
 

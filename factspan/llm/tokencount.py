@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspan.llm.bytetext import StepTable, chunks
+from factspan.llm.tables import without
 
 #: Marks the beginning of a word in the vocabulary.
 START = "▁"
@@ -157,8 +158,10 @@ def count_tokens(docs: DataFrame, *, path: str | None = None, text: str = "text"
     Words are separated by white space and begin with the start mark. A
     segmentation scores the sum of its pieces' scores in the vocabulary at
     ``path``; a character outside it costs a penalty and as many tokens as
-    UTF-8 bytes. ``name`` must be a column that ``docs`` does not have.
+    UTF-8 bytes. Every row stays, repeated ones too; a column called ``name``
+    is replaced.
     """
+    docs = without(docs, text, name)
     pieces = docs.sparkSession.sparkContext.broadcast(Pieces(path))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` bigint"])
     return docs.mapInArrow(partial(_count, pieces=pieces, key=path or default_path(), text=text, name=name), schema)
