@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factspan.llm.tables import fresh
+from factspan.llm.tables import fresh, without
 
 #: Equivalent spellings of the licence-matching guidelines, applied in this order.
 SPELLINGS = [
@@ -134,7 +134,11 @@ def license_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
 
 def with_license(docs: DataFrame, *, text: str = "text", license: str = "license") -> DataFrame:
-    """``docs`` with the identifier of the licence that its whole text is, or null."""
+    """``docs`` with the identifier of the licence that its whole text is, or null.
+
+    A null or empty text has none; every row stays; a column called ``license`` is replaced.
+    """
+    docs = without(docs, text, license)
     key, known = fresh(docs, "digest", "known")
     whole = known_digests(docs.sparkSession, whole_texts()).select(F.col("known").alias(known), F.col("license").alias(license))
     return docs.withColumn(key, digest(F.col(text))).join(F.broadcast(whole), F.col(key) == F.col(known), "left").drop(key, known)
@@ -147,14 +151,14 @@ def _sql_normal(x: str) -> str:
     return f"trim(regexp_replace({t}, '{PUNCTUATION}', ' ', 'g'), ' ')"
 
 
-def _sql_values(texts: dict[str, str]) -> str:
+def _sql_values(texts: list[tuple[str, str]]) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    return "(VALUES " + ", ".join(f"({quote(k)}, {quote(v)})" for k, v in texts.items()) + ") AS t(name, text)"
+    return "(VALUES " + ", ".join(f"({quote(k)}, {quote(v)}, {i})" for i, (k, v) in enumerate(texts)) + ") AS t(name, text, ord)"
 
 
 ORACLE_SQL = f"""
-WITH whole AS (SELECT sha256({_sql_normal('text')}) AS digest, min(name) AS license FROM {_sql_values(LICENSES)} GROUP BY 1),
-notice AS (SELECT sha256({_sql_normal('name')}) AS digest, text AS license FROM {_sql_values(NOTICES)}),
+WITH whole AS (SELECT sha256({_sql_normal('text')}) AS digest, arg_min(name, ord) AS license FROM {_sql_values(whole_texts())} GROUP BY 1),
+notice AS (SELECT sha256({_sql_normal('name')}) AS digest, text AS license FROM {_sql_values(list(NOTICES.items()))}),
 d AS (SELECT doc_id, sha256({_sql_normal('text')}) AS digest FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 f AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names
