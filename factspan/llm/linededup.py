@@ -4,10 +4,11 @@ Lines of equal words are collapsed. The tokens of a line are its word shingles,
 ordered by rarity (how common a shingle's first word is over all lines, then a
 hash). Two lines that are similar enough share a token in their prefixes, so
 only prefixes are posted; posted tokens that no other line has are dropped.
-Candidates pass length, positional and bitmap filters and are verified on whole
-token sets, each line first against the earliest lines of its tokens, and only
-the lines that stay open against the others: a group of similar lines is not
-spelt out in pairs.
+Candidates pass length, positional and bitmap filters and a comparison of token
+sets, each line first against the earliest line of its tokens, and only the
+lines that stay open against the others: a group of similar lines is not spelt
+out in pairs. Hashes of 64 bits only filter: the words themselves, which are
+fetched for candidates only, decide whether lines are equal or similar.
 """
 
 from __future__ import annotations
@@ -23,27 +24,78 @@ PERCENT = 80
 BUCKETS = 4096
 #: A line is compared with the earliest line of each of its tokens, then with this many, then with all.
 EARLIEST = 16
+#: Parts of a token's postings that are ranked on their own first.
+PARTS = 32
 _FIRST_ID = -(1 << 63)
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(row, doc, no, words)``: a row's key, its document id (null: before all others), and the word hashes of its lines."""
-    lines = docs.select(F.xxhash64(doc_id, text).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST_ID)).alias("doc"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
-    blank = F.lower("line")
+def _doc(doc_id: str) -> Column:
+    """A document's place in the order: its id, or for a null one a place before all others."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST_ID))
+
+
+def _plain_lines(text: str) -> Column:
+    """The lines of a text, lower-cased, with blanks for other ASCII white space."""
+    plain = F.lower(text)
     for c in "\t\r\f\x0b":
-        blank = F.replace(blank, F.lit(c), F.lit(" "))
-    return lines.select("row", "doc", "no", F.transform(F.array_remove(F.split(blank, " "), ""), lambda w: F.hash(w)).alias("words")).where(F.size("words") > 0)
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    return F.split(plain, "\n")
+
+
+def _words(line: str) -> Column:
+    ragged = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | (F.col(line) == "")
+    words = F.split(line, " ")
+    return F.when(ragged, F.array_remove(words, "")).otherwise(words)
+
+
+def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(doc, row, no, words)``: a row's key, a line's place, and the hashes of its words."""
+    lines = docs.select(_doc(doc_id).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(_plain_lines(text)).alias("no", "line"))
+    return lines.select("doc", "row", "no", F.transform(_words("line"), lambda w: F.xxhash64(w)).alias("words")).where(F.size("words") > 0)
+
+
+def _ranks(lines: DataFrame) -> Column:
+    """How common words are: for each bucket of word hashes, its place when all are sorted by count."""
+    counts = lines.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).alias("bucket")).count().collect()
+    ranks = [0] * BUCKETS
+    for rank, r in enumerate(sorted(counts, key=lambda r: (r["count"], r["bucket"]))):
+        ranks[r["bucket"]] = rank + 1
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
+
+
+def _rank(ranks: Column, word: Column) -> Column:
+    return F.coalesce(F.get(ranks, F.pmod(word, F.lit(BUCKETS)).cast("int")), F.lit(0))
+
+
+def _token(rank: Column, i: Column, n: int) -> Column:
+    """The shingle of ``words`` at ``i`` (all words where they are fewer): 16 bits of rank over 47 bits of hash."""
+    shingle = F.xxhash64(*[F.get("words", i + k) for k in range(n)])
+    return rank.cast("long") * F.lit(1 << 47) + F.shiftrightunsigned(F.when(F.size("words") >= n, shingle).otherwise(F.xxhash64("words")), 17)
+
+
+def _places(n: int) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0)))
+
+
+def _tokens(ranks: Column, n: int) -> Column:
+    """The distinct tokens of ``words``, rarest first."""
+    return F.sort_array(F.array_distinct(F.transform(_places(n), lambda i: _token(_rank(ranks, F.get("words", i)), i, n))))
 
 
-def _with_tokens(df: DataFrame, ranks: Column, n: int) -> DataFrame:
-    """Add ``tokens``: the distinct shingle hashes of ``words``, rarest first, 16 bits of rank over 47 bits of hash."""
-    rank = lambda x: F.coalesce(F.get(ranks, F.pmod(x, F.lit(BUCKETS))), F.lit(0)).cast("long") * F.lit(1 << 47)
-    token = lambda first, x: F.coalesce(rank(first) + F.shiftrightunsigned(x, 17), F.lit(0).cast("long"))
-    word = lambda i: F.get(F.col("words"), i)
-    shingles = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: token(word(i), F.xxhash64(*[word(i + k) for k in range(n)])))
-    whole = F.array(token(word(F.lit(0)), F.xxhash64("words")))
-    df = df.withColumn("shingles", F.when(F.size("words") >= n, shingles).otherwise(whole))
-    return df.withColumn("tokens", F.sort_array(F.array_distinct("shingles"))).drop("shingles")
+def _posts(lines: DataFrame, ranks: Column, n: int, percent: int) -> DataFrame:
+    """``(id, token)``: the tokens of each line's prefix, and some more.
+
+    A prefix of p tokens has first words of at most p ranks, the least ones of
+    the line, so every token whose first word has one of these is posted.
+    """
+    size = F.greatest(F.size("words") - n + 1, F.lit(1))
+    firsts = F.sort_array(F.array_distinct(F.slice("r", F.lit(1), size)))
+    prefix = size - F.floor((size * percent + 99) / 100).cast("int") + 1
+    least = lines.select("id", "words", F.transform("words", lambda w: _rank(ranks, w)).alias("r"))
+    least = least.select("id", "words", "r", F.get(firsts, F.least(prefix, F.size(firsts)) - 1).alias("limit"))
+    spread = least.select("id", "words", "r", "limit", F.explode(_places(n)).alias("i"))
+    rank = F.get("r", F.col("i"))
+    return spread.where(rank <= F.col("limit")).select("id", _token(rank, F.col("i"), n).alias("token"))
 
 
 def _parity(half: int) -> Column:
@@ -66,76 +118,119 @@ def _fits(percent: int) -> Column:
     return length & ((100 + percent) * reach >= percent * total) & ((100 + percent) * apart <= (100 - percent) * total)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs ``(id, fid)``, the later lines (of ids ``id``) that are similar to the earlier one."""
+def _enough(x: Column, y: Column, percent: int) -> Column:
+    shared = F.size(F.array_intersect(x, y))
+    return 100 * shared >= percent * (F.size(x) + F.size(y) - shared)
+
+
+def _spelt(words: str, n: int) -> Column:
+    """The distinct shingles of ``words`` as text; no word holds a blank."""
+    spelt = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    return F.when(F.size(words) >= n, F.array_distinct(spelt)).otherwise(F.array(F.array_join(words, " ")))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, spelling: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of distinct pairs ``(id, fid)``, the later lines (of ids ``id``) that are similar to the earlier one, by their words."""
     a = sets.select("id", F.col("tokens").alias("x"))
     b = sets.select(F.col("id").alias("fid"), F.col("tokens").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    fine = pairs.join(a, "id").join(b, "fid").where(100 * shared >= percent * (F.size("x") + F.size("y") - shared))
-    return fine.select("id").distinct()
+    likely = pairs.join(a, "id").join(b, "fid").where(_enough(F.col("x"), F.col("y"), percent)).select("id", "fid")
+    a = spelling.select("id", F.split("line", " ").alias("x"))
+    b = spelling.select(F.col("id").alias("fid"), F.split("line", " ").alias("y"))
+    both = likely.join(a, "id").join(b, "fid")
+    fine = F.transform(F.array(F.struct(_spelt("x", n).alias("x"), _spelt("y", n).alias("y"))), lambda p: _enough(p["x"], p["y"], percent))
+    return both.where(F.get(fine, 0)).select("id").distinct()
+
+
+def _spelling(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(id, line)``: the words of wanted lines ``(id, doc, row, no)``, joined by blanks."""
+    want = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("no", "id")).alias("want"))
+    texts = docs.select(_doc(doc_id).alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text")).where("text is not null")
+    texts = texts.join(want, ["doc", "row"]).groupBy("doc", "row").agg(F.first("text").alias("text"), F.first("want").alias("want"))
+    lines = texts.select(_plain_lines("text").alias("lines"), "want").select(F.explode("want").alias("w"), "lines")
+    lines = lines.select("w.id", F.get("lines", F.col("w.no")).alias("line"))
+    return lines.select("id", F.array_join(_words("line"), " ").alias("line"))
 
 
 def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``(row, dropped array<int>)``: places from 0 of the lines of a row that an earlier line repeats.
-
-    ``row`` is ``xxhash64(doc_id, text)``. Lines are separated by a line feed;
-    earlier is by document id (null first), then place. A line goes when its
-    words equal those of an earlier line, or when the Jaccard similarity of its
-    distinct shingles of ``shingle`` words with those of some earlier line,
-    kept or not, is at least ``percent`` / 100; fewer words are one shingle.
-    Words are lower-cased and stand between blanks, tabs and other ASCII white
-    space; they are compared by a 32-bit hash, shingles by 63 bits over these.
-    A line without words is never dropped. Rows that repeat an id and text are
-    one row here. Rows that lose nothing are not returned.
+    """``(doc, row, dropped array<int>)``: places from 0 of the lines of a row that an earlier line repeats.
+
+    ``doc`` is the id (the least long for a null one) and ``row`` is
+    ``xxhash64(text)``. Lines are separated by a line feed; earlier is by
+    document id (null first), then place. A line goes when its words equal
+    those of an earlier line, or when the Jaccard similarity of its distinct
+    shingles of ``shingle`` words with those of some earlier line, kept or not,
+    is at least ``percent`` / 100; fewer words are one shingle. Words are
+    lower-cased and stand between blanks, tabs and other ASCII white space.
+    Lines without words, null and empty texts lose nothing. Rows that repeat an
+    id and text are one row here. Rows that lose nothing are not returned.
     """
     spark = docs.sparkSession
-    lines = _lines(docs, doc_id, text).withColumns({"id": F.monotonically_increasing_id(), "k1": F.xxhash64("words"), "k2": F.hash("words")})
-    lines = written(lines, "lines")
-    slim = lines.select("id", "row", "doc", "no", "k1", "k2")
-    equal = slim.groupBy("k1", "k2").agg(F.min(F.struct("doc", "no", "id")).alias("at"), F.count("*").alias("c")).where("c > 1")
-    copies = slim.join(equal, ["k1", "k2"]).where("id <> at.id").select("id", "row", "no", F.col("at.id").alias("first"), (F.struct("doc", "no") > F.struct("at.doc", "at.no")).alias("later"))
-    copies = written(copies, "copies")
-    counts = lines.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).alias("bucket")).count().collect()
-    ranks = [0] * BUCKETS
-    for rank, r in enumerate(sorted(counts, key=lambda r: (r["count"], r["bucket"]))):
-        ranks[r["bucket"]] = rank + 1
-    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
+    lines = written(_lines(docs, doc_id, text).withColumns({"id": F.monotonically_increasing_id(), "k": F.xxhash64("words")}), "lines")
+    ranks = _ranks(lines)
+    posts = _posts(lines, ranks, shingle, percent)
+    posts = written(posts.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").select("id", "token"), "posts")
+    slim = written(lines.select("id", "doc", "row", "no", "k"), "slim")
+    discard(lines)
 
-    size = F.size("tokens")
-    prefix = F.slice("tokens", 1, size - F.floor((size * percent + 99) / 100).cast("int") + 1)
-    posts = _with_tokens(lines.select("id", "words"), table, shingle).select("id", F.explode(prefix).alias("token"))
-    posts = posts.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
-    every = written(posts, "every")
+    # lines whose hash an earlier or equal one has; written first, so that a hash with very many lines is split in the join
+    at = F.min(F.struct("doc", "no", "id")).alias("at")
+    equal = written(slim.groupBy("k").agg(at, F.count("*").alias("c")).where("c > 1").select("k", "at"), "equal")
+    copies = slim.join(equal, "k").where("id <> at.id").select("id", "doc", "row", "no", F.col("at.id").alias("first"), (F.struct("doc", "no") > F.struct("at.doc", "at.no")).alias("later"))
+    copies = written(copies, "copies")
+    wanted = posts.select("id").unionByName(copies.select("id")).unionByName(copies.select(F.col("first").alias("id"))).distinct()
+    spelling = written(_spelling(docs, wanted.join(slim, "id").select("id", "doc", "row", "no"), doc_id, text), "spelling")
+    discard(equal)
     release(spark)
-    posts = every.join(copies.select("id"), "id", "left_anti").withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
-    posts = written(posts, "posts")
-    discard(every)
-    sets = lines.select("id", "doc", "no", "words").join(posts.select("id").distinct(), "id")
-    sets = written(_with_tokens(sets, table, shingle).select("id", "doc", "no", "tokens", _parity(0).alias("b0"), _parity(1).alias("b1")), "sets")
+    first = spelling.select(F.col("id").alias("first"), F.col("line").alias("same"))
+    sure = copies.join(spelling, "id").join(first, "first").where(F.col("line") == F.col("same")).select("id", "doc", "row", "no", "first", "later")
+    copies, old = written(sure, "same"), copies
+    discard(old)
+
+    posts, old = posts.join(copies.select("id"), "id", "left_anti").withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").select("id", "token").distinct(), posts
+    posts = written(posts, "shared")
+    discard(old)
+    sets = spelling.join(posts.select("id").distinct(), "id").select("id", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("words"))
+    sets = sets.select("id", _tokens(ranks, shingle).alias("tokens"))
+    sets = sets.join(slim.select("id", "doc", "no"), "id")
+    sets = written(sets.select("id", "doc", "no", "tokens", _parity(0).alias("b0"), _parity(1).alias("b1")), "sets")
     release(spark)
 
     # places and sizes for the filters: a token's place is where it stands in its line's order
-    spots = posts.join(sets, "id").select("id", "doc", "no", F.size("tokens").alias("n"), F.array_position("tokens", F.col("token")).alias("i"), "token", "b0", "b1")
-    rank = F.row_number().over(Window.partitionBy("token").orderBy("doc", "no", "id"))
-    spots = written(spots.withColumn("rank", rank), "spots")
-    later = (F.col("doc") > F.col("fdoc")) | ((F.col("doc") == F.col("fdoc")) & (F.col("no") > F.col("fno")))
     names = ["doc", "no", "id", "n", "i", "b0", "b1"]
+    spots = posts.join(sets, "id").select("token", "id", "doc", "no", F.size("tokens").alias("n"), F.array_position("tokens", F.col("token")).cast("int").alias("i"), "b0", "b1")
+    spots = written(spots, "spots")
+    discard(posts)
+    later = (F.col("doc") > F.col("fdoc")) | ((F.col("doc") == F.col("fdoc")) & (F.col("no") > F.col("fno")))
+
+    def earliest(high: int) -> DataFrame:
+        """The earliest lines of each token; parts of a token are ranked first, so none is ranked whole."""
+        if high == 1:
+            return spots.groupBy("token").agg(F.min(F.struct(*names)).alias("f")).select("token", "f.*")
+        part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part")
+        out = spots.select("*", part)
+        for by in (["token", "part"], ["token"]):
+            rank = F.row_number().over(Window.partitionBy(*by).orderBy("doc", "no", "id"))
+            out = out.withColumn("rank", rank).where(F.col("rank") <= high).drop("rank")
+        return out.drop("part")
+
     open_, lost, used = spots, None, []
-    for low, high in ((1, 1), (2, EARLIEST), (EARLIEST + 1, None)):
-        some = spots.where(F.col("rank").between(low, high) if high else F.col("rank") >= low)
-        others = some.select("token", *[F.col(c).alias(f"f{c}") for c in names])
-        pairs = open_.join(others, "token").where(later & _fits(percent)).select("id", "fid").distinct()
-        found = written(_similar(pairs, sets, percent), "found")
+    for high in (1, EARLIEST, None):
+        some = (earliest(high) if high else spots).select("token", *[F.col(c).alias(f"f{c}") for c in names])
+        some = written(some, "earliest") if high else some
+        pairs = open_.join(some, "token").where(later & _fits(percent)).select("id", "fid").distinct()
+        found = written(_similar(pairs, sets, spelling, shingle, percent), "found")
         used.append(found)
         lost = found if lost is None else lost.unionByName(found)
         if high:
+            used.append(some)
             open_ = open_.join(found, "id", "left_anti")
 
     lost = written(lost, "lost")
-    dropped = slim.select("id", "row", "no").join(lost, "id").select("row", "no")
-    dropped = dropped.unionByName(copies.where("later").select("row", "no")).unionByName(copies.where("not later").join(lost.select(F.col("id").alias("first")), "first").select("row", "no"))
-    out = settled(dropped.groupBy("row").agg(F.sort_array(F.collect_set("no")).alias("dropped")))
-    discard(lines, copies, posts, sets, spots, lost, *used)
+    keys = ["doc", "row", "no"]
+    dropped = slim.join(lost, "id").select(*keys)
+    dropped = dropped.unionByName(copies.where("later").select(*keys)).unionByName(copies.where("not later").join(lost.select(F.col("id").alias("first")), "first").select(*keys))
+    out = settled(dropped.groupBy("doc", "row").agg(F.sort_array(F.collect_set("no")).alias("dropped")))
+    discard(slim, copies, spelling, sets, spots, lost, *used)
     return out
 
 
@@ -143,18 +238,26 @@ def line_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (places from 0, by commas); one row for each row of ``docs``. A null text has no lines."""
     found = repeated_lines(docs, **options)
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    base = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), lines.alias("lines"))
-    out = base.join(found, "row", "left")
+    base = docs.select("doc_id", _doc("doc_id").alias("doc"), F.xxhash64("text").alias("row"), lines.alias("lines"))
+    out = base.join(found, ["doc", "row"], "left")
     return out.select("doc_id", F.col("lines").cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("removed"))
 
 
-def drop_repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the lines that earlier lines repeat; a row that loses every line keeps an empty text."""
-    row, dropped = fresh(docs, "row", "dropped")
-    found = repeated_lines(docs, doc_id=doc_id, text=text, **options).select(F.col("row").alias(row), F.col("dropped").alias(dropped))
-    out = docs.withColumn(row, F.xxhash64(doc_id, text)).join(found, row, "left")
+def drop_repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", emptied: bool = True, **options) -> DataFrame:
+    """``docs`` without the lines that earlier lines repeat, with the columns of ``docs``.
+
+    A row that loses all its words stays with what is left, or goes where
+    ``emptied`` is false. Rows with null, empty or blank texts stay as they are,
+    and repeated rows are treated alike.
+    """
+    doc, row, dropped = fresh(docs, "doc", "row", "dropped")
+    found = repeated_lines(docs, doc_id=doc_id, text=text, **options).select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("dropped").alias(dropped))
+    out = docs.withColumns({doc: _doc(doc_id), row: F.xxhash64(text)}).join(found, [doc, row], "left")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col(dropped), i)), "\n")
-    return out.withColumn(text, F.when(F.col(dropped).isNull(), F.col(text)).otherwise(left)).select(*docs.columns)
+    out = out.withColumn(text, F.when(F.col(dropped).isNull(), F.col(text)).otherwise(left))
+    if not emptied:
+        out = out.where(F.col(dropped).isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*docs.columns)
 
 
 ORACLE_SQL = r"""
