@@ -26,6 +26,8 @@ BUCKETS = 4096
 EARLIEST = 16
 #: Parts of a token's postings that are ranked on their own first.
 PARTS = 32
+#: Ids that are broadcast to fetch their rows; more are joined by a shuffle.
+BROADCAST = 1_000_000
 _FIRST_ID = -(1 << 63)
 
 
@@ -34,15 +36,16 @@ def _doc(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST_ID))
 
 
-def _plain_lines(text: str) -> Column:
-    """The lines of a text, lower-cased, with blanks for other ASCII white space."""
+def _plain(text: Column) -> Column:
+    """Lower case, with blanks for other ASCII white space than line feeds."""
     plain = F.lower(text)
     for c in "\t\r\f\x0b":
         plain = F.replace(plain, F.lit(c), F.lit(" "))
-    return F.split(plain, "\n")
+    return plain
 
 
 def _words(line: str) -> Column:
+    """The words of a plain line."""
     ragged = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | (F.col(line) == "")
     words = F.split(line, " ")
     return F.when(ragged, F.array_remove(words, "")).otherwise(words)
@@ -50,7 +53,7 @@ def _words(line: str) -> Column:
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``(doc, row, no, words)``: a row's key, a line's place, and the hashes of its words."""
-    lines = docs.select(_doc(doc_id).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(_plain_lines(text)).alias("no", "line"))
+    lines = docs.select(_doc(doc_id).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(F.split(_plain(F.col(text)), "\n")).alias("no", "line"))
     return lines.select("doc", "row", "no", F.transform(_words("line"), lambda w: F.xxhash64(w)).alias("words")).where(F.size("words") > 0)
 
 
@@ -100,8 +103,8 @@ def _posts(lines: DataFrame, ranks: Column, n: int, percent: int) -> DataFrame:
 
 def _parity(half: int) -> Column:
     """64 bits: for each bit, whether an odd number of ``tokens`` falls on it; two halves make 128."""
-    place = lambda t: F.pmod(t, F.lit(128)).cast("int") - 64 * half
-    bit = lambda t: F.when(place(t).between(0, 63), F.call_function("shiftleft", F.lit(1).cast("long"), place(t))).otherwise(F.lit(0).cast("long"))
+    own = lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1)) if half else F.lit(1) - F.shiftright(t, 6).bitwiseAND(F.lit(1))
+    bit = lambda t: F.call_function("shiftleft", own(t).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate("tokens", F.lit(0).cast("long"), lambda x, t: x.bitwiseXOR(bit(t)))
 
 
@@ -131,6 +134,10 @@ def _spelt(words: str, n: int) -> Column:
 
 def _similar(pairs: DataFrame, sets: DataFrame, spelling: DataFrame, n: int, percent: int) -> DataFrame:
     """Of distinct pairs ``(id, fid)``, the later lines (of ids ``id``) that are similar to the earlier one, by their words."""
+    pairs = written(pairs, "pairs")
+    ids = written(pairs.select("id").unionByName(pairs.select(F.col("fid").alias("id"))).distinct(), "ids")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST else ids
+    sets, spelling = sets.join(few, "id", "left_semi"), spelling.join(few, "id", "left_semi")
     a = sets.select("id", F.col("tokens").alias("x"))
     b = sets.select(F.col("id").alias("fid"), F.col("tokens").alias("y"))
     likely = pairs.join(a, "id").join(b, "fid").where(_enough(F.col("x"), F.col("y"), percent)).select("id", "fid")
@@ -138,17 +145,19 @@ def _similar(pairs: DataFrame, sets: DataFrame, spelling: DataFrame, n: int, per
     b = spelling.select(F.col("id").alias("fid"), F.split("line", " ").alias("y"))
     both = likely.join(a, "id").join(b, "fid")
     fine = F.transform(F.array(F.struct(_spelt("x", n).alias("x"), _spelt("y", n).alias("y"))), lambda p: _enough(p["x"], p["y"], percent))
-    return both.where(F.get(fine, 0)).select("id").distinct()
+    out = written(both.where(F.get(fine, 0)).select("id").distinct(), "found")
+    discard(pairs, ids)
+    return out
 
 
 def _spelling(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(id, line)``: the words of wanted lines ``(id, doc, row, no)``, joined by blanks."""
-    want = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("no", "id")).alias("want"))
+    """``(id, doc, no, first, line)``: the words of wanted lines ``(id, doc, row, no, first)``, joined by blanks."""
+    want = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("no", "id", "first")).alias("want"))
     texts = docs.select(_doc(doc_id).alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text")).where("text is not null")
     texts = texts.join(want, ["doc", "row"]).groupBy("doc", "row").agg(F.first("text").alias("text"), F.first("want").alias("want"))
-    lines = texts.select(_plain_lines("text").alias("lines"), "want").select(F.explode("want").alias("w"), "lines")
-    lines = lines.select("w.id", F.get("lines", F.col("w.no")).alias("line"))
-    return lines.select("id", F.array_join(_words("line"), " ").alias("line"))
+    lines = texts.select("doc", F.split("text", "\n").alias("lines"), "want").select("doc", F.explode("want").alias("w"), "lines")
+    lines = lines.select("w.id", "doc", "w.no", "w.first", _plain(F.get("lines", F.col("w.no"))).alias("line"))
+    return lines.withColumn("line", F.array_join(_words("line"), " "))
 
 
 def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -177,21 +186,22 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     equal = written(slim.groupBy("k").agg(at, F.count("*").alias("c")).where("c > 1").select("k", "at"), "equal")
     copies = slim.join(equal, "k").where("id <> at.id").select("id", "doc", "row", "no", F.col("at.id").alias("first"), (F.struct("doc", "no") > F.struct("at.doc", "at.no")).alias("later"))
     copies = written(copies, "copies")
-    wanted = posts.select("id").unionByName(copies.select("id")).unionByName(copies.select(F.col("first").alias("id"))).distinct()
-    spelling = written(_spelling(docs, wanted.join(slim, "id").select("id", "doc", "row", "no"), doc_id, text), "spelling")
+    none = F.lit(None).cast("long").alias("first")
+    wanted = posts.select("id", none).unionByName(copies.select("id", "first")).unionByName(equal.select("at.id", F.col("at.id").alias("first")))
+    wanted = wanted.groupBy("id").agg(F.max("first").alias("first")).join(slim, "id").select("id", "doc", "row", "no", "first")
+    spelling = written(_spelling(docs, wanted, doc_id, text), "spelling")
     discard(equal)
     release(spark)
-    first = spelling.select(F.col("id").alias("first"), F.col("line").alias("same"))
-    sure = copies.join(spelling, "id").join(first, "first").where(F.col("line") == F.col("same")).select("id", "doc", "row", "no", "first", "later")
-    copies, old = written(sure, "same"), copies
+    first = spelling.where("id = first").select("first", F.col("line").alias("same"))
+    sure = spelling.where("id <> first").join(first, "first").where(F.col("line") == F.col("same")).select("id")
+    copies, old = written(copies.join(sure, "id"), "same"), copies
     discard(old)
 
     posts, old = posts.join(copies.select("id"), "id", "left_anti").withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").select("id", "token").distinct(), posts
     posts = written(posts, "shared")
     discard(old)
-    sets = spelling.join(posts.select("id").distinct(), "id").select("id", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("words"))
-    sets = sets.select("id", _tokens(ranks, shingle).alias("tokens"))
-    sets = sets.join(slim.select("id", "doc", "no"), "id")
+    sets = spelling.join(posts.select("id").distinct(), "id").select("id", "doc", "no", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("words"))
+    sets = sets.select("id", "doc", "no", _tokens(ranks, shingle).alias("tokens"))
     sets = written(sets.select("id", "doc", "no", "tokens", _parity(0).alias("b0"), _parity(1).alias("b1")), "sets")
     release(spark)
 
@@ -218,7 +228,7 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         some = (earliest(high) if high else spots).select("token", *[F.col(c).alias(f"f{c}") for c in names])
         some = written(some, "earliest") if high else some
         pairs = open_.join(some, "token").where(later & _fits(percent)).select("id", "fid").distinct()
-        found = written(_similar(pairs, sets, spelling, shingle, percent), "found")
+        found = _similar(pairs, sets, spelling, shingle, percent)
         used.append(found)
         lost = found if lost is None else lost.unionByName(found)
         if high:
