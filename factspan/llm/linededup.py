@@ -101,6 +101,12 @@ def _posts(lines: DataFrame, ranks: Column, n: int, percent: int) -> DataFrame:
     return spread.where(rank <= F.col("limit")).select("id", _token(rank, F.col("i"), n).alias("token"))
 
 
+def _shared(posts: DataFrame) -> DataFrame:
+    """The posts whose token another post has; counts combine before the shuffle, and the join splits a hot token."""
+    several = written(posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "several")
+    return posts.join(several, "token").select("id", "token")
+
+
 def _parity(half: int) -> Column:
     """64 bits: for each bit, whether an odd number of ``tokens`` falls on it; two halves make 128."""
     own = lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1)) if half else F.lit(1) - F.shiftright(t, 6).bitwiseAND(F.lit(1))
@@ -176,10 +182,11 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     lines = written(_lines(docs, doc_id, text).withColumns({"id": F.monotonically_increasing_id(), "k": F.xxhash64("words")}), "lines")
     ranks = _ranks(lines)
-    posts = _posts(lines, ranks, shingle, percent)
-    posts = written(posts.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").select("id", "token"), "posts")
+    every = written(_posts(lines, ranks, shingle, percent), "every")
     slim = written(lines.select("id", "doc", "row", "no", "k"), "slim")
     discard(lines)
+    posts = written(_shared(every), "posts")
+    discard(every)
 
     # lines whose hash an earlier or equal one has; written first, so that a hash with very many lines is split in the join
     at = F.min(F.struct("doc", "no", "id")).alias("at")
@@ -197,9 +204,10 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     copies, old = written(copies.join(sure, "id"), "same"), copies
     discard(old)
 
-    posts, old = posts.join(copies.select("id"), "id", "left_anti").withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").select("id", "token").distinct(), posts
-    posts = written(posts, "shared")
-    discard(old)
+    own = written(posts.join(copies.select("id"), "id", "left_anti").distinct(), "own")
+    discard(posts)
+    posts = written(_shared(own), "shared")
+    discard(own)
     sets = spelling.join(posts.select("id").distinct(), "id").select("id", "doc", "no", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("words"))
     sets = sets.select("id", "doc", "no", _tokens(ranks, shingle).alias("tokens"))
     sets = written(sets.select("id", "doc", "no", "tokens", _parity(0).alias("b0"), _parity(1).alias("b1")), "sets")
