@@ -6,9 +6,12 @@
    coordinates, hence on one of the first ``COORDINATES - MATCHES + 1``: only
    this prefix is posted under (coordinate, value). Postings with one class
    are dropped, and of postings with the same members all but one are skipped.
-3. Within a posting, collisions of whole signatures are counted, and the pairs
-   at the threshold are merged into a forest; what is connected already is
-   skipped. The forests give groups of candidates.
+3. The members of a posting are posted under all their coordinates. Collisions
+   are counted by merging a member's lists: the shortest ones are merged, one
+   of which a pair at the threshold must share; the ``MATCHES`` - 1 longest are
+   skipped, and only looked into for the candidates that the merge has found.
+   Pairs at the threshold join a forest; what is connected already is skipped.
+   The forests give groups of candidates.
 4. In each group, whole shingle sets are compared, again skipping what is
    connected; only links confirmed on full sets remain.
 
@@ -121,11 +124,43 @@ def _forest(n: int, linked) -> list[tuple[int, int]]:
     return out
 
 
+class Postings:
+    """The signatures of a block posted under (coordinate, value), for counting collisions."""
+
+    def __init__(self, sig: np.ndarray):
+        n = len(sig)
+        key = (np.arange(COORDINATES, dtype=U64) << U64(32)) + sig
+        self.order = np.argsort(key.ravel(), kind="stable")
+        run = key.ravel()[self.order]
+        new = np.ones(len(run), bool)
+        new[1:] = run[1:] != run[:-1]
+        self.first = np.append(np.flatnonzero(new), len(run))
+        self.list = np.empty(len(run), np.int64)
+        self.list[self.order] = np.cumsum(new) - 1
+        self.list = self.list.reshape(n, COORDINATES)  # which list each coordinate of a member is in
+        self.size = np.diff(self.first)
+        self.member = self.order // COORDINATES
+        self.n = n
+
+    def collisions(self, i: int, least: int) -> np.ndarray:
+        """How many lists each member shares with ``i``; at least what counts if that is ``least`` or more, else less than ``least``."""
+        own = self.list[i]
+        own = own[np.argsort(self.size[own], kind="stable")]
+        merged, skipped = own[: COORDINATES - least + 1], own[COORDINATES - least + 1 :]
+        merged = merged[self.size[merged] > 1]
+        if not len(merged):
+            return np.zeros(self.n, np.int64)
+        count = np.bincount(np.concatenate([self.member[self.first[k] : self.first[k + 1]] for k in merged.tolist()]), minlength=self.n)
+        near = np.flatnonzero((count > 0) & (count + len(skipped) >= least))
+        count[near] += np.isin(self.list[near], skipped).sum(1)
+        return count
+
+
 def _collide(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.drop_duplicates("id")
     ids = pdf["id"].to_numpy()
-    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, COORDINATES)
-    links = _forest(len(ids), lambda i, rest: (sig[rest] == sig[i]).sum(1) >= MATCHES)
+    postings = Postings(np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, COORDINATES))
+    links = _forest(len(ids), lambda i, rest: postings.collisions(i, MATCHES)[rest] >= MATCHES)
     return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
 
 
