@@ -6,12 +6,14 @@ anywhere. Equal strings choose the same anchor in them (the smallest hash of a
 
 1. Each text is cut into runs of string starts that share an anchor.
 2. Runs whose anchor occurs once anywhere are done. A run whose whole span
-   occurs twice repeats throughout, and needs no bytes.
+   occurs twice, by a cryptographic digest of its bytes, repeats throughout and
+   needs no sort.
 3. Of the other spans with a shared anchor, one occurrence each is fetched and
    their suffixes are sorted: prefix polynomial hashes and binary search find
    the common extension of two suffixes, so a comparison in the mergesort
    takes a logarithmic number of steps. Neighbours that agree on ``length``
    bytes are compared byte by byte before they count.
+   Anchors with very many spans are dealt out by a digest of each string instead.
 4. The starts found go back to every occurrence of their span, and the bytes
    they cover are cut out of the texts.
 """
@@ -24,7 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factspan.llm.bytetext import U64, PrefixHash, chunks, mix
@@ -32,7 +34,7 @@ from factspan.llm.tables import discard, fresh, settled, written
 
 LENGTH = 200
 GRAM = 32
-#: Spans that share an anchor and are sorted in one task; more go by the hash of each string instead.
+#: Spans that share an anchor and are sorted in one task; more go by the digest of each string instead.
 SORTED_TOGETHER = 20_000
 _BATCH = 4_000
 
@@ -48,9 +50,9 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of string starts with one anchor: text, first start, number of starts, hashes of anchor and of span."""
+    """Runs of string starts with one anchor: text, first start, number of starts, hash of the anchor."""
     if len(data) < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),)
     p = PrefixHash(data)
     at = np.arange(len(data) - gram + 1)
     g = mix(p.of(at, at + gram))
@@ -64,8 +66,13 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple
     first = fine.copy()
     first[1:] &= ~fine[:-1] | ends[:-1]
     s, e = np.flatnonzero(first), np.flatnonzero(ends)
-    span = mix(p.of(s, e + length) ^ (e - s).astype(U64))
-    return text[s], s - offsets[text[s]], e - s + 1, least[s], span
+    return text[s], s - offsets[text[s]], e - s + 1, least[s]
+
+
+def digests(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """A cryptographic digest of 128 bits for each string of bytes."""
+    raw = memoryview(data.tobytes())
+    return pa.array([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), stop.tolist(), strict=True)], pa.binary())
 
 
 def suffix_sort(p: PrefixHash, data: np.ndarray, start: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,9 +143,9 @@ def compare(p: PrefixHash, data: np.ndarray, a: np.ndarray, b: np.ndarray, limit
 def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in chunks(batch, "text", 1 << 20):
-            text, s, n, anchor, span = runs(data, offsets, length, gram)
-            keys = rows.column("key").to_numpy(zero_copy_only=False)[text]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64)), pa.array(keys, pa.int64()), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "span", "key", "s", "n"])
+            text, s, n, anchor = runs(data, offsets, length, gram)
+            at = offsets[text] + s
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), digests(data, at, at + n + length - 1), rows.column("key").take(pa.array(text)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "span", "key", "s", "n"])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -152,7 +159,7 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                     out["anchor"].append(x["anchor"])
                     out["span"].append(x["span"])
                     out["bytes"].append(data[at : at + x["n"] + length - 1].tobytes())
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("anchor", pa.int64()), ("span", pa.int64()), ("bytes", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("anchor", pa.int64()), ("span", pa.binary()), ("bytes", pa.binary())]))
 
 
 def _repeats(spans: list[bytes], length: int) -> list[list[int]]:
@@ -183,11 +190,11 @@ def _repeats(spans: list[bytes], length: int) -> list[list[int]]:
 
 def _sort_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Batches arrive in order of anchor; anchors are handled whole, many at a time."""
-    held: list[tuple[int, int, bytes]] = []
+    held: list[tuple[int, bytes, bytes]] = []
 
-    def done(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    def done(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
         found = _repeats([r[2] for r in rows], length)
-        return pa.RecordBatch.from_pydict({"span": [r[1] for r in rows], "starts": found}, pa.schema([("span", pa.int64()), ("starts", pa.list_(pa.int32()))]))
+        return pa.RecordBatch.from_pydict({"span": [r[1] for r in rows], "starts": found}, pa.schema([("span", pa.binary()), ("starts", pa.list_(pa.int32()))]))
 
     for batch in batches:
         for at in range(0, batch.num_rows, _BATCH):
@@ -207,8 +214,7 @@ def _explode_strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator
         for anchor, span, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "span", "bytes")), strict=True):
             data = np.frombuffer(raw, np.uint8)
             at = np.arange(len(data) - length + 1)
-            h = mix(PrefixHash(data).of(at, at + length))
-            yield pa.RecordBatch.from_pydict({"string": h.view(np.int64), "span": np.full(len(at), span), "at": at.astype(np.int32)})
+            yield pa.RecordBatch.from_arrays([digests(data, at, at + length), pa.array([span] * len(at), pa.binary()), pa.array(at.astype(np.int32))], names=["string", "span", "at"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, kept: str | None) -> Iterator[pa.RecordBatch]:
@@ -230,14 +236,19 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, kept: str | None) -> It
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("key", F.xxhash64("text", F.octet_length("text")))
+    """Adds the first 128 bits of the SHA-256 digest of the text."""
+    return docs.withColumn("key", _key("text"))
+
+
+def _key(text: str) -> Column:
+    return F.substring(F.unhex(F.sha2(F.col(text).cast("binary"), 256)), 1, 16)
 
 
 def _covered(docs: DataFrame, length: int, gram: int, kept: str | None) -> tuple[DataFrame, DataFrame]:
     """Distinct texts with bytes to cut, as ``_cut`` returns them, and ``(key)`` of texts that have copies."""
     keyed = _keyed(docs.select("text")).where(f"octet_length(text) >= {length}")
     copied = written(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "copies")
-    found = written(keyed.mapInArrow(partial(_runs, length=length, gram=gram), "anchor bigint, span bigint, key bigint, s int, n int"), "runs")
+    found = written(keyed.mapInArrow(partial(_runs, length=length, gram=gram), "anchor bigint, span binary, key binary, s int, n int"), "runs")
     shared = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     held = written(found.join(shared, "anchor"), "shared")
     discard(found)
@@ -249,13 +260,13 @@ def _covered(docs: DataFrame, length: int, gram: int, kept: str | None) -> tuple
     edge = spans.join(kinds, "anchor")
     texts = written(keyed.join(held.select("key").distinct(), "key").dropDuplicates(["key"]).select("key", "text"), "texts")
     want = edge.groupBy("low.key").agg(F.collect_list(F.struct("anchor", "span", "low.s", "low.n")).alias("want"))
-    fetched = written(texts.join(want, "key").select("text", "want").mapInArrow(partial(_fetch, length=length), "anchor bigint, span bigint, bytes binary"), "fetched")
+    fetched = written(texts.join(want, "key").select("text", "want").mapInArrow(partial(_fetch, length=length), "anchor bigint, span binary, bytes binary"), "fetched")
 
     many = kinds.where(F.col("kinds") > SORTED_TOGETHER).select("anchor")
     sorted_ = (
-        fetched.join(many, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(partial(_sort_spans, length=length), "span bigint, starts array<int>")
+        fetched.join(many, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(partial(_sort_spans, length=length), "span binary, starts array<int>")
     )
-    strings = fetched.join(many, "anchor").mapInArrow(partial(_explode_strings, length=length), "string bigint, span bigint, at int")
+    strings = fetched.join(many, "anchor").mapInArrow(partial(_explode_strings, length=length), "string binary, span binary, at int")
     again = strings.groupBy("string").agg(F.count("*").alias("c")).where("c > 1").select("string")
     hashed = strings.join(again, "string").select("span", F.array("at", F.col("at") + 1).alias("starts"))
     whole = spans.where("twice").select("span", F.array(F.lit(0), F.col("low.n")).alias("starts"))
@@ -267,7 +278,7 @@ def _covered(docs: DataFrame, length: int, gram: int, kept: str | None) -> tuple
         .groupBy("key").agg(F.collect_set("r").alias("starts"))
     )
     kind = "string" if kept is None else "binary"
-    done = settled(texts.join(ranges, "key").mapInArrow(partial(_cut, length=length, kept=kept), f"key bigint, n_removed bigint, n_spans bigint, kept {kind}"))
+    done = settled(texts.join(ranges, "key").mapInArrow(partial(_cut, length=length, kept=kept), f"key binary, n_removed bigint, n_spans bigint, kept {kind}"))
     copied, old = settled(copied), copied
     discard(held, spans, texts, fetched, old)
     return done, copied
@@ -280,7 +291,8 @@ def repeat_report(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) ->
     string of ``length`` bytes that starts anywhere else too, in the same text
     or another, goes, overlaps included; what is judged is the input, not what
     is left. A text shorter than ``length`` loses nothing; rows that repeat a
-    text are copies of it. Texts are told apart by a 64-bit hash.
+    text are copies of it. Texts, and spans that are not sorted, are told apart
+    by cryptographic digests of 128 bits; sorted strings by their bytes.
     """
     done, copied = _covered(docs, length, gram, None)
     slim = _keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
@@ -300,6 +312,6 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH,
     key, kept, copy = fresh(docs, "key", "kept", "copy")
     done, copied = _covered(docs.select(F.col(text).alias("text")), length, gram, "text")
     done = done.select(F.col("key").alias(key), F.col("kept").alias(kept))
-    out = docs.withColumn(key, F.xxhash64(text, F.octet_length(text)))
+    out = docs.withColumn(key, _key(text))
     out = out.join(done, key, "left").join(copied.select(F.col("key").alias(key), F.lit(True).alias(copy)), key, "left")
     return out.withColumn(text, F.when(F.col(copy), F.lit("")).when(F.col(kept).isNotNull(), F.regexp_replace(F.make_valid_utf8(F.col(kept).cast("string")), "\ufffd", "")).otherwise(F.col(text))).select(*docs.columns)
