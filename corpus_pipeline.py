@@ -10,31 +10,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factspan.llm import bpe, decontaminate, linededup, minhash, toxicity
+from factspan.llm.tables import discard, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go; the model is fitted on the labels that are not held out."""
+    """Documents that score as toxic go; the model is fitted on the labels that are not held out.
+
+    Null and empty texts score as texts without hits; repeated rows are treated alike.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.fit_labels(docs, labels))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat or nearly repeat an earlier line go; ``n_chars`` follows the text."""
-    return linededup.drop_repeated_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Lines that repeat or nearly repeat an earlier line go, and documents that lose all their words by it.
+
+    ``n_chars``, where there is one, follows the text. Null, empty and blank
+    texts stay; rows that repeat an id and text lose the same lines.
+    """
+    out = linededup.drop_repeated_lines(docs, emptied=False)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    Texts without words, and rows with a null id, stay; rows that repeat an id stay or go together.
+    """
     return minhash.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark text go."""
+    """Documents that hold a window of a benchmark text go; null and empty texts hold none."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ``ids`` and ``n_tokens``, and ``decoded``, the text that the ids give back."""
+    """Adds ``ids`` and ``n_tokens``, and ``decoded``, the text that the ids give back.
+
+    Columns of these names are replaced; a null text counts as empty, and every row stays.
+    """
     return bpe.encode(docs, decoded="decoded").withColumn("n_tokens", F.size("ids").cast("long"))
 
 
@@ -51,8 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
+    """Apply the stages to ``documents``, each to the table that the one before it wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    before = None
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
