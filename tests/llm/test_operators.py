@@ -74,8 +74,8 @@ def test_decontamination(spark, docs, texts, block):
     for i, t in items:
         w = split(t)
         n = min(10, len(w))
-        for k in range(len(w) - n + 1 if n and i is not None else 0):
-            windows.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[k : k + n]), set()).update(() if i is None else (str(i),))
     expected = []
     for r in docs.select("doc_id", "text").collect():
         w, hit, ids = split(r["text"]), set(), set()
@@ -122,9 +122,45 @@ def test_embeddings(spark, monkeypatch, cell, block):
     assert embeddings.vector_links(df.where("false")).count() == 0
 
 
+def test_embeddings_extremes(spark):
+    rows = [(0, [1e200, 1e200], 1), (1, [1e200, 1.01e200], 1), (2, [1e-200, 1e-200], 2), (3, [0.9, 0.1], 2), (4, [1e-200, 1.01e-200], 2), (5, [5e-324, 5e-324], 3), (6, [1.0, 1.0], 3), (6, [1.0, -1.0], 3), (None, [2.0, 2.0], 3)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id bigint, embedding array<double>, label int, node string, vector string")
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.vector_links(df).collect())
+    assert got == Counter([(0, 1, 0, True), (1, 1, 0, False), (2, 1, 2, True), (4, 1, 2, False), (3, 0, 3, True), (5, 2, 5, True), (6, 2, 5, False), (6, 0, 6, True), (None, 2, 5, False)])
+
+
 # 3
 
 
+def test_network_is_its_definition():
+    rng = np.random.default_rng(1)
+    net = langid.Network(["a", "b", "c"], seed=3)
+    texts = [bytes(rng.integers(0, 256, n, np.uint8)) for n in (1, 3, 255, 256, 257, 1000)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    got, p = net.predict(data, np.cumsum([0, *map(len, texts)]))
+    for i, t in enumerate(texts):
+        logits = []
+        for at in range(0, len(t), langid.WINDOW):
+            x = t[at : at + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+            best = [max(sum(float(tables[k][x[j + k], f]) for k in range(w)) for j in range(langid.WINDOW - w + 1)) for w, tables in zip(langid.WIDTHS, net.tables, strict=True) for f in range(langid.FILTERS)]
+            logits.append(np.tanh(best) @ net.out + net.bias)
+        z = np.mean(logits, 0)
+        q = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i] == q.argmax() and abs(p[i] - q.max()) < 1e-4
+
+
+def test_language_odd_rows(spark):
+    rows = [(i % 90, "the and of in that " * (i % 7 + 1) if i % 30 else "el la que los " * 9, "en" if i % 30 else "es") for i in range(180)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    net = langid.fit(df, sample=10)
+    assert net.languages == ["en", "es"]
+    odd = spark.createDataFrame([(1, "the and of " * 40_000, 5, "x"), (2, None, 6, "y"), (2, None, 6, "y")], "doc_id bigint, text string, score int, lang_pred string")
+    got = langid.identify(odd, net)
+    assert got.columns == ["doc_id", "text", "lang_pred", "score"] and Counter(r["lang_pred"] for r in got.collect()) == {"en": 1, "und": 2}
+    with pytest.raises(ValueError):
+        langid.identify(odd, net, score="text")
+
+
 def test_language(spark, docs, nothing):
     rng = random.Random(1)
     sample = {"xx": "the and of in that with for", "yy": "der und die das mit für ß", "zz": "el la que los ñ por ción"}
@@ -158,6 +194,18 @@ def test_minhash(docs, nothing, texts, monkeypatch, posting, shingles):
     assert len(links) >= 8
 
 
+def test_collisions_are_counted():
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 4, (60, minhash.COORDINATES)).astype(np.uint32)
+    sig[20:40, :40] = sig[:20, :40]
+    lists = minhash.Postings(sig)
+    for i in range(len(sig)):
+        dense = (sig == sig[i]).sum(1)
+        got = lists.collisions(i, minhash.MATCHES)
+        assert ((got >= minhash.MATCHES) == (dense >= minhash.MATCHES)).all()
+        assert (got[dense >= minhash.MATCHES] == dense[dense >= minhash.MATCHES]).all()
+
+
 def test_minhash_drop(docs, nothing):
     kept = minhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
@@ -187,6 +235,13 @@ def test_token_counts(docs, nothing):
     assert tokencount.token_report(nothing).count() == 0
 
 
+def test_token_counts_odd_rows(spark):
+    rows = [(1, "漢字かな" * 400 + " ab", "x"), (2, "x" * 5_000, "y"), (2, "x" * 5_000, "y"), (3, None, None)]
+    got = tokencount.count_tokens(spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens string"))
+    counts = [r["n_tokens"] for r in got.orderBy("doc_id").collect()]
+    assert got.columns == ["doc_id", "text", "n_tokens"] and counts[1] == counts[2] > 0 and counts[3] == 0 and counts[0] > 400
+
+
 def test_token_counts_ties():
     pieces = tokencount.Pieces(pieces={"▁": -1.0, "a": -1.0, "b": -1.0, "ab": -2.0, "▁ab": -3.0})
     assert tokencount.count_words(pieces, ["ab", "a", "q", "aé"]).tolist() == [1, 2, 2, 4]
@@ -220,6 +275,15 @@ def test_line_dedup(spark, docs, nothing):
     assert linededup.drop_repeated_lines(nothing).count() == 0
 
 
+def test_line_dedup_compares_words(spark):
+    assert spark.sql("select hash('w254943') = hash('w267111')").first()[0]
+    rows = [(1, "w254943"), (2, "w267111"), (3, "a b c d e f w254943"), (4, "a b c d e f w267111"), (5, "w254943\n" + "z" * 60_000), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [(r["doc_id"], r["removed"]) for r in linededup.line_report(df).orderBy("doc_id").collect()] == [(None, ""), (1, ""), (2, ""), (3, ""), (4, ""), (5, "0")]
+    odd = spark.createDataFrame([(1, "a b"), (2, "a b\n a  b"), (3, ""), (4, None), (5, " ")], "doc_id bigint, text string")
+    assert [tuple(r) for r in linededup.drop_repeated_lines(odd, emptied=False).orderBy("doc_id").collect()] == [(1, "a b"), (3, ""), (4, None), (5, " ")]
+
+
 def test_line_dedup_is_native(docs):
     plan = linededup.line_report(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -266,6 +330,17 @@ def test_licenses(spark, nothing):
     assert licenses.with_license(df.withColumnRenamed("doc_id", "digest")).where("license = 'MIT'").count() == 2
 
 
+def test_license_texts(spark):
+    known = licenses.whole_texts()
+    frame = "/" * 900 + "  Licensed under the MIT License.  " + "*" * 900
+    rows = [(i, "Copyright 2001 Somebody\n" + t.upper().replace("\n", "  \n"), "x") for i, (_, t) in enumerate(known)] + [(900, frame, "x"), (901, frame + "\n" + "long " * 50_000, "x")]
+    got = {r["doc_id"]: r for r in licenses.license_report(spark.createDataFrame(rows, "doc_id bigint, text string, digest string")).collect()}
+    names = {got[i]["license"] for i in range(len(known))}
+    assert {"MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0"} <= names and None not in names
+    assert all(got[i]["license"].removesuffix("-untitled") == name.removesuffix("-untitled") for i, (name, _) in enumerate(known))
+    assert [(got[i]["n_notices"], got[i]["notices"]) for i in (900, 901)] == [(1, "MIT")] * 2
+
+
 # 9
 
 
@@ -345,6 +420,50 @@ def test_toxicity(spark, labelled, nothing):
     assert toxicity.toxicity_report(nothing.select("doc_id", "text"), labels).count() == 0
 
 
+def test_toxicity_words():
+    for text in ("坏人。你好，坏人", "Ünï-cøde ΣΑΣ İstanbul x²", "a_b 'c' “d”"):
+        p = toxicity.Points([text])
+        assert [p.word(k) for k in range(len(p.start))] == toxicity.words_of(text)
+
+
+def test_toxicity_features(spark, labelled):
+    """Hits, contexts and sums by plain loops over words."""
+    model = toxicity.fit_labels(labelled[1], labelled[2])
+    terms, n = model.automaton.terms, len(model.automaton.terms)
+    rng = random.Random(7)
+    marks = ["“{}”", '"{}"', "said {}", "called a {}", "{}", "{}\n"]
+    for _ in range(40):
+        words = [rng.choice(WORDS) for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 4)):
+            words.insert(rng.randint(0, len(words)), rng.choice(marks).format(rng.choice(["scoundrel", "scoundrol", "nitwit", "grobix", "alpha"])))
+        text = " ".join(words)
+        spans = [(m.start(), m.end()) for m in re.finditer("[a-z0-9]+", text)]
+        total, most, kinds = 0.0, 0.0, set()
+        for k, (a, b) in enumerate(spans):
+            hit = int(model.automaton.run(toxicity.Points([text[a:b]]))[0])
+            if hit < 0 or not model.weight[hit] > 0:
+                continue
+            left = text[max(0, spans[max(0, k - 8)][0] - 2) : a].split("\n")[-1]
+            right = text[b : spans[min(len(spans) - 1, k + 8)][1] + 2].split("\n")[0]
+            quoted = (left.count("“") > left.count("”") and "”" in right) or (left.count('"') % 2 and '"' in right)
+            before = [text[c:d] for c, d in spans[max(0, k - 8, k - 3) : k]]
+            w = model.weight[hit] * (toxicity.QUOTED if quoted else toxicity.REPORTED if set(before) & model.reporting else 1)
+            total, most = total + w, max(most, w)
+            kinds.add(hit)
+        want = [np.log1p(total), most, np.log1p(len(kinds)), np.log1p(100 * total / max(1, len(spans)))]
+        assert np.allclose(model.features([text])[0], want), text
+        z = (np.array(want) - model.centre) / model.scale @ model.coef[:-1] + model.coef[-1]
+        assert abs(model.score([text])[0] - 1 / (1 + np.exp(-z))) < 1e-9
+    assert n == len(terms) and model.weight[:n].min() > 0
+
+
+def test_toxicity_repeated_ids(spark, labelled):
+    rows, df, labels = labelled
+    again = df.unionByName(df).unionByName(df)
+    one, three = toxicity.fit(df, labels, sample=30), toxicity.fit(again, labels.unionByName(labels), sample=30)
+    assert one.automaton.terms == three.automaton.terms and np.allclose(one.coef, three.coef)
+
+
 def test_automaton_is_edit_distance():
     terms = [("stupid", False), ("trash", False), ("vequ", True)]
     auto = toxicity.Automaton(terms, {0, 1})
