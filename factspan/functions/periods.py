@@ -25,16 +25,31 @@ MONTH_FORMS = {
     "Dec": ["dec", "des", "desember", "december"],
 }
 MONTH_OF = {form: token for token, forms in MONTH_FORMS.items() for form in forms}
-QUARTER_OF = {form: f"Q{n}" for n, roman in enumerate(["i", "ii", "iii", "iv"], 1) for form in [roman, f"q{n}", f"q {n}", f"tw{n}", f"tw {n}", f"tw {roman}", f"triwulan {n}", f"triwulan {roman}", f"kuartal {n}", f"kuartal {roman}"]}
 ORDINAL_OF = {m: i for i, m in enumerate(MONTHS, 1)} | {q: i for i, q in enumerate(QUARTERS, 1)}
 
+#: What stands before a quarter's number, each in the spacing that is read, and Roman numbers.
+QUARTER_NAMES = ["q", "q ", "tw", "tw ", "triwulan ", "kuartal "]
+ROMANS = ["i", "ii", "iii", "iv"]
 _SEP = r"[\s.\-/']*"
 _QUARTER = r"(?:q|tw|triwulan|kuartal)[\s.]*(?:[1-4]|[iv]+)|[iv]+"
 
 
+def _quarter(text: Column) -> Column:
+    """Q1 to Q4 for a name and a number, or a Roman number alone or after a name that takes one; else null.
+
+    Only a name of two letters or more and a blank stands before a Roman number.
+    """
+    t = F.lower(F.trim(F.regexp_replace(text, r"[\s.]+", " ")))
+    digit = F.regexp_extract(t, rf"^(?:{'|'.join(QUARTER_NAMES)})([1-4])$", 1)
+    spaced = "|".join(n for n in QUARTER_NAMES if len(n) > 2 and n.endswith(" "))
+    roman = F.regexp_extract(t, rf"^(?:{spaced})?({'|'.join(ROMANS)})$", 1)
+    place = F.array_position(F.array(*map(F.lit, ROMANS)), roman)
+    return F.when(digit != "", F.concat(F.lit("Q"), digit)).when(place > 0, F.concat(F.lit("Q"), place.cast("string")))
+
+
 def quarter_token(text: Column) -> Column:
     """Q1 to Q4 for a bare quarter, or null."""
-    return lookup(QUARTER_OF, F.lower(F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(text), r"\*+$", "")), r"[\s.]+", " "))))
+    return _quarter(F.regexp_replace(F.trim(text), r"\*+$", ""))
 
 
 def month_token(text: Column) -> Column:
@@ -64,9 +79,9 @@ def parse_period(text: Column) -> Column:
         def found(year: Column, token: Column) -> Column:
             return F.when(year.isNotNull() & token.isNotNull(), F.struct(year.alias("year"), token.alias("period")))
 
-        name = lambda p, k: F.coalesce(lookup(MONTH_OF, F.lower(pick(p, k))), lookup(QUARTER_OF, F.lower(pick(p, k))))
+        name = lambda p, k: F.coalesce(lookup(MONTH_OF, F.lower(pick(p, k))), _quarter(pick(p, k)))
         month = lambda p, k: F.get(F.array(*map(F.lit, MONTHS)), pick(p, k).try_cast("int") - 1)
-        quarter = lambda p, k: lookup(QUARTER_OF, F.lower(F.trim(F.regexp_replace(pick(p, k), r"[\s.]+", " "))))
+        quarter = lambda p, k: _quarter(pick(p, k))
         forms = [
             (rf"^([A-Za-z]+){_SEP}(\d{{2}}|\d{{4}})$", 2, 1, name),
             (rf"^(\d{{4}}){_SEP}([A-Za-z]+)$", 1, 2, name),

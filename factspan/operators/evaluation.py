@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,77 +38,99 @@ def extraction_recall(labels: DataFrame, found: DataFrame, keys: list[str]) -> D
     return n.withColumn("recall", F.round(F.coalesce(F.try_divide(F.col("n_found").cast("double"), F.col("n_labels")), F.lit(0.0)), 6))
 
 
-def match_results(labels: DataFrame, results: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """``(case_id, claim_id, result_id)``: results matched to labels one to one, greedily in order of labels.
+def pair_off(labels: DataFrame, results: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """``(case_id, claim_id, result_id)``: results given to labels one to one, in order of labels.
 
     ``labels(case_id, claim_id, operation, metric, periods, claimed_value)`` and
     ``results(case_id, result_id, operation, metric, periods, claimed_value)``.
     A result fits when the operation is equal, its periods include the label's,
-    and one metric, letters and digits only, contains the other; one that
-    states the claimed value goes first. A used result is gone for later labels,
-    so a case is one task; cases are single documents. A label without a result
-    has a null ``result_id``.
+    and one metric, letters and digits only, contains the other. The fits are a
+    join; only the choice is sequential, as a used result is gone for later
+    labels: of what fits and is free, one that states the claimed value goes
+    first, then the one with the least id. A case is one task; cases are single
+    documents. A label without a result has a null ``result_id``.
     """
     plain = F.regexp_replace(F.lower("metric"), "[^a-z0-9]", "")
-    sides = [df.select("case_id", F.lit(k).alias("side"), F.col(i).cast("string").alias("id"), "operation", plain.alias("metric"), F.col("periods").cast("array<string>").alias("periods"), "claimed_value") for k, (df, i) in enumerate(((labels, "claim_id"), (results, "result_id")))]
+    side = lambda df, key, p: df.select("case_id", F.col(key).cast("string").alias(key), "operation", plain.alias(f"{p}_metric"), F.col("periods").cast("array<string>").alias(f"{p}_periods"), F.col("claimed_value").alias(f"{p}_value"))
+    a, b = side(labels, "claim_id", "a"), side(results, "result_id", "b")
+    fits = a.join(b, ["case_id", "operation"]).where((F.size(F.array_except("a_periods", "b_periods")) == 0) & (F.contains("a_metric", "b_metric") | F.contains("b_metric", "a_metric")))
+    states = F.coalesce(F.abs(F.col("a_value") - F.col("b_value")) <= tolerance, F.lit(False))
+    wishes = fits.groupBy("case_id", "claim_id").agg(F.array_sort(F.collect_list(F.struct((~states).alias("k"), "result_id"))).alias("w"))
+    wishes = wishes.select("case_id", "claim_id", F.transform("w", lambda x: x["result_id"]).alias("w"))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        used: set[str] = set()
+        got = []
+        for wish in pdf.sort_values("claim_id")["w"]:
+            got.append(next((r for r in wish if r not in used), None))
+            used.add(got[-1])
+        return pdf.sort_values("claim_id").assign(result_id=got)[["case_id", "claim_id", "result_id"]]
+
     kind = labels.schema["case_id"].dataType.simpleString()
+    chosen = wishes.groupBy("case_id").applyInPandas(choose, f"case_id {kind}, claim_id string, result_id string")
+    return a.select("case_id", "claim_id").join(chosen, ["case_id", "claim_id"], "left")
+
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        wanted = pdf[pdf["side"] == 0].sort_values("id")
-        rest = list(pdf[pdf["side"] == 1].sort_values("id").itertuples())
-        out = []
-        for w in wanted.itertuples():
-            fits = [r for r in rest if r.operation == w.operation and set(w.periods) <= set(r.periods) and (w.metric in r.metric or r.metric in w.metric)]
-            stated = [r for r in fits if pd.notna(w.claimed_value) and pd.notna(r.claimed_value) and abs(r.claimed_value - w.claimed_value) <= tolerance]
-            best = (stated or fits or [None])[0]
-            if best is not None:
-                rest.remove(best)
-            out.append((w.case_id, w.id, best.id if best is not None else None))
-        return pd.DataFrame(out, columns=["case_id", "claim_id", "result_id"])
+def longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of pairs that ascend on both sides, by patience sorting: piles of least ends, found by bisection."""
+    from bisect import bisect_left
 
-    return sides[0].unionByName(sides[1]).groupBy("case_id").applyInPandas(match, f"case_id {kind}, claim_id string, result_id string")
+    tops: list[int] = []
+    last: list[int] = []
+    back: list[int] = []
+    pairs = sorted(pairs, key=lambda p: (p[0], -p[1]))  # of one left place, at most one pair can be in a run
+    for k, (_, j) in enumerate(pairs):
+        pile = bisect_left(tops, j)
+        tops[pile : pile + 1] = [j]
+        last[pile : pile + 1] = [k]
+        back.append(last[pile - 1] if pile else -1)
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = back[k]
+    return out[::-1]
 
 
-def align_rows(rows: DataFrame, ratio: float = 0.85, prefix: int = 12) -> DataFrame:
-    """``(page_id, a_ord, b_ord)``: the longest order-preserving alignment of two row sequences of a page.
+def sequence_pairs(rows: DataFrame, ratio: float = 0.85, prefix: int = 12) -> DataFrame:
+    """``(page_id, a_ord, b_ord)``: the longest order-preserving matching of two row sequences of a page.
 
     ``rows(page_id, side, ord, label)`` with side ``a`` or ``b``. Labels are
     equal when their letters and digits are, or, where neither has an exact
     partner on the other side, when one begins with ``prefix`` characters of
-    the other or their sequence ratio reaches ``ratio``. A page is one task.
+    the other or their sequence ratio reaches ``ratio``. Pages are small, and
+    each is one task.
     """
     from difflib import SequenceMatcher
 
     plain = F.regexp_replace(F.lower("label"), "[^a-z0-9]", "")
     kind = rows.schema["page_id"].dataType.simpleString()
 
-    def align(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (pdf[pdf["side"] == s].sort_values("ord") for s in "ab")
-        x, y = list(a["label"]), list(b["label"])
-
-        def same(p: str, q: str) -> bool:
-            if p == q:
-                return True
-            if p in y or q in x:
-                return False
-            short = min(len(p), len(q))
-            return (short >= prefix and (p.startswith(q) or q.startswith(p))) or SequenceMatcher(None, p, q).ratio() >= ratio
-
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        eq = [[same(p, q) for q in y] for p in x]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if eq[i][j] else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        out = []
-        while i < len(x) and j < len(y):
-            if eq[i][j]:
-                out.append((pdf["page_id"].iloc[0], int(a["ord"].iloc[i]), int(b["ord"].iloc[j])))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-        return pd.DataFrame(out, columns=["page_id", "a_ord", "b_ord"])
-
-    return rows.select("page_id", "side", "ord", plain.alias("label")).groupBy("page_id").applyInPandas(align, f"page_id {kind}, a_ord int, b_ord int")
+    def alike(p: str, q: str) -> bool:
+        short, long = sorted((p, q), key=len)
+        return (len(short) >= prefix and long.startswith(short)) or SequenceMatcher(None, p, q).ratio() >= ratio
+
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        places = pdf.groupby(["side", "label"])["ord"].apply(list)
+        left, right = (places[s].to_dict() if s in places.index.get_level_values(0) else {} for s in "ab")
+        found = [(i, j) for label in left.keys() & right.keys() for i in left[label] for j in right[label]]
+        alone = [label for label in right if label not in left]
+        found += [(i, j) for p in left if p not in right for q in alone if alike(p, q) for i in left[p] for j in right[q]]
+        out = pd.DataFrame(longest_chain(found), columns=["a_ord", "b_ord"])
+        return out.assign(page_id=pdf["page_id"].iloc[0])[["page_id", "a_ord", "b_ord"]]
+
+    return rows.select("page_id", "side", F.col("ord").cast("int").alias("ord"), plain.alias("label")).groupBy("page_id").applyInPandas(pair, f"page_id {kind}, a_ord int, b_ord int")
+
+
+def within(computed: Column, expected: Column, tolerance: float = 0.05) -> Column:
+    """Whether a computed value is the expected one; null where none is expected, false where none was computed."""
+    return F.when(expected.isNotNull(), F.coalesce(F.abs(computed - expected) <= tolerance, F.lit(False)))
+
+
+def issue_scores(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """One row ``(tp, fp, fn, precision, recall, f1)`` of issues ``(case_id, word, category)``; words in lower case with single blanks."""
+    key = lambda df: df.select("case_id", F.trim(F.regexp_replace(F.lower("word"), r"(?U)\s+", " ")).alias("word"), "category").distinct()
+    both = key(expected).withColumn("e", F.lit(1)).join(key(found).withColumn("f", F.lit(1)), ["case_id", "word", "category"], "full")
+    n = both.agg(F.count_if(F.col("e").isNotNull() & F.col("f").isNotNull()).alias("tp"), F.count_if(F.col("e").isNull()).alias("fp"), F.count_if(F.col("f").isNull()).alias("fn"))
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0)), 6)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return n.select("tp", "fp", "fn", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))

@@ -695,7 +695,7 @@ def label_matching_greedy(spark, sf):
     f = order_facts(spark, sf)
     base = f.select(F.col("year").alias("case_id"), _id().alias("claim_id"), F.lit("value").alias("operation"), F.col("row_label").alias("metric"), F.array("period").alias("periods"), F.col("value").alias("claimed_value"))
     found = base.where("claimed_value > 1").withColumn("metric", F.concat(F.lit("Order value "), F.col("metric"))).withColumnRenamed("claim_id", "result_id")
-    return evaluation.match_results(base, found)
+    return evaluation.pair_off(base, found)
 
 
 @query()
@@ -703,7 +703,7 @@ def row_alignment(spark, sf):
     n = _t(spark, sf, "nation")
     a = n.select(F.col("n_regionkey").alias("page_id"), F.lit("a").alias("side"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("label"))
     b = a.where("ord % 3 <> 0").withColumns({"side": F.lit("b"), "label": F.lower("label")})
-    return evaluation.align_rows(a.unionByName(b))
+    return evaluation.sequence_pairs(a.unionByName(b))
 
 
 @query("SELECT count(*) AS n_labels, count(*) FILTER (value > 10) AS n_found, 0::BIGINT AS n_spurious, round(count(*) FILTER (value > 10)::DOUBLE / count(*), 6) AS recall FROM (" + ORDERS_SQL + ")")

@@ -114,9 +114,9 @@ def test_evaluation(spark):
     sides = "case_id int, {} string, operation string, metric string, periods array<string>, claimed_value double"
     labels = spark.createDataFrame([(1, "l1", "value", "Kredit", ["Jan"], 2.0), (1, "l2", "value", "Kredit", ["Jan"], 1.0), (1, "l3", "sum", "Kredit", ["Jan"], 1.0)], sides.format("claim_id"))
     results = spark.createDataFrame([(1, "r1", "value", "Kredit Bank", ["Jan", "Feb"], 1.0), (1, "r2", "value", "kredit", ["Jan"], 2.0)], sides.format("result_id"))
-    assert {r["claim_id"]: r["result_id"] for r in evaluation.match_results(labels, results).collect()} == {"l1": "r2", "l2": "r1", "l3": None}
+    assert {r["claim_id"]: r["result_id"] for r in evaluation.pair_off(labels, results).collect()} == {"l1": "r2", "l2": "r1", "l3": None}
     rows = spark.createDataFrame([(1, "a", i, x) for i, x in enumerate(["Uang Beredar", "Uang Kartal di Luar Bank", "Giro"])] + [(1, "b", i, x) for i, x in enumerate(["uang beredar", "Tabungan", "Uang Kartal di Luar"])], "page_id int, side string, ord int, label string")
-    assert [(r["a_ord"], r["b_ord"]) for r in evaluation.align_rows(rows).collect()] == [(0, 0), (1, 2)]
+    assert [(r["a_ord"], r["b_ord"]) for r in evaluation.sequence_pairs(rows).collect()] == [(0, 0), (1, 2)]
 
 
 @pytest.mark.parametrize("sql", ["CREATE TABLE t AS SELECT 1", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "DROP TABLE t", "SELECT reflect('java.lang.System', 'exit', 0)", "SET x = 1", "SELECT java_method('a', 'b')", "CACHE TABLE t"])
