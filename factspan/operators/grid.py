@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from factspan.functions import labels as L
 from factspan.functions import periods as P
 from factspan.functions.numbers import parse_number
+from factspan.sources.tables import settled
 
 HEADER_SCAN = 20
 PROBE_ROWS = 6
@@ -28,9 +29,17 @@ def is_empty() -> Column:
 
 
 def cell_text() -> Column:
-    """A cell as printed; whole numbers without a decimal point."""
+    """A cell as printed; whole numbers without a decimal point, times as date and time."""
     whole = F.col("d_val") == F.floor("d_val")
-    return F.when(F.col("kind") == "num", F.when(whole, F.col("d_val").cast("long").cast("string")).otherwise(F.col("d_val").cast("string"))).otherwise(F.col("s_val"))
+    number = F.when(whole, F.col("d_val").cast("long").cast("string")).otherwise(F.col("d_val").cast("string"))
+    return F.when(F.col("kind") == "num", number).when(F.col("kind") == "date", F.date_format("ts_val", "yyyy-MM-dd HH:mm:ss")).otherwise(F.col("s_val"))
+
+
+def cell_period() -> Column:
+    """``struct(year, period)`` of a header cell: a date's month, or what its text says, or null."""
+    year = F.year("ts_val")
+    dated = F.struct(year.alias("year"), F.get(F.array(*map(F.lit, P.MONTHS)), F.month("ts_val") - 1).alias("period"))
+    return F.when(F.col("kind") == "date", F.when(year.between(1990, 2100), dated)).otherwise(P.parse_period(cell_text()))
 
 
 def merged_fill(cells: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -82,7 +91,7 @@ def single_header_facts(cells: DataFrame) -> DataFrame:
     headers = header_rows(cells)
     at = headers.join(label_columns(cells, headers), "source_id")
     full = cells.where(~is_empty()).join(at, "source_id")
-    cols = full.where("r = header_row and c <> label_col").select("source_id", "c", F.trim(cell_text()).alias("head"), P.parse_period(cell_text()).alias("p"))
+    cols = full.where("r = header_row and c <> label_col").select("source_id", "c", F.trim(cell_text()).alias("head"), cell_period().alias("p"))
     share = F.avg(F.col("p").isNotNull().cast("int")).over(Window.partitionBy("source_id"))
     n = F.count_if(F.col("p").isNotNull()).over(Window.partitionBy("source_id"))
     cols = cols.withColumn("temporal", (n >= 2) & (share >= PERIOD_SHARE)).where("not temporal or p is not null")
@@ -151,33 +160,39 @@ def sparse_year_columns(columns: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def carry_labels(rows: DataFrame) -> DataFrame:
-    """Composite labels of rows with a block of label columns, names carried down.
-
-    ``rows(source_id, r, parts array<string>)``. A name of its own at a level
-    clears the levels below; a blank takes the name above unless the row has a
-    name further left; markers are blanks. The carry depends on the order of
-    rows, so each sheet is one task; sheets are bounded by their format.
+    """``(source_id, r, row_label, short)``: composite labels of rows with a block of label columns, names carried down.
+
+    ``rows(source_id, r, parts array<string>)``, and ``stored`` whether the row
+    has numbers (true where there is no such column). A name of its own at a
+    level clears the levels below; a blank takes the name above unless the row
+    has a name further left; markers are blanks, unless the row then has no
+    label at all. ``short`` is the label without the names that come from rows
+    without numbers. The carry depends on the order of rows, so each sheet is
+    one task; sheets are bounded by their format.
     """
 
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: list[str] = []
-        out = []
-        for parts in pdf.sort_values("r")["parts"]:
-            parts = list(parts)
-            held += [""] * (len(parts) - len(held))
-            named = False
-            row = []
-            for k, part in enumerate(parts):
-                if part:
-                    held[k:] = [part, *[""] * (len(held) - k - 1)]
-                    named = True
-                row.append(held[k] if part or not named else "")
-            out.append(row)
-        return pdf.sort_values("r").assign(parts=out)[["source_id", "r", "parts"]]
-
+        pdf = pdf.sort_values("r")
+        held: list[tuple[str, bool]] = []  # the name at each level, and whether a row with numbers gave it
+        whole, short = [], []
+        for parts, stored in zip(pdf["parts"], pdf["stored"], strict=True):
+            held += [("", True)] * (len(parts) - len(held))
+            given = [k for k, part in enumerate(parts) if part]
+            for k in given:
+                held[k:] = [(parts[k], bool(stored))] + [("", True)] * (len(held) - k - 1)
+            row = [held[k] if k in given or not given or k < given[0] else ("", True) for k in range(len(parts))]
+            whole.append([name for name, _ in row])
+            short.append([name if k in given or kept else "" for k, (name, kept) in enumerate(row)])
+        return pdf.assign(whole=whole, short=short)[["source_id", "r", "raw", "whole", "short"]]
+
+    stored = F.col("stored") if "stored" in rows.columns else F.lit(True)
     clean = F.transform("parts", lambda p: F.when(F.coalesce(L.is_marker(p), F.lit(True)), "").otherwise(L.squeezed(p)))
-    held = rows.select("source_id", "r", clean.alias("parts")).groupBy("source_id").applyInPandas(carry, rows.select("source_id", "r", "parts").schema)
-    return held.select("source_id", "r", L.composite(F.col("parts")).alias("row_label"))
+    kind = rows.schema["source_id"].dataType.simpleString()
+    every = rows.select("source_id", F.col("r").cast("int").alias("r"), F.col("parts").alias("raw"), clean.alias("parts"), stored.alias("stored"))
+    held = every.groupBy("source_id").applyInPandas(carry, f"source_id {kind}, r int, raw array<string>, whole array<string>, short array<string>")
+    label, raw = L.composite(F.col("whole")), L.composite(F.transform("raw", L.squeezed))
+    held = held.select("source_id", "r", F.when(label != "", label).otherwise(raw).alias("row_label"), L.composite(F.col("short")).alias("short"))
+    return held.withColumn("short", F.when(F.col("short") != "", F.col("short")).otherwise(F.col("row_label")))
 
 
 def drop_redundant_qualifiers(labels: DataFrame) -> DataFrame:
@@ -190,14 +205,18 @@ def drop_redundant_qualifiers(labels: DataFrame) -> DataFrame:
 def qualify_by_parent(rows: DataFrame) -> DataFrame:
     """``(source_id, r, label)``: labels that repeat get the nearest row above with a smaller indent in front.
 
-    ``rows(source_id, r, label, indent)``. Only repeated labels are joined to
-    the rows of their own sheet.
+    ``rows(source_id, r, label, indent)``. Each row stands once for each deeper
+    indent of its sheet, so that the last one above is found in one sorted pass
+    over each indent.
     """
     n = F.count("*").over(Window.partitionBy("source_id", "label"))
-    marked = rows.withColumn("_n", n)
-    again = marked.where("_n > 1").select("source_id", "r", "label", "indent")
-    above = rows.select("source_id", F.col("r").alias("_r"), F.col("label").alias("_label"), F.col("indent").alias("_indent"))
-    parent = again.join(above, "source_id").where("_r < r and _indent < indent").groupBy("source_id", "r").agg(F.max_by("_label", "_r").alias("parent"))
+    marked = rows.select("source_id", "r", "label", "indent", n.alias("_n"))
+    again = marked.where("_n > 1")
+    depths = again.groupBy("source_id").agg(F.collect_set("indent").alias("depths"))
+    above = rows.join(depths, "source_id").select("source_id", F.explode(F.filter("depths", lambda d: d > F.col("indent"))).alias("depth"), "r", F.col("label").alias("_label"), F.lit(False).alias("_asks"))
+    asks = again.select("source_id", F.col("indent").alias("depth"), "r", F.lit(None).cast("string").alias("_label"), F.lit(True).alias("_asks"))
+    w = Window.partitionBy("source_id", "depth").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    parent = above.unionByName(asks).withColumn("parent", F.last("_label", ignorenulls=True).over(w)).where("_asks").select("source_id", "r", "parent")
     out = marked.join(parent, ["source_id", "r"], "left")
     return out.select("source_id", "r", F.when(F.col("parent").isNotNull(), F.concat("parent", F.lit(L.QUALIFIER), "label")).otherwise(F.col("label")).alias("label"))
 
@@ -233,8 +252,10 @@ def two_row_facts(cells: DataFrame) -> DataFrame:
 
     Blocks may be stacked: a block's rows end where the next one's header
     begins. Periods that two columns of a block claim are dropped. The label
-    columns are the text columns left of a block's first data column; their
-    names are carried down. Of facts with equal keys the first counts.
+    columns are the last run of neighbouring text columns left of a block's
+    first data column; their names are carried down, and names that come from
+    rows without numbers go where the rest is unique in the sheet. Of facts
+    with equal keys the first counts.
     """
     blocks = header_blocks(cells)
     end = F.coalesce(F.lead("year_row").over(Window.partitionBy("source_id").orderBy("year_row")), F.lit(1 << 30))
@@ -245,13 +266,22 @@ def two_row_facts(cells: DataFrame) -> DataFrame:
     body = cells.where(~is_empty()).join(blocks, "source_id").where("r > year_row + 1 and r < end_row").join(first, ["source_id", "year_row"])
     values = body.where("kind = 'num'").join(cols, ["source_id", "year_row", "c"]).select("source_id", "year_row", "r", "c", "year", "period", F.col("d_val").alias("value"))
     texts = body.where("kind = 'text' and c < first_col")
-    width = texts.groupBy("source_id", "year_row").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    w = Window.partitionBy("source_id", "year_row").orderBy(F.desc("c"))
+    used = texts.select("source_id", "year_row", "c").distinct().withColumn("run", F.col("c") + F.row_number().over(w))
+    used = used.withColumn("last", F.max("run").over(Window.partitionBy("source_id", "year_row"))).where("run = last")
+    width = used.groupBy("source_id", "year_row").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    texts = texts.join(used.select("source_id", "year_row", "c"), ["source_id", "year_row", "c"], "left_semi")
     parts = texts.join(width, ["source_id", "year_row"]).groupBy("source_id", "year_row", "r").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.map_from_entries(F.collect_list(F.struct("c", "s_val"))).alias("m"))
-    parts = parts.select(F.struct("source_id", "year_row").alias("source_id"), "r", F.transform(F.sequence("lo", "hi"), lambda c: F.col("m")[c]).alias("parts"))
-    key = parts.select(F.to_json("source_id").alias("source_id"), "r", "parts")
-    named = carry_labels(key).select(F.from_json("source_id", "source_id string, year_row int").alias("k"), "r", "row_label")
-    named = named.select(F.col("k.source_id").alias("source_id"), F.col("k.year_row").alias("year_row"), "r", "row_label").where("row_label <> ''")
-    facts = values.join(named, ["source_id", "year_row", "r"])
+    stored = values.select("source_id", "year_row", "r").distinct().withColumn("stored", F.lit(True))
+    parts = parts.join(stored, ["source_id", "year_row", "r"], "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
+    parts = parts.select(F.struct("source_id", "year_row").alias("source_id"), "r", F.transform(F.sequence("lo", "hi"), lambda c: F.col("m")[c]).alias("parts"), "stored")
+    key = parts.select(F.to_json("source_id").alias("source_id"), "r", "parts", "stored")
+    named = carry_labels(key).select(F.from_json("source_id", "source_id string, year_row int").alias("k"), "r", "row_label", "short")
+    named = named.select(F.col("k.source_id").alias("source_id"), F.col("k.year_row").alias("year_row"), "r", "row_label", "short").where("row_label <> ''")
+    named = named.join(stored, ["source_id", "year_row", "r"])
+    labels = named.groupBy("source_id", "row_label").agg(F.min_by("short", "r").alias("short")).withColumn("label", F.col("row_label"))
+    labels = drop_redundant_qualifiers(labels).select("source_id", "row_label", "label")
+    facts = values.join(named, ["source_id", "year_row", "r"]).join(labels, ["source_id", "row_label"]).drop("row_label").withColumnRenamed("label", "row_label")
     kept = facts.groupBy("source_id", "row_label", "year", "period").agg(F.min_by(F.struct("r", "value"), F.struct("r", "c")).alias("v"))
     return kept.select("source_id", "row_label", F.col("v.r").alias("row_ord"), "year", "period", F.col("v.value").alias("value"))
 
@@ -317,3 +347,151 @@ def collapsed(facts: DataFrame) -> DataFrame:
     """``(source_id, collapsed)``: whether a parse gave one label to several rows."""
     rows = facts.select("source_id", "row_label", "row_ord").distinct()
     return rows.groupBy("source_id").agg((F.count_distinct("row_label") < F.count("*")).alias("collapsed"))
+
+
+#: Where sheets of the statistical layout have labels and data, how far their header is looked for, and what ends their rows.
+LABEL_COLUMN = 2
+FIRST_DATA = 3
+YEAR_SCAN = 10
+FOOTNOTE = r"^\d+\)"
+LONGEST_LABEL = 120
+
+
+def anchored_columns(columns: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``(source_id, c, year, period)``: years of month columns from years printed anywhere in their block.
+
+    ``columns(source_id, c, period)``, ``anchors(source_id, c, year)`` on month
+    columns. A year's January is as many month columns to the left as its
+    anchor's month says, by the leftmost anchor for which there is one; the year
+    holds from there to the next such January.
+    """
+    w = Window.partitionBy("source_id").orderBy("c")
+    placed = columns.withColumn("place", F.row_number().over(w))
+    begins = placed.join(anchors, ["source_id", "c"]).withColumn("place", F.col("place") - P.ordinal(F.col("period")) + 1).where("place >= 1")
+    begins = begins.groupBy("source_id", "year").agg(F.min_by("place", "c").alias("place")).groupBy("source_id", "place").agg(F.max("year").alias("begin"))
+    known = placed.join(begins, ["source_id", "place"], "left").withColumn("year", F.last("begin", ignorenulls=True).over(w))
+    return known.where("year is not null").select("source_id", "c", "year", "period")
+
+
+def statistical_facts(cells: DataFrame) -> DataFrame:
+    """``(source_id, row_label, row_ord, year, period, value)`` of sheets of the statistical layout.
+
+    The first of the first rows with a year is the row of years, the next one
+    that of months; labels stand in one column, indented under their parents.
+    Rows end at a footnote or an overlong label. Labels that repeat get their
+    parent in front; of facts with equal keys the first counts.
+    """
+    full = cells.where(~is_empty())
+    years = full.where((F.col("kind") == "num") & F.col("d_val").between(1990, 2100) & (F.col("r") < YEAR_SCAN))
+    head = years.groupBy("source_id").agg(F.min("r").alias("year_row"))
+    at = full.join(head, "source_id")
+    months = at.where(f"r = year_row + 1 and c >= {FIRST_DATA}").select("source_id", "c", P.month_token(F.col("s_val")).alias("period")).where("period is not null")
+    anchors = at.where("r = year_row and kind = 'num' and d_val between 1990 and 2100").select("source_id", "c", F.col("d_val").cast("int").alias("year"))
+    cols = anchored_columns(months, anchors)
+    body = at.where("r > year_row + 1")
+    names = body.where(f"c = {LABEL_COLUMN}").withColumn("label", F.trim(cell_text()))
+    stop = names.where(F.col("label").rlike(FOOTNOTE) | (F.length("label") > LONGEST_LABEL)).groupBy("source_id").agg(F.min("r").alias("stop"))
+    names = names.join(stop, "source_id", "left").where("stop is null or r < stop")
+    named = qualify_by_parent(names.select("source_id", "r", "label", "indent")).withColumnRenamed("label", "row_label")
+    facts = body.where("kind = 'num'").select("source_id", "r", "c", F.col("d_val").alias("value")).join(cols, ["source_id", "c"]).join(named, ["source_id", "r"])
+    kept = facts.groupBy("source_id", "row_label", "year", "period").agg(F.min_by(F.struct("r", "value"), F.struct("r", "c")).alias("v"))
+    return kept.select("source_id", "row_label", F.col("v.r").alias("row_ord"), "year", "period", F.col("v.value").alias("value"))
+
+
+#: Parsers of a sheet in order of trust; the last is the first again, for sheets that nothing else reads.
+PARSERS = ["statistical", "two_row", "single_header", "statistical_collapsed"]
+
+
+def parse_sheets(cells: DataFrame, merges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(sources, facts)`` of whole sheets: merged cells filled, then the first parser that reads a sheet.
+
+    ``sources(source_id, title, unit, axis, parser)``, ``parser`` one of
+    ``PARSERS`` or null where none reads the sheet and it can only be pointed
+    into. A statistical parse that gives rows one label is only a last resort.
+    Cells and the facts of each parser are computed once, as several steps read them.
+    """
+    cells = settled(cells)
+    filled = settled(merged_fill(cells, merges.select("source_id", "r0", "r1", "c0", "c1"))) if merges is not None else cells
+    plain = settled(statistical_facts(cells))
+    flat = collapsed(plain).where("collapsed").select("source_id")
+    two, one = settled(two_row_facts(filled)), settled(single_header_facts(filled))
+    facts = settled(cascade([plain.join(flat, "source_id", "left_anti"), two, one, plain.join(flat, "source_id", "left_semi")]))
+    blocks = header_blocks(filled).groupBy("source_id").agg(F.min("year_row").alias("two"))
+    single = header_rows(filled).withColumnRenamed("header_row", "one")
+    firsts = cells.where((F.col("kind") == "num") & F.col("d_val").between(1990, 2100) & (F.col("r") < YEAR_SCAN)).groupBy("source_id").agg(F.min("r").alias("year_row"))
+    used = facts.groupBy("source_id").agg(F.first("parser").alias("parser"), F.bool_or(F.col("col_label").isNotNull()).alias("placed"))
+    every = cells.select("source_id").distinct().join(used, "source_id", "left")
+    top = every.join(blocks, "source_id", "left").join(single, "source_id", "left").join(firsts, "source_id", "left")
+    top = top.select("source_id", F.when(F.col("parser") == 1, F.col("two")).when(F.col("parser") == 2, F.col("one")).otherwise(F.coalesce("year_row", "one", "two")).alias("header_row"))
+    named = titles(cells, top.where("header_row is not null"))
+    parser = F.get(F.array(*map(F.lit, PARSERS)), F.col("parser"))
+    axis = F.when(F.col("placed"), "categorical").otherwise("temporal")
+    return every.join(named, "source_id", "left").select("source_id", "title", "unit", axis.alias("axis"), parser.alias("parser")), facts
+
+
+def pad_header(headers: DataFrame, body: DataFrame) -> DataFrame:
+    """``(table_id, r, cells)``: header rows with a blank in front where the last one lacks the label column.
+
+    ``headers(table_id, r, cells array<string>)`` and ``body`` the same. A
+    blank is put before all of a table's header rows if the last of them is one
+    cell narrower than most body rows (of equally common widths the one seen
+    first), these have two cells or more, and some body row begins with text.
+    """
+    widths = body.groupBy("table_id", F.size("cells").alias("w")).agg(F.count("*").alias("n"), F.min("r").alias("at"))
+    common = widths.groupBy("table_id").agg(F.min_by("w", F.struct(-F.col("n"), "at")).alias("w"))
+    named = body.groupBy("table_id").agg(F.bool_or(F.coalesce((F.trim(F.get("cells", F.lit(0))) != "") & printed_cell(F.get("cells", F.lit(0))).isNull(), F.lit(False))).alias("named"))
+    last = headers.groupBy("table_id").agg(F.max_by(F.size("cells"), "r").alias("h"))
+    short = common.join(named, "table_id").join(last, "table_id").where("named and w >= 2 and h = w - 1").select("table_id", F.lit(True).alias("short"))
+    blank = F.array(F.lit(None).cast("string"))
+    return headers.join(short, "table_id", "left").select("table_id", "r", F.when(F.col("short"), F.concat(blank, "cells")).otherwise(F.col("cells")).alias("cells"))
+
+
+def usable_tables(headers: DataFrame, body: DataFrame) -> DataFrame:
+    """``(table_id)`` of printed tables with a header, two body rows or more, a number, and no body row that repeats the last header row."""
+    plain = F.transform("cells", lambda x: F.trim(F.coalesce(x, F.lit(""))))
+    last = headers.groupBy("table_id").agg(F.max_by(plain, "r").alias("head"))
+    number = F.exists("cells", lambda x: F.coalesce(printed_cell(x).isNotNull(), F.lit(False)))
+    rows = body.join(last, "table_id").groupBy("table_id").agg(F.count("*").alias("n"), F.bool_or(number).alias("numbers"), F.bool_or(plain == F.col("head")).alias("again"))
+    return rows.where("n >= 2 and numbers and not again").select("table_id")
+
+
+def spec_facts(cells: DataFrame, specs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(facts, problems)`` of sheets read by a given map of rows and columns.
+
+    ``specs(source_id, axis, header_row, data_start_row, label_col, columns
+    array<struct<col, kind, year, period, name>>)`` with kind ``period`` or
+    ``attribute``. ``problems(source_id, problem)`` says why a map cannot be
+    right for its sheet; such a sheet has no facts. Of columns of one name and
+    of facts with equal keys the first counts.
+    """
+    full = cells.where(~is_empty())
+    size = cells.groupBy("source_id").agg(F.max("r").alias("last_r"), (F.max("c") + 1).alias("width"))
+    s = specs.join(size, "source_id")
+    cols = F.transform("columns", lambda x: x["col"])
+    tokens = F.array(*map(F.lit, [*P.MONTHS, *P.QUARTERS]))
+    fine_period = lambda x: F.coalesce((F.col("axis") == "temporal") & x["year"].between(1990, 2100) & F.array_contains(tokens, x["period"]), F.lit(False))
+    fine_name = lambda x: F.coalesce((F.col("axis") == "categorical") & (F.trim(x["name"]) != ""), F.lit(False))
+    rules = [
+        (~((F.col("header_row") >= 0) & (F.col("header_row") < F.col("data_start_row")) & (F.col("data_start_row") <= F.col("last_r"))), "rows out of order"),
+        (~F.col("label_col").between(0, F.col("width") - 1), "no such label column"),
+        (F.size("columns") == 0, "no columns"),
+        (F.exists(cols, lambda c: (c < 0) | (c >= F.col("width"))), "no such column"),
+        (F.array_contains(cols, F.col("label_col")) | (F.size(F.array_distinct(cols)) < F.size(cols)), "a column twice"),
+        (~F.forall("columns", lambda x: F.when(x["kind"] == "period", fine_period(x)).otherwise(fine_name(x))), "a column that does not fit the axis"),
+    ]
+    problem = F.coalesce(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for bad, name in rules])
+    told = s.select("source_id", "axis", "data_start_row", "label_col", "columns", problem.alias("problem"))
+    spread = told.where("problem is null").select("source_id", "data_start_row", "label_col", F.posexplode("columns").alias("k", "x")).select("source_id", "data_start_row", "label_col", "k", "x.*")
+    name = F.trim("name")
+    first = F.min("k").over(Window.partitionBy("source_id", "kind", "year", "period", name))
+    spread = spread.withColumn("first", F.when(F.col("kind") == "period", F.col("k")).otherwise(first)).where("k = first")
+    at = full.join(spread.select("source_id", "data_start_row", "label_col").distinct(), "source_id").where("r >= data_start_row")
+    names = at.where("c = label_col").select("source_id", "r", F.trim(cell_text()).alias("row_label"))
+    values = at.where("kind = 'num'").select("source_id", "r", F.col("c").alias("col"), F.col("d_val").alias("value"))
+    dated = F.col("kind") == "period"
+    f = values.join(spread.select("source_id", "col", "kind", "year", "period", name.alias("name")), ["source_id", "col"]).join(names, ["source_id", "r"])
+    f = f.select("source_id", "row_label", "r", "col", F.when(dated, F.col("year")).alias("year"), F.when(dated, F.col("period")).alias("period"), F.when(~dated, F.col("name")).alias("col_label"), "value")
+    kept = f.groupBy("source_id", "row_label", "year", "period", "col_label").agg(F.min_by(F.struct("r", "value"), F.struct("r", "col")).alias("v"))
+    facts = kept.select("source_id", "row_label", F.col("v.r").alias("row_ord"), "year", "period", "col_label", F.col("v.value").alias("value"))
+    empty = told.where("problem is null").select("source_id").join(facts.select("source_id").distinct(), "source_id", "left_anti").withColumn("problem", F.lit("no labelled numbers"))
+    return facts, told.where("problem is not null").select("source_id", "problem").unionByName(empty)

@@ -76,3 +76,8 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def duplicate_ids(cases: DataFrame, key: str = "case_id") -> DataFrame:
     """Ids that occur more than once."""
     return cases.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once for several readers: a checkpoint where the session names a folder for them, else persisted."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()

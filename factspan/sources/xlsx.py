@@ -1,7 +1,9 @@
 """Workbooks as cells: a reader of zipped sheets on the standard library.
 
 Each file is read on an executor; a file is a unit, as its format needs its
-shared strings and styles. Values of percent formats are multiplied by 100.
+shared strings and styles. Values of percent formats are multiplied by 100,
+values of date formats become times. A sheet's ``source_id`` is its file's name,
+a slash between blanks, and its own name.
 """
 
 from __future__ import annotations
@@ -10,14 +12,17 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-CELLS = "path string, sheet string, r int, c int, kind string, s_val string, d_val double, bold boolean, fill boolean, top_border boolean, indent int"
-MERGES = "path string, sheet string, r0 int, r1 int, c0 int, c1 int"
+CELLS = "path string, source_id string, sheet string, r int, c int, kind string, s_val string, d_val double, ts_val timestamp_ntz, bold boolean, fill boolean, top_border boolean, indent int"
+MERGES = "path string, source_id string, sheet string, r0 int, r1 int, c0 int, c1 int"
+#: Numbers of the built-in percent and date formats.
 _PERCENT_BUILTIN = {9, 10}
+_DATE_BUILTIN = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 
 
 def _local(tag: str) -> str:
@@ -49,7 +54,10 @@ class Workbook:
         self.strings = [_text(si) for si in shared] if shared is not None else []
         rels = {r.get("Id"): r.get("Target") for r in _xml(self.z, "xl/_rels/workbook.xml.rels")}
         self.sheets = []
+        self.epoch = datetime(1899, 12, 30)
         for node in _xml(self.z, "xl/workbook.xml").iter():
+            if _local(node.tag) == "workbookPr" and node.get("date1904") in ("1", "true"):
+                self.epoch = datetime(1904, 1, 1)
             if _local(node.tag) == "sheet":
                 rid = next(v for k, v in node.attrib.items() if _local(k) == "id")
                 target = rels[rid]
@@ -72,7 +80,8 @@ class Workbook:
             fmt = int(xf.get("numFmtId", 0))
             code = re.sub(r'"[^"]*"|\\.', "", formats.get(fmt, ""))
             indent = next((int(k.get("indent", 0)) for k in xf if _local(k.tag) == "alignment"), 0)
-            out.append({"percent": fmt in _PERCENT_BUILTIN or "%" in code, "bold": get(bold, int(xf.get("fontId", 0))), "fill": get(fill, int(xf.get("fillId", 0))), "top": get(top, int(xf.get("borderId", 0))), "indent": indent})
+            date = fmt in _DATE_BUILTIN or bool(re.search("[ymdhs]", re.sub(r"\[[^\]]*\]|General", "", code), re.I))
+            out.append({"percent": fmt in _PERCENT_BUILTIN or "%" in code, "date": date, "bold": get(bold, int(xf.get("fontId", 0))), "fill": get(fill, int(xf.get("fillId", 0))), "top": get(top, int(xf.get("borderId", 0))), "indent": indent})
         return out
 
     def cells(self, target: str) -> Iterator[tuple]:
@@ -81,7 +90,7 @@ class Workbook:
                 continue
             r, c = _at(node.get("r"))
             style = self.styles[int(node.get("s", 0))] if int(node.get("s", 0)) < len(self.styles) else {}
-            kind, s, d = node.get("t", "n"), None, None
+            kind, s, d, ts = node.get("t", "n"), None, None, None
             raw = next((k.text for k in node if _local(k.tag) == "v"), None)
             if kind == "inlineStr":
                 s = _text(node)
@@ -91,10 +100,14 @@ class Workbook:
                 s = self.strings[int(raw)]
             elif kind in ("str", "e"):
                 s = raw
+            elif kind == "d":
+                ts = datetime.fromisoformat(raw.rstrip("Z"))
+            elif kind == "n" and style.get("date"):
+                ts = self.epoch + timedelta(days=float(raw))
             else:
                 d = float(raw) * (100 if style.get("percent") and kind == "n" else 1)
-            name = "text" if s is not None else "bool" if kind == "b" else "num"
-            yield r, c, name, s, d, style.get("bold", False), style.get("fill", False), style.get("top", False), style.get("indent", 0)
+            name = "text" if s is not None else "date" if ts is not None else "bool" if kind == "b" else "num"
+            yield r, c, name, s, d, ts, style.get("bold", False), style.get("fill", False), style.get("top", False), style.get("indent", 0)
 
     def merges(self, target: str) -> Iterator[tuple[int, int, int, int]]:
         for node in _xml(self.z, target).iter():
@@ -113,7 +126,7 @@ def _each(rows):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 book = Workbook(content)
-                out = [(path, name, *x) for name, target in book.sheets for x in rows(book, target)]
+                out = [(path, f"{path.rpartition('/')[2]} / {name}", name, *x) for name, target in book.sheets for x in rows(book, target)]
                 if out:
                     yield pd.DataFrame(out)
 
@@ -121,10 +134,11 @@ def _each(rows):
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of all sheets of the ``.xlsx`` files at a path."""
+    """Cells of all sheets of the ``.xlsx`` files at a path, as ``operators.grid`` takes them."""
     names = [x.split()[0] for x in CELLS.split(", ")]
     rows = _each(lambda b, t: b.cells(t))
-    return _files(spark, path).mapInPandas(lambda it: (x.set_axis(names, axis=1) for x in rows(it)), CELLS)
+    times = lambda x: x.set_axis(names, axis=1).assign(ts_val=lambda df: pd.to_datetime(df["ts_val"]))
+    return _files(spark, path).mapInPandas(lambda it: (times(x) for x in rows(it)), CELLS)
 
 
 def read_merges(spark: SparkSession, path: str) -> DataFrame:
@@ -143,8 +157,3 @@ def sheet_names(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame([(p, n, i) for i, (n, _) in enumerate(Workbook(content).sheets)], columns=["path", "sheet", "ord"])
 
     return _files(spark, path).mapInPandas(run, "path string, sheet string, ord int")
-
-
-def read_legacy(spark: SparkSession, path: str) -> DataFrame:
-    """Binary ``.xls`` workbooks and the text layer of PDF files need packages that are not installed."""
-    raise NotImplementedError("reading .xls and PDF files needs a reader package; convert to .xlsx or pass page text")

@@ -46,6 +46,8 @@ def test_two_row_header(spark):
 def test_labels_of_grids(spark):
     rows = spark.createDataFrame([("s", 0, ["A.", "Indeks"]), ("s", 1, ["-", None]), ("s", 2, [None, "Kota"]), ("s", 3, ["Lain", None])], "source_id string, r int, parts array<string>")
     assert [r["row_label"] for r in grid.carry_labels(rows).orderBy("r").collect()] == ["Indeks", "Indeks", "Kota", "Lain"]
+    rows = spark.createDataFrame([("s", 0, ["Bagian", None], False), ("s", 1, [None, "Isi"], True), ("s", 2, ["Data", "Isi"], True), ("s", 3, [None, "Dua"], True), ("t", 0, ["1.", "-"], True)], "source_id string, r int, parts array<string>, stored boolean")
+    assert [(r["row_label"], r["short"]) for r in grid.carry_labels(rows).orderBy("source_id", "r").collect()] == [("Bagian", "Bagian"), ("Bagian > Isi", "Isi"), ("Data > Isi", "Data > Isi"), ("Data > Dua", "Data > Dua"), ("1. > -", "1. > -")]
     rows = spark.createDataFrame([("s", 0, "Giro", 0), ("s", 1, "Rupiah", 1), ("s", 2, "Tabungan", 0), ("s", 3, "Rupiah", 1)], "source_id string, r int, label string, indent int")
     assert [r["label"] for r in grid.qualify_by_parent(rows).orderBy("r").collect()] == ["Giro", "Giro > Rupiah", "Tabungan", "Tabungan > Rupiah"]
     rows = spark.createDataFrame([("s", "A > x", "x"), ("s", "A > y", "y"), ("s", "B > y", "y")], "source_id string, label string, short string")
@@ -165,9 +167,9 @@ def test_workbook(spark, tmp_path):
         for name, body in parts.items():
             z.writestr(name, body)
     (tmp_path / "a.xlsx").write_bytes(raw.getvalue())
-    got = [tuple(r)[2:] for r in xlsx.read_cells(spark, str(tmp_path)).orderBy("r", "c").collect()]
-    assert got == [(0, 0, "text", "Judul", None, False, False, False, 0), (0, 27, "text", "Dua bagian", None, False, False, False, 0), (1, 0, "text", "x", None, False, False, False, 0), (1, 1, "num", None, 25.0, True, False, False, 2), (1, 2, "bool", None, 1.0, False, False, False, 0)]
-    assert [tuple(r)[2:] for r in xlsx.read_merges(spark, str(tmp_path)).collect()] == [(0, 1, 0, 2)]
+    got = [tuple(r)[3:] for r in xlsx.read_cells(spark, str(tmp_path)).orderBy("r", "c").collect()]
+    assert got == [(0, 0, "text", "Judul", None, None, False, False, False, 0), (0, 27, "text", "Dua bagian", None, None, False, False, False, 0), (1, 0, "text", "x", None, None, False, False, False, 0), (1, 1, "num", None, 25.0, None, True, False, False, 2), (1, 2, "bool", None, 1.0, None, False, False, False, 0)]
+    assert [tuple(r)[1:] for r in xlsx.read_merges(spark, str(tmp_path)).collect()] == [("a.xlsx / Satu", "Satu", 0, 1, 0, 2)]
     assert xlsx.sheet_names(spark, str(tmp_path)).first()["sheet"] == "Satu"
 
 
