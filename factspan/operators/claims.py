@@ -56,7 +56,13 @@ def guard(claims: DataFrame) -> DataFrame:
 
 
 def resolve(claims: DataFrame, sources: DataFrame, facts: DataFrame) -> DataFrame:
-    """One row for each claim and source that answers all of its points: ``found`` in order of points, and ``score``.
+    """One row for each claim and source that answers all of its points: ``found`` in order of points, and ``score``."""
+    some = answered(claims, sources, facts)
+    return some.where(F.size("found") == F.col("n")).drop("n")
+
+
+def answered(claims: DataFrame, sources: DataFrame, facts: DataFrame) -> DataFrame:
+    """One row for each claim and source that answers some of its ``n`` points: ``found`` in order of points, and ``score``.
 
     Points with a column are looked up in categorical sources only, the others
     in temporal ones; equal points of different claims are looked up once.
@@ -75,12 +81,25 @@ def resolve(claims: DataFrame, sources: DataFrame, facts: DataFrame) -> DataFram
     b = b.select("claim_id", "n", "ord", "source_id", "query", F.concat_ws(" — ", "label", "col_label").alias("label"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("period"), "col_label", "value")
     every = a.unionByName(b).withColumn("score", L.label_score(F.col("query"), F.col("label")))
     item = F.struct("ord", "label", "year", "period", "col_label", "value")
-    whole = every.groupBy("claim_id", "source_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(item)).alias("found"), F.avg("score").alias("score"))
-    return whole.where(F.size("found") == F.col("n")).drop("n")
+    return every.groupBy("claim_id", "source_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(item)).alias("found"), F.avg("score").alias("score"))
+
+
+def unanswered(claims: DataFrame, some: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(claim_id, missing)``: the points that no source answers in one, of the source that lacks the fewest, described.
+
+    ``some`` as ``answered`` gives it; of equally good sources the first counts,
+    and where no source answers any point all are missing.
+    """
+    near = some.join(sources.select("source_id", "source_ord"), "source_id").withColumn("lacks", F.col("n") - F.size("found"))
+    near = near.groupBy("claim_id").agg(F.min_by(F.transform("found", lambda p: p["ord"]), F.struct("lacks", "source_ord")).alias("have"))
+    said = lambda p: F.when(p["col_label"].isNotNull(), F.concat(p["metric_label"], F.lit(" ("), p["col_label"], F.lit(")"))).otherwise(F.concat_ws(" ", p["metric_label"], p["period"], p["year"].cast("string")))
+    points = claims.select("claim_id", "points").join(near, "claim_id", "left")
+    lack = F.filter("points", lambda p: ~F.coalesce(F.array_contains("have", p["ord"]), F.lit(False)))
+    return points.select("claim_id", F.array_join(F.transform(lack, said), ", ").alias("missing"))
 
 
 def with_units(answers: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:
-    """Add claim, source, ``factor`` and ``comparable``; answers whose unit cannot be converted are left out."""
+    """Add claim, source, ``factor`` and ``comparable``; the factor is null where the unit cannot be converted."""
     df = answers.join(claims.select("claim_id", "operation", "claimed_value", "unit"), "claim_id").join(
         sources.select("source_id", "source_ord", "name", "origin", F.col("unit").alias("table_unit"), "axis"), "source_id"
     )
@@ -94,7 +113,7 @@ def with_units(answers: DataFrame, claims: DataFrame, sources: DataFrame) -> Dat
     df = df.withColumns({"_factor": factor, "_raw": factor.isNull() & scaleless, "_own": own})
     df = df.withColumn("factor", F.when(~level, 1.0).otherwise(F.coalesce("_factor", F.when(F.col("_raw"), F.coalesce(F.col("_own.scale"), F.lit(1.0))))))
     df = df.withColumn("comparable", ~(level & F.col("_raw")) | F.col("_own").isNull())
-    return df.where("factor is not null").drop("_factor", "_raw", "_own")
+    return df.drop("_factor", "_raw", "_own")
 
 
 def _monotone(values: Column, holds) -> Column:
@@ -188,10 +207,19 @@ def conflict(chosen: DataFrame) -> DataFrame:
 
 
 def evaluate(claims: DataFrame, sources: DataFrame, facts: DataFrame) -> DataFrame:
-    """One verdict for each claim: ``(claim_id, operation, verdict, computed_value, delta, matched_source, score, n_sources, source_conflict, conflict_source, reason)``."""
+    """One verdict for each claim: ``(claim_id, operation, verdict, computed_value, delta, matched_source, score, n_sources, source_conflict, conflict_source, reason)``.
+
+    The reason of a claim without an answer is its guard, or that the first
+    source with all its points has another unit, or the points that are missing.
+    """
     guarded = guard(claims)
-    chosen = conflict(choose(compute(with_units(resolve(guarded, sources, facts), guarded, sources), facts)))
+    some = answered(guarded, sources, facts)
+    priced = with_units(some.where(F.size("found") == F.col("n")).drop("n"), guarded, sources)
+    odd = F.concat_ws(" ", F.lit("unit"), F.coalesce("unit", F.lit("(none)")), F.lit("does not convert to"), F.coalesce("level_unit", F.lit("(none)")), F.lit("of"), "name")
+    units = priced.where("factor is null").groupBy("claim_id").agg(F.min_by(odd, "source_ord").alias("unit_reason"))
+    chosen = conflict(choose(compute(priced.where("factor is not null"), facts)))
     out = guarded.select("claim_id", "operation", "guard").join(chosen, "claim_id", "left")
+    out = out.join(units, "claim_id", "left").join(unanswered(guarded, some, sources), "claim_id", "left")
     return out.select(
         "claim_id",
         F.coalesce("head.operation_out", "operation").alias("operation"),
@@ -203,7 +231,7 @@ def evaluate(claims: DataFrame, sources: DataFrame, facts: DataFrame) -> DataFra
         F.coalesce(F.size("tied"), F.lit(0)).alias("n_sources"),
         F.col("conflict.kind").alias("source_conflict"),
         F.col("conflict.name").alias("conflict_source"),
-        F.coalesce("guard", F.when(F.col("head").isNull(), "no source answers every point")).alias("reason"),
+        F.coalesce("guard", F.when(F.col("head").isNull(), F.coalesce("unit_reason", F.concat(F.lit("no source answers: "), "missing")))).alias("reason"),
     )
 
 

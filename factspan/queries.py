@@ -281,7 +281,7 @@ def source_conflict(spark, sf):
 def best_source_rank(spark, sf):
     c, s, f = _both(spark, sf)
     g = claims.guard(c)
-    chosen = claims.choose(claims.compute(claims.with_units(claims.resolve(g, s, f), g, s), f))
+    chosen = claims.choose(claims.compute(claims.with_units(claims.resolve(g, s, f), g, s).where("factor is not null"), f))
     return chosen.select("claim_id", F.posexplode("answers.name").alias("rank", "name"))
 
 
@@ -680,6 +680,18 @@ def unknown_words(spark, sf):
     return text.unknown_words(_t(spark, sf, "documents"), words)
 
 
+@query()
+def typo_issues(spark, sf):
+    """Certain issues and candidates of all documents, against the words of all conversations."""
+    from factspan.operators import markers, typos
+
+    said = _t(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "text")
+    words = text.word_tokens(said).select(F.lower("word").alias("word")).distinct()
+    sure, open_ = typos.issues_and_candidates(markers.split_pages(_t(spark, sf, "documents").where("text is not null")), words)
+    issues = sure.select("doc_id", "category", "start", "stop", "suggestion")
+    return issues.unionByName(open_.select("doc_id", F.col("kind").alias("category"), F.explode("occurrences").alias("o"), F.col("hint").alias("suggestion")).select("doc_id", "category", "o.start", "o.stop", "suggestion"))
+
+
 @query()
 def prefix_candidates(spark, sf):
     d = _t(spark, sf, "documents")
@@ -690,7 +702,7 @@ def prefix_candidates(spark, sf):
 # Matching and alignment, stage times, streams.
 
 
-@query()
+@query(f"SELECT year AS case_id, row_label || '|' || year || '|' || period AS claim_id, CASE WHEN value > 1 THEN row_label || '|' || year || '|' || period END AS result_id FROM ({ORDERS_SQL})")
 def label_matching_greedy(spark, sf):
     f = order_facts(spark, sf)
     base = f.select(F.col("year").alias("case_id"), _id().alias("claim_id"), F.lit("value").alias("operation"), F.col("row_label").alias("metric"), F.array("period").alias("periods"), F.col("value").alias("claimed_value"))
@@ -698,7 +710,7 @@ def label_matching_greedy(spark, sf):
     return evaluation.pair_off(base, found)
 
 
-@query()
+@query("SELECT n_regionkey AS page_id, n_nationkey AS a_ord, n_nationkey AS b_ord FROM nation WHERE n_nationkey % 3 <> 0")
 def row_alignment(spark, sf):
     n = _t(spark, sf, "nation")
     a = n.select(F.col("n_regionkey").alias("page_id"), F.lit("a").alias("side"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("label"))
@@ -763,6 +775,22 @@ def two_row_sheets(spark, sf):
     return grid.two_row_facts(g).select("row_label", "year", "period", "value")
 
 
+@query(f"SELECT row_label, year, period, value FROM ({ORDERS_SQL})")
+def statistical_sheets(spark, sf):
+    """A sheet for each segment: a year over its January only, months below, the segment in the label column."""
+    f = order_facts(spark, sf)
+    at = (3 + (F.col("year") - 1990) * 12 + F.col("m") - 1).cast("int")
+    cell = lambda r, c, text_, number: F.struct(F.lit(r).alias("r"), c.cast("int").alias("c"), F.when(number.isNull(), "text").otherwise("num").alias("kind"), text_.alias("s_val"), number.cast("double").alias("d_val"))
+    none, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    years = f.select("row_label", "year").distinct().crossJoin(spark.range(1, 13).select(F.col("id").alias("m")))  # every month has a column, whether or not it has orders
+    token = F.get(F.array(*map(F.lit, P.MONTHS)), F.col("m").cast("int") - 1)
+    head = years.select("row_label", F.explode(F.array(cell(0, at, no_text, F.when(F.col("m") == 1, F.col("year"))), cell(1, at, token, none))).alias("x")).where("x.s_val is not null or x.d_val is not null")
+    names = f.select("row_label").distinct().select("row_label", cell(2, F.lit(2), F.col("row_label"), none).alias("x"))
+    body = f.select("row_label", cell(2, at, no_text, F.col("value")).alias("x"))
+    cells = head.unionByName(names).unionByName(body).select(F.col("row_label").alias("source_id"), "x.*", F.lit(0).alias("indent"), F.lit(None).cast("timestamp_ntz").alias("ts_val"))
+    return grid.statistical_facts(cells).select("row_label", "year", "period", "value")
+
+
 @query(f"SELECT row_label, year || ' > ' || period AS col_label, value, false AS is_aggregate FROM ({_LONG}) WHERE year = 1996 UNION ALL SELECT 'Total', '1996 > ' || period, round(sum(CAST(value AS DECIMAL(18,4)))::DOUBLE, 4), true FROM ({_LONG}) WHERE year = 1996 GROUP BY period")
 def tidy_sheet_facts(spark, sf):
     w = _wide(spark, sf).where("year = 1996")

@@ -101,6 +101,20 @@ def test_labelled_claims(spark, tables):
     assert got["growth_from_other_source"]["matched_source"] == "Report / T5"
 
 
+def test_reasons(spark, tables):
+    rows = [
+        ("unit", "value", 1.0, "miliar dolar AS", None, dated(("Kredit", 2026, "Jan"))),
+        ("some", "sum", 1.0, "triliun Rp", None, dated(("Kredit", 2026, "Jan"), ("Kredit", 2026, "Dec"), ("Total", 2026, "Jan"))),
+        ("none", "value", 1.0, None, None, [(0, "Jagung", None, None, "Bobot")]),
+        ("told", "yoy_growth", 1.0, None, None, [(0, "Beras", None, None, "Stok")]),
+    ]
+    got = {r["claim_id"]: (r["verdict"], r["reason"]) for r in claims.evaluate(spark.createDataFrame(rows, CLAIMS), *tables).collect()}
+    assert {v for v, _ in got.values()} == {"Inconclusive"}
+    assert got["unit"][1] == "unit miliar dolar AS does not convert to triliun Rp of Report / T1"
+    assert got["some"][1] == "no source answers: Kredit Dec 2026"
+    assert (got["none"][1], got["told"][1]) == ("no source answers: Jagung (Bobot)", "needs a time series")
+
+
 def test_no_claims(spark, tables):
     assert claims.evaluate(spark.createDataFrame([], CLAIMS), *tables).count() == 0
 
