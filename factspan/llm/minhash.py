@@ -40,6 +40,8 @@ MATCHES = 26
 #: Members of a posting in one block; shingles of a group in one block.
 POSTING_BLOCK = 4096
 SHINGLE_BLOCK = 500_000
+#: Members up to which a posting's lists are merged whole, all at once, which costs less than to build and skip them.
+MERGE_WHOLE = 64
 
 _MULTIPLY = mix(np.arange(1, COORDINATES + 1, dtype=U64)) | U64(1)
 _ADD = mix(np.arange(1001, 1001 + COORDINATES, dtype=U64))
@@ -159,8 +161,12 @@ class Postings:
 def _collide(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.drop_duplicates("id")
     ids = pdf["id"].to_numpy()
-    postings = Postings(np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, COORDINATES))
-    links = _forest(len(ids), lambda i, rest: postings.collisions(i, MATCHES)[rest] >= MATCHES)
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, COORDINATES)
+    if len(ids) <= MERGE_WHOLE:
+        links = _forest(len(ids), lambda i, rest: (sig[rest] == sig[i]).sum(1) >= MATCHES)
+    else:
+        postings = Postings(sig)
+        links = _forest(len(ids), lambda i, rest: postings.collisions(i, MATCHES)[rest] >= MATCHES)
     return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
 
 
