@@ -19,17 +19,44 @@ def no_answer(requests: list[str]) -> list[str | None]:
     return [None] * len(requests)
 
 
+def one_by_one(hook: Hook, requests: list[str]) -> list[str | None]:
+    """The hook's answers; where it fails on all of them together, each is asked alone, and null stands for those that fail."""
+    try:
+        found = list(hook(requests))
+        if len(found) == len(requests):
+            return found
+    except Exception:  # which request failed is found out below
+        pass
+    out: list[str | None] = []
+    for r in requests:
+        try:
+            (answer,) = hook([r])
+        except Exception:  # a request that fails must not stop the others
+            answer = None
+        out.append(answer)
+    return out
+
+
+def first_of(*hooks: Hook) -> Hook:
+    """A hook that asks the next one where those before it failed or gave no answer."""
+
+    def run(requests: list[str]) -> list[str | None]:
+        out = no_answer(requests)
+        for hook in hooks:
+            todo = [i for i, x in enumerate(out) if x is None]
+            for i, x in zip(todo, one_by_one(hook, [requests[i] for i in todo]) if todo else [], strict=True):
+                out[i] = x
+        return out
+
+    return run
+
+
 def ask(df: DataFrame, request: str, answer: str, hook: Hook = no_answer) -> DataFrame:
-    """Add a hook's answers to distinct requests; equal requests are asked once. A hook that fails leaves null."""
+    """Add a hook's answers to distinct requests; equal requests are asked once. A request that fails has null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = pdf[request].tolist()
-            try:
-                found = hook(texts)
-            except Exception:  # a request that fails must not stop the others
-                found = no_answer(texts)
-            yield pdf.assign(**{answer: found})
+            yield pdf.assign(**{answer: one_by_one(hook, pdf[request].tolist())})
 
     once = df.select(request).where(F.col(request).isNotNull()).distinct()
     answers = once.mapInPandas(run, f"`{request}` string, `{answer}` string")
