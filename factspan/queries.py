@@ -138,13 +138,17 @@ def claim_value(spark, sf):
     return _settle(spark, _claim(c, "value", F.round(F.col("value") + _wrong(), 2), F.array(_point())), f)
 
 
-@query(f"{_F}, c AS (SELECT a.row_label || '|' || a.year || '|' || a.period AS claim_id, a.m, CASE WHEN b.value <> 0 THEN round((a.value - b.value) / abs(b.value) * 100, 4) END AS computed_value FROM f a LEFT JOIN f b ON a.row_label = b.row_label AND a.period = b.period AND b.year = a.year - 1), d AS (SELECT *, round(coalesce(computed_value, 0) + {_WRONG}, 1) AS claimed FROM c) SELECT claim_id, 'yoy_growth' AS operation, CASE WHEN computed_value IS NULL THEN 'Inconclusive' ELSE {_CMP} END AS verdict, computed_value FROM d")
-def claim_yoy(spark, sf):
-    f = order_facts(spark, sf)
+def _growth_claims(f):
     b = f.select("row_label", (F.col("year") + 1).alias("year"), "period", F.col("value").alias("prior"))
     c = f.join(b, ["row_label", "year", "period"], "left").withColumn("claim_id", _id())
     growth = F.coalesce(F.round(F.try_divide(F.col("value") - F.col("prior"), F.abs("prior")) * 100, 4), F.lit(0.0))
-    return _settle(spark, _claim(c, "yoy_growth", F.round(growth + _wrong(), 1), F.array(_point()), "persen_yoy"), f)
+    return _claim(c, "yoy_growth", F.round(growth + _wrong(), 1), F.array(_point()), "persen_yoy")
+
+
+@query(f"{_F}, c AS (SELECT a.row_label || '|' || a.year || '|' || a.period AS claim_id, a.m, CASE WHEN b.value <> 0 THEN round((a.value - b.value) / abs(b.value) * 100, 4) END AS computed_value FROM f a LEFT JOIN f b ON a.row_label = b.row_label AND a.period = b.period AND b.year = a.year - 1), d AS (SELECT *, round(coalesce(computed_value, 0) + {_WRONG}, 1) AS claimed FROM c) SELECT claim_id, 'yoy_growth' AS operation, CASE WHEN computed_value IS NULL THEN 'Inconclusive' ELSE {_CMP} END AS verdict, computed_value FROM d")
+def claim_yoy(spark, sf):
+    f = order_facts(spark, sf)
+    return _settle(spark, _growth_claims(f), f)
 
 
 _THREE = f"{_F}, t AS (SELECT row_label, year, max(value) FILTER (m = 1) AS a, max(value) FILTER (m = 2) AS b, max(value) FILTER (m = 3) AS c FROM f GROUP BY ALL HAVING count(*) FILTER (m <= 3) = 3)"
@@ -825,13 +829,8 @@ def table_suggestions(spark, sf):
     return pointers.suggest_tables(p, families).select("family", F.size("metrics").cast("long").alias("n"))
 
 
-@query(f"SELECT row_label || '|' || year || '|' || period AS claim_id, value, CASE WHEN prior THEN 1 ELSE 0 END AS prior FROM (SELECT a.row_label, a.year, a.period, a.value, false AS prior FROM ({ORDERS_SQL}) a JOIN ({ORDERS_SQL}) b ON a.row_label = b.row_label AND a.period = b.period AND b.year = a.year - 1 UNION ALL SELECT a.row_label, a.year, a.period, b.value, true FROM ({ORDERS_SQL}) a JOIN ({ORDERS_SQL}) b ON a.row_label = b.row_label AND a.period = b.period AND b.year = a.year - 1)")
-def pointer_settlement(spark, sf):
-    from factspan.operators import pointers
-
-    f = order_facts(spark, sf)
-    c = _claim(f.withColumn("claim_id", _id()), "yoy_growth", F.lit(1.0), F.array(_point()))
-    q = pointers.point_queries(c)
+def _pointed(spark, f, q):
+    """A sheet of months by segments, and for each query the cell that holds its value: ``(cells, titles, pointers)``."""
     col = lambda y, m: y * 12 + m
     cells = f.select(F.lit("s").alias("source_id"), F.dense_rank().over(Window.orderBy("row_label")).alias("r"), "row_label", col(F.col("year"), F.col("m")).alias("c"), "value")  # a handful of segments
     at = cells.select("r", "row_label").distinct()
@@ -840,10 +839,46 @@ def pointer_settlement(spark, sf):
     label = F.upper(F.replace("metric_label", F.lit("Order value "), F.lit("")))
     found = q.join(at, label == F.col("row_label")).select("claim_id", "ord", "prior", F.lit("s").alias("source_id"), F.lit(0).alias("source_ord"), "r", col(F.col("year"), P.ordinal(F.col("period"))).alias("c"))
     titles = spark.createDataFrame([("s", "Survey")], "source_id string, title string")
-    done = pointers.settle(found, q, numbers.unionByName(names), titles)
+    return numbers.unionByName(names), titles, found
+
+
+@query(f"SELECT row_label || '|' || year || '|' || period AS claim_id, value, CASE WHEN prior THEN 1 ELSE 0 END AS prior FROM (SELECT a.row_label, a.year, a.period, a.value, false AS prior FROM ({ORDERS_SQL}) a JOIN ({ORDERS_SQL}) b ON a.row_label = b.row_label AND a.period = b.period AND b.year = a.year - 1 UNION ALL SELECT a.row_label, a.year, a.period, b.value, true FROM ({ORDERS_SQL}) a JOIN ({ORDERS_SQL}) b ON a.row_label = b.row_label AND a.period = b.period AND b.year = a.year - 1)")
+def pointer_settlement(spark, sf):
+    from factspan.operators import pointers
+
+    f = order_facts(spark, sf)
+    c = _claim(f.withColumn("claim_id", _id()), "yoy_growth", F.lit(1.0), F.array(_point()))
+    q = pointers.point_queries(c)
+    cells, titles, found = _pointed(spark, f, q)
+    done = pointers.settle(found, q, cells, titles)
     return done.select("claim_id", F.explode("found").alias("x")).select("claim_id", "x.value", F.col("x.prior").cast("int").alias("prior"))
 
 
+_YEARS = f"SELECT row_label, year, row_number() OVER (PARTITION BY row_label ORDER BY year, m) AS k, count(*) OVER (PARTITION BY row_label) AS n, max(year) OVER (PARTITION BY row_label) - 1 AS y FROM ({ORDERS_SQL})"
+
+
+@query(f"""WITH f AS ({_YEARS}), h AS (SELECT DISTINCT row_label, n, unnest(range(k, least(k + 12, n) + 1)) AS c FROM f WHERE year = y), b AS (SELECT * FROM h UNION SELECT DISTINCT row_label, n, 0 FROM h)
+SELECT row_label AS source_id, CAST(c AS INT) AS c FROM b QUALIFY count(*) OVER (PARTITION BY row_label) < 0.6 * (n + 1)""")
+def snapshot_columns(spark, sf):
+    """Of each segment's sheet, the columns that a question about the last year but one needs."""
+    from factspan.operators import snapshots
+
+    cells = _grid(spark, sf)
+    asked = order_facts(spark, sf).groupBy(F.col("row_label").alias("source_id")).agg((F.max("year") - 1).alias("year")).select("source_id", F.lit("Value").alias("metric_label"), "year", F.lit(None).cast("string").alias("col_label"))
+    return snapshots.relevant_columns(cells, asked, snapshots.relevant_rows(cells, asked))
+
+
+@query(f"""WITH f AS (SELECT DISTINCT row_label AS source_id, period || ' ' || year AS label, year, m FROM ({ORDERS_SQL})), r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY year, m) AS k FROM f)
+SELECT source_id, '[Months of ' || source_id || ']' || chr(10) || string_agg('  - ' || label, chr(10) ORDER BY k) AS block FROM r WHERE k <= 60 GROUP BY source_id""")
+def advertised_labels(spark, sf):
+    """A prompt's list of the first labels of each source; the limit is the feature."""
+    from factspan.operators import snapshots
+
+    f = order_facts(spark, sf)
+    labels = f.select(F.col("row_label").alias("source_id"), F.concat(F.lit("Months of "), "row_label").alias("description"), (F.col("year") * 12 + F.col("m")).alias("ord"), F.concat_ws(" ", "period", "year").alias("label"))
+    return snapshots.advertised_labels(labels)
+
+
 @query()
 def anchor_sentences(spark, sf):
     from factspan.operators import extraction
