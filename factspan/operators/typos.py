@@ -19,22 +19,37 @@ MONTHS = [
     "januari", "februari", "maret", "april", "mei", "juni", "juli", "agustus", "september", "oktober", "november", "desember",
     "jan", "feb", "mar", "apr", "jun", "jul", "ags", "agu", "agt", "sep", "sept", "okt", "nov", "des",
 ]
+#: Words of a dictionary that is broadcast; a larger one is joined by a shuffle.
+BROADCAST = 2_000_000
 CATEGORIES = ["ejaan", "tidak_baku", "grammar"]
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """``(doc_id, pos, start, stop, word, gap, nxt, gap_after)``: words with their places, what stands before each, and the next."""
-    raw = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(rf"[^A-Za-z]*{_TOKEN}"), F.lit(0))).alias("pos", "raw"))
+    """``(doc_id, pos, start, stop, word, nxt, third, gap_after, gap_beyond, nxt_stop)``: words with their places, the next two, and what stands after each.
+
+    Whole texts are dealt by document first, so words are sorted where they are
+    and never shuffled.
+    """
+    dealt = docs.select("doc_id", "text").repartition("doc_id")
+    raw = dealt.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(rf"[^A-Za-z]*{_TOKEN}"), F.lit(0))).alias("pos", "raw"))
+    second = F.ascii(F.substr("raw", F.lit(2), F.lit(1)))
+    one = F.startswith("raw", F.lit(" ")) & (second.between(65, 90) | second.between(97, 122))  # one blank, as nearly always
+    t = raw.withColumn("gap", F.when(one, " ").otherwise(F.regexp_extract("raw", r"^[^A-Za-z]*", 0))).withColumn("word", F.substr("raw", F.length("gap") + 1))
     w = Window.partitionBy("doc_id").orderBy("pos")
-    t = raw.withColumns({"word": F.regexp_extract("raw", rf"{_TOKEN}$", 0), "gap": F.regexp_extract("raw", r"^[^A-Za-z]*", 0), "stop": F.sum(F.length("raw")).over(w).cast("int")})
-    t = t.withColumn("start", F.col("stop") - F.length("word"))
-    return t.select("doc_id", "pos", "start", "stop", "word", "gap", F.lead("word").over(w).alias("nxt"), F.lead("gap").over(w).alias("gap_after"), F.lead("stop").over(w).alias("nxt_stop"))
+    after = {"nxt": F.lead("word").over(w), "third": F.lead("word", 2).over(w), "gap_after": F.lead("gap").over(w), "gap_beyond": F.lead("gap", 2).over(w)}
+    t = t.withColumns({"stop": F.sum(F.length("raw")).over(w).cast("int"), **after}).drop("raw", "gap")
+    return t.withColumns({"start": F.col("stop") - F.length("word"), "nxt_stop": F.col("stop") + F.length("gap_after") + F.length("nxt")})
+
+
+def _words(dictionary: DataFrame) -> DataFrame:
+    """``(_form)``: the distinct words, to be broadcast unless they are too many; else the words of texts are shuffled to them."""
+    words = dictionary.select(F.col("word").alias("_form")).distinct()
+    return F.broadcast(words) if words.count() <= BROADCAST else words
 
 
-def _with_known(df: DataFrame, key: Column, dictionary: DataFrame, name: str) -> DataFrame:
-    """Add whether the dictionary has ``key``; an equi-join."""
-    known = dictionary.select(F.col("word").alias("_key")).distinct().withColumn(name, F.lit(True))
-    return df.withColumn("_key", key).join(known, "_key", "left").drop("_key").withColumn(name, F.coalesce(name, F.lit(False)))
+def _with_known(t: DataFrame, made: Column, words: DataFrame, name: str) -> DataFrame:
+    """Add whether ``made`` is one of ``words``; an equi-join."""
+    return t.withColumn("_made", made).join(words, F.col("_made") == F.col("_form"), "left").withColumn(name, F.col("_form").isNotNull()).drop("_form", "_made")
 
 
 def classified(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -47,34 +62,46 @@ def classified(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     neighbours for which they hold every other one counts. A fragment makes a
     known word or a month with one or two neighbours, one blank apart.
     """
+    known = _words(dictionary)
     t = tokens(docs)
     lower = F.lower("word")
-    near = F.coalesce(F.col("gap_after").rlike(r"^\s+$"), F.lit(False))
-    t = _with_known(t, F.when(near & lower.isin("di", "ke"), F.lower(F.concat("word", "nxt"))), dictionary, "joins")
-    twice = near & (F.col("nxt") == lower) & ~F.contains("word", F.lit("-")) & (F.length("word") >= 3)
-    form = lower.isin(list(STANDARD_FORMS))
-    t = t.withColumns({"twice": F.coalesce(twice, F.lit(False)), "form": form})
-    pair = F.col("twice") | (~F.col("form") & F.col("joins"))
+    one = F.coalesce(F.col("gap_after") == " ", F.lit(False))
+    near = one | F.coalesce(F.col("gap_after").rlike(r"^\s+$"), F.lit(False))
+    both = one & F.coalesce(F.col("gap_beyond") == " ", F.lit(False))
+    t = t.withColumns({"two": F.when(near, F.lower(F.concat("word", "nxt"))), "three": F.when(both, F.lower(F.concat("word", "nxt", "third")))})
+    t = _with_known(t, F.col("two"), known, "known_two")
+    t = _with_known(t, F.col("three"), known, "known_three")
+    month = lambda c: F.coalesce(F.col(c).isin(MONTHS), F.lit(False))
+    twice = F.coalesce(near & (F.col("nxt") == lower) & ~F.contains("word", F.lit("-")) & (F.length("word") >= 3), F.lit(False))
+    t = t.withColumns({"twice": twice, "form": lower.isin(list(STANDARD_FORMS)), "made_two": one & (F.col("known_two") | month("two")), "made_three": F.col("known_three") | month("three")})
+    t = t.withColumn("pair", F.col("twice") | (~F.col("form") & lower.isin("di", "ke") & F.col("known_two"))).drop("two", "three", "known_two", "known_three")
+    # of a run of pairs the first, third, ... begin one, and the token after each is used
     w = Window.partitionBy("doc_id").orderBy("pos")
-    t = t.withColumn("pair", pair).withColumn("island", F.sum((~F.col("pair")).cast("int")).over(w))
-    place = F.row_number().over(Window.partitionBy("doc_id", "island", "pair").orderBy("pos"))
-    t = t.withColumn("opens", F.col("pair") & (place % 2 == 1))
-    glued = lambda n: [F.lag("word", n).over(w), F.lead("word", n).over(w)]
-    back, ahead = zip(glued(1), glued(2), strict=True)
-    t = t.withColumns({"used": F.coalesce(F.lag("opens").over(w), F.lit(False)), "p1": back[0], "p2": back[1], "n1": ahead[0], "n2": ahead[1], "gap_before": F.lag("gap").over(w), "gap_beyond": F.lead("gap_after").over(w)})
-    t = t.where("not used")
-    open_ = t.where(~F.col("opens") & ~F.col("form") & (F.col("word") == lower) & (F.length("word") >= 2) & ((F.length("word") > 2) | F.col("word").rlike("[aiueo]")))
-    left, right = F.col("gap") == " ", F.col("gap_after") == " "
-    further, beyond = left & (F.col("gap_before") == " "), right & (F.col("gap_beyond") == " ")
-    shapes = [(F.lit(True), ["word"]), (left, ["p1", "word"]), (further, ["p2", "p1", "word"]), (right, ["word", "n1"]), (beyond, ["word", "n1", "n2"]), (left & right, ["p1", "word", "n1"])]
-    forms = F.array_compact(F.array(*[F.when(ok, F.lower(F.concat(*parts))) for ok, parts in shapes]))
-    several = F.slice(forms, F.lit(2), F.size(forms))
-    open_ = open_.where(~F.arrays_overlap(several, F.array(*map(F.lit, MONTHS))))
-    hit = open_.select("doc_id", "pos", F.explode(forms).alias("_form")).join(dictionary.select(F.col("word").alias("_form")).distinct(), "_form", "left_semi").select("doc_id", "pos").distinct()
-    words = open_.join(hit, ["doc_id", "pos"], "left_anti").withColumn("kind", F.lit("word"))
-    sure = t.where("opens or form").withColumn("kind", F.when(F.col("opens"), F.when(F.col("twice"), "redup").otherwise("prefix")).otherwise("form"))
-    cols = ["doc_id", "pos", "kind", "start", "stop", "word", "nxt", "nxt_stop"]
-    return sure.select(*cols).unionByName(words.select(*cols))
+    single = F.max(F.when(~F.col("pair"), F.col("pos"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    made = F.col("made_two") | F.lag("made_two", 1, False).over(w) | F.col("made_three") | F.lag("made_three", 1, False).over(w) | F.lag("made_three", 2, False).over(w)
+    t = t.withColumns({"used": (F.col("pos") - 1 - F.coalesce(single, F.lit(-1))) % 2 == 1, "fragment": made}).where("not used")
+    word = (F.col("word") == lower) & (F.length("word") >= 2) & ((F.length("word") > 2) | F.col("word").rlike("[aiueo]")) & ~F.col("fragment")
+    kind = F.when(F.col("pair"), F.when(F.col("twice"), "redup").otherwise("prefix")).when(F.col("form"), "form").when(word, "word")
+    t = t.withColumn("kind", kind).where("kind is not null")
+    t = _with_known(t, F.when(F.col("kind") == "word", F.col("word")), known, "known").where("not known")
+    return t.select("doc_id", "pos", "kind", "start", "stop", "word", "nxt", "nxt_stop")
+
+
+def places(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``(doc_id, kind, key, start, stop, word, hint, category, suggestion)``: certain issues and all places of candidates, in one pass.
+
+    ``key`` and ``hint`` are of candidates, ``category`` and ``suggestion`` of
+    certain issues.
+    """
+    c = classified(docs, dictionary)
+    table = F.create_map(*[F.lit(x) for kv in STANDARD_FORMS.items() for x in kv])
+    redup, form, prefix, word = (F.col("kind") == k for k in ("redup", "form", "prefix", "word"))
+    two = redup | prefix
+    return c.select(
+        "doc_id", "kind", F.when(prefix, F.lower("nxt")).when(word, F.lower("word")).alias("key"), "start", F.when(two, F.col("nxt_stop")).otherwise(F.col("stop")).alias("stop"),
+        F.when(two, F.concat_ws(" ", "word", "nxt")).otherwise(F.col("word")).alias("word"), F.when(prefix, F.lower(F.concat("word", "nxt"))).alias("hint"),
+        F.when(redup, "grammar").when(form, "tidak_baku").alias("category"), F.when(redup, F.concat_ws("-", "word", "nxt")).when(form, table[F.lower("word")]).alias("suggestion"),
+    )
 
 
 def issues_and_candidates(docs: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,21 +111,13 @@ def issues_and_candidates(docs: DataFrame, dictionary: DataFrame) -> tuple[DataF
     one for each word or prefixed word of a document, with all places where it
     stands and the text around the first.
     """
-    c = classified(docs, dictionary)
-    table = F.create_map(*[F.lit(x) for kv in STANDARD_FORMS.items() for x in kv])
-    redup = c.where("kind = 'redup'").select("doc_id", "start", F.col("nxt_stop").alias("stop"), F.concat_ws(" ", "word", "nxt").alias("word"), F.lit("grammar").alias("category"), F.concat_ws("-", "word", "nxt").alias("suggestion"))
-    form = c.where("kind = 'form'").select("doc_id", "start", "stop", "word", F.lit("tidak_baku").alias("category"), table[F.lower("word")].alias("suggestion"))
-    prefix = F.col("kind") == "prefix"
-    open_ = c.where("kind in ('prefix', 'word')").select(
-        "doc_id", "kind", F.lower(F.when(prefix, F.col("nxt")).otherwise(F.col("word"))).alias("key"), "start", F.when(prefix, F.col("nxt_stop")).otherwise(F.col("stop")).alias("stop"),
-        F.when(prefix, F.concat_ws(" ", "word", "nxt")).otherwise(F.col("word")).alias("display"), F.when(prefix, F.lower(F.concat("word", "nxt"))).alias("hint"),
-    )
-    place = F.struct("start", "stop", F.col("display").alias("word"), "hint")
-    g = open_.groupBy("doc_id", "kind", "key").agg(F.array_sort(F.collect_list(place)).alias("occurrences"))
+    p = places(docs, dictionary)
+    sure = p.where("category is not null").select("doc_id", "start", "stop", "word", "category", "suggestion")
+    g = p.where("category is null").groupBy("doc_id", "kind", "key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "word", "hint"))).alias("occurrences"))
     first = F.get("occurrences", F.lit(0))
     lo = F.greatest(first["start"] - AROUND, F.lit(0))
     cands = g.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "kind", "key", first["word"].alias("display"), F.substr("text", lo + 1, first["stop"] + AROUND - lo).alias("context"), first["hint"].alias("hint"), F.transform("occurrences", lambda o: F.struct(o["start"].alias("start"), o["stop"].alias("stop"), o["word"].alias("word"))).alias("occurrences"))
-    return redup.unionByName(form), cands
+    return sure, cands
 
 
 def report(docs: DataFrame, dictionary: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from factspan import queries
 from factspan.operators import evaluation, markers, typos
 from factspan.operators.text import STANDARD_FORMS
 
@@ -108,3 +109,22 @@ def test_longest_chain():
         got = evaluation.longest_chain([(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x == y])
         assert len(got) == best[-1][-1] and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
         assert all(a[i] == b[j] for i, j in got)
+
+
+@pytest.mark.parametrize("broadcast", [0, typos.BROADCAST])
+def test_places_in_one_pass(spark, tmp_path, monkeypatch, broadcast):
+    """Words of texts are not shuffled, only whole texts; a dictionary too large to broadcast gives the same places."""
+    monkeypatch.setattr(typos, "BROADCAST", broadcast)
+    texts = ["di makan ke makan ta ngan", "kata kata resiko qwert te rli hatKx é di makan", "", "ke  jalan di ke jalan"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join([*DICTIONARY, "kemakan"]))], "conv_id long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = queries.typo_issues(spark, str(tmp_path))
+    got = sorted((r["doc_id"], r["start"], r["stop"], r["category"], r["suggestion"]) for r in out.collect())
+    assert got == [
+        (0, 0, 8, "prefix", "dimakan"), (0, 9, 17, "prefix", "dimakan"), (0, 18, 20, "word", None), (0, 21, 25, "word", None),
+        (1, 0, 9, "grammar", "kata-kata"), (1, 10, 16, "tidak_baku", "risiko"), (1, 17, 22, "word", None), (1, 38, 40, "word", None),
+        (3, 0, 9, "prefix", "kejalan"), (3, 10, 12, "word", None), (3, 13, 21, "prefix", "kejalan"),
+    ]
+    if broadcast:
+        final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert len(re.findall(r"Exchange hashpartitioning\(doc_id", final)) == 1, final
