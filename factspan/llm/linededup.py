@@ -53,8 +53,9 @@ def _words(line: str) -> Column:
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``(doc, row, no, words)``: a row's key, a line's place, and the hashes of its words."""
-    lines = docs.select(_doc(doc_id).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(F.split(_plain(F.col(text)), "\n")).alias("no", "line"))
-    return lines.select("doc", "row", "no", F.transform(_words("line"), lambda w: F.xxhash64(w)).alias("words")).where(F.size("words") > 0)
+    texts = docs.select(_doc(doc_id).alias("doc"), F.xxhash64(text).alias("row"), _plain(F.col(text)).alias("plain"))
+    lines = texts.select("doc", "row", F.posexplode(F.split("plain", "\n")).alias("no", "line")).where(F.trim("line") != "")  # a condition on the words would split and hash each line twice
+    return lines.select("doc", "row", "no", F.transform(_words("line"), lambda w: F.xxhash64(w)).alias("words"))
 
 
 def _ranks(lines: DataFrame) -> Column:
@@ -128,8 +129,8 @@ def _fits(percent: int) -> Column:
 
 
 def _enough(x: Column, y: Column, percent: int) -> Column:
-    shared = F.size(F.array_intersect(x, y))
-    return 100 * shared >= percent * (F.size(x) + F.size(y) - shared)
+    """Whether 100 * shared >= percent * (all - shared), with one intersection, as conditions compute a part for each time it is named."""
+    return (100 + percent) * F.size(F.array_intersect(x, y)).cast("long") >= percent * (F.size(x).cast("long") + F.size(y))
 
 
 def _spelt(words: str, n: int) -> Column:
@@ -161,8 +162,9 @@ def _spelling(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Dat
     want = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("no", "id", "first")).alias("want"))
     texts = docs.select(_doc(doc_id).alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text")).where("text is not null")
     texts = texts.join(want, ["doc", "row"]).groupBy("doc", "row").agg(F.first("text").alias("text"), F.first("want").alias("want"))
-    lines = texts.select("doc", F.split("text", "\n").alias("lines"), "want").select("doc", F.explode("want").alias("w"), "lines")
-    lines = lines.select("w.id", "doc", "w.no", "w.first", _plain(F.get("lines", F.col("w.no"))).alias("line"))
+    pick = lambda lines: F.transform("want", lambda w: F.struct(w["id"].alias("id"), w["no"].alias("no"), w["first"].alias("first"), F.get(lines, w["no"]).alias("line")))
+    picked = F.get(F.transform(F.array(F.split("text", "\n")), pick), F.lit(0))  # wanted lines alone, so that no text is copied for each
+    lines = texts.select("doc", F.explode(picked).alias("w")).select("w.id", "doc", "w.no", "w.first", _plain(F.col("w.line")).alias("line"))
     return lines.withColumn("line", F.array_join(_words("line"), " "))
 
 

@@ -284,6 +284,17 @@ def test_line_dedup_compares_words(spark):
     assert [tuple(r) for r in linededup.drop_repeated_lines(odd, emptied=False).orderBy("doc_id").collect()] == [(1, "a b"), (3, ""), (4, None), (5, " ")]
 
 
+def test_line_dedup_splits_once(spark, docs):
+    """Each line is split and hashed once, and each pair intersected once; the rule is the fraction's."""
+    plan = linededup._lines(docs, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lambdafunction(") == 1 and plan.count("size(split(") == 0, plan
+    x, y = F.col("x"), F.col("y")
+    assert str(linededup._enough(x, y, 80)).count("array_intersect") == 1
+    sets = [(list(range(a)), list(range(s)) + list(range(100, 100 + b - s))) for a in range(1, 12) for b in range(1, 12) for s in range(min(a, b) + 1)]
+    for r in spark.createDataFrame(sets, "x array<int>, y array<int>").withColumn("fits", linededup._enough(x, y, 80)).collect():
+        assert r["fits"] == (100 * len({*r["x"]} & {*r["y"]}) >= 80 * len({*r["x"], *r["y"]}))
+
+
 def test_line_dedup_is_native(docs):
     plan = linededup.line_report(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
