@@ -1,34 +1,43 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
-Lines of equal words are collapsed. The tokens of a line are its word shingles,
-ordered by rarity (how common a shingle's first word is over all lines, then a
-hash). Two lines that are similar enough share a token in their prefixes, so
-only prefixes are posted; posted tokens that no other line has are dropped.
-Candidates pass length, positional and bitmap filters and a comparison of token
-sets, each line first against the earliest line of its tokens, and only the
-lines that stay open against the others: a group of similar lines is not spelt
-out in pairs. Hashes of 64 bits only filter: the words themselves, which are
-fetched for candidates only, decide whether lines are equal or similar.
+Lines are told apart by a hash of their words, so equal lines are one from the
+start; the words of lines that share a hash are compared, and all is done again
+with another hash should they differ. The tokens of a line are its word
+shingles, ordered by their first word (short ones last, then by hash). Two lines
+that are similar enough share a token in their prefixes, so only prefixes are
+posted; posted tokens that no other line has are dropped. Candidates pass
+length, positional and bitmap filters and a comparison of token sets, each line
+first against the earliest line of its tokens, and only the lines that stay open
+against the others: a group of similar lines is not spelt out in pairs. Hashes
+of 64 bits only filter: the words themselves, which are fetched for repeated
+lines and candidates only, decide whether lines are equal or similar.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from contextlib import contextmanager
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factspan.llm.tables import discard, fresh, release, settled, written
 
 SHINGLE = 5
 PERCENT = 80
-#: Words are counted by the hash modulo this; the driver gets as many counts.
-BUCKETS = 4096
-#: A line is compared with the earliest line of each of its tokens, then with this many, then with all.
+#: Words of fewer bytes come last in the order of tokens.
+SHORT = 5
+#: A line is compared with the earliest line of each of its tokens, then with this many of each hot token, then with all.
 EARLIEST = 16
+#: Tokens with more lines than this are hot.
+HOT = 64
 #: Parts of a token's postings that are ranked on their own first.
 PARTS = 32
 #: Ids that are broadcast to fetch their rows; more are joined by a shuffle.
 BROADCAST = 1_000_000
 _FIRST_ID = -(1 << 63)
+#: Whether small partitions are kept apart for the cores there are.
+_PARALLEL = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
 
 def _doc(doc_id: str) -> Column:
@@ -44,31 +53,22 @@ def _plain(text: Column) -> Column:
     return plain
 
 
-def _words(line: str) -> Column:
-    """The words of a plain line."""
-    ragged = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | (F.col(line) == "")
-    words = F.split(line, " ")
-    return F.when(ragged, F.array_remove(words, "")).otherwise(words)
+def _tidy(line: str) -> Column:
+    """A plain line with its words joined by single blanks."""
+    ragged = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(ragged, F.array_join(F.array_remove(F.split(line, " "), ""), " ")).otherwise(F.col(line))
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(doc, row, no, words)``: a row's key, a line's place, and the hashes of its words."""
+def _tidied(docs: DataFrame, doc_id: str, text: str, salt: int = 0) -> DataFrame:
+    """``(doc, row, no, line, k)``: a row's key, a line's place, its words joined by blanks, and their hash."""
     texts = docs.select(_doc(doc_id).alias("doc"), F.xxhash64(text).alias("row"), _plain(F.col(text)).alias("plain"))
-    lines = texts.select("doc", "row", F.posexplode(F.split("plain", "\n")).alias("no", "line")).where(F.trim("line") != "")  # a condition on the words would split and hash each line twice
-    return lines.select("doc", "row", "no", F.transform(_words("line"), lambda w: F.xxhash64(w)).alias("words"))
-
-
-def _ranks(lines: DataFrame) -> Column:
-    """How common words are: for each bucket of word hashes, its place when all are sorted by count."""
-    counts = lines.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).alias("bucket")).count().collect()
-    ranks = [0] * BUCKETS
-    for rank, r in enumerate(sorted(counts, key=lambda r: (r["count"], r["bucket"]))):
-        ranks[r["bucket"]] = rank + 1
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
+    lines = texts.select("doc", "row", F.posexplode(F.split("plain", "\n")).alias("no", "raw")).where(F.trim("raw") != "")
+    return lines.select("doc", "row", "no", _tidy("raw").alias("line")).withColumn("k", F.xxhash64(F.lit(salt), "line"))
 
 
-def _rank(ranks: Column, word: Column) -> Column:
-    return F.coalesce(F.get(ranks, F.pmod(word, F.lit(BUCKETS)).cast("int")), F.lit(0))
+def _rank(word: Column) -> Column:
+    """A word's place in the order, of 16 bits: short words, which tend to be common, come last."""
+    return F.shiftrightunsigned(F.xxhash64(word), 49).cast("int") + F.when(F.octet_length(word) < SHORT, F.lit(1 << 15)).otherwise(F.lit(0))
 
 
 def _token(rank: Column, i: Column, n: int) -> Column:
@@ -81,13 +81,23 @@ def _places(n: int) -> Column:
     return F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0)))
 
 
-def _tokens(ranks: Column, n: int) -> Column:
-    """The distinct tokens of ``words``, rarest first."""
-    return F.sort_array(F.array_distinct(F.transform(_places(n), lambda i: _token(_rank(ranks, F.get("words", i)), i, n))))
+def _tokens(n: int) -> Column:
+    """The distinct tokens of ``words``, in order; ``words`` alone is named, as a column named once would be computed again for each token."""
+    return F.sort_array(F.array_distinct(F.transform(_places(n), lambda i: _token(_rank(F.get("words", i)), i, n))))
+
+
+def _ranked(lines: DataFrame, *keep: str) -> DataFrame:
+    words = lines.select(*keep, F.split("line", " ").alias("words"))
+    return words.select(*keep, "words", F.transform("words", _rank).alias("r"))
 
 
-def _posts(lines: DataFrame, ranks: Column, n: int, percent: int) -> DataFrame:
-    """``(id, token)``: the tokens of each line's prefix, and some more.
+def _lines(docs: DataFrame, doc_id: str, text: str, salt: int = 0) -> DataFrame:
+    """``(k, words, r)``: lines by the hash of their words, their words, and the ranks of these."""
+    return _ranked(_tidied(docs, doc_id, text, salt), "k")
+
+
+def _posts(lines: DataFrame, n: int, percent: int) -> DataFrame:
+    """``(k, token)``: the tokens of each line's prefix, and some more.
 
     A prefix of p tokens has first words of at most p ranks, the least ones of
     the line, so every token whose first word has one of these is posted.
@@ -95,17 +105,24 @@ def _posts(lines: DataFrame, ranks: Column, n: int, percent: int) -> DataFrame:
     size = F.greatest(F.size("words") - n + 1, F.lit(1))
     firsts = F.sort_array(F.array_distinct(F.slice("r", F.lit(1), size)))
     prefix = size - F.floor((size * percent + 99) / 100).cast("int") + 1
-    least = lines.select("id", "words", F.transform("words", lambda w: _rank(ranks, w)).alias("r"))
-    least = least.select("id", "words", "r", F.get(firsts, F.least(prefix, F.size(firsts)) - 1).alias("limit"))
-    spread = least.select("id", "words", "r", "limit", F.explode(_places(n)).alias("i"))
+    least = lines.select("k", "words", "r", firsts.alias("firsts"), prefix.alias("p"))
+    least = least.select("k", "words", "r", F.get("firsts", F.least("p", F.size("firsts")) - 1).alias("limit"))
+    spread = least.select("k", "words", "r", "limit", F.explode(_places(n)).alias("i"))
     rank = F.get("r", F.col("i"))
-    return spread.where(rank <= F.col("limit")).select("id", _token(rank, F.col("i"), n).alias("token"))
+    return spread.where(rank <= F.col("limit")).select("k", _token(rank, F.col("i"), n).alias("token"))
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for a broadcast where it is not long."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST else ids
 
 
 def _shared(posts: DataFrame) -> DataFrame:
-    """The posts whose token another post has; counts combine before the shuffle, and the join splits a hot token."""
-    several = written(posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "several")
-    return posts.join(several, "token").select("id", "token")
+    """The distinct posts whose token a line of other words has too; ends combine before the shuffle, and the join splits a hot token."""
+    several = written(posts.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("token"), "several")
+    out = written(posts.join(_few(several), "token").select("token", F.col("k").alias("id")).distinct(), "shared")
+    discard(several)
+    return out
 
 
 def _parity(half: int) -> Column:
@@ -143,7 +160,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, spelling: DataFrame, n: int, per
     """Of distinct pairs ``(id, fid)``, the later lines (of ids ``id``) that are similar to the earlier one, by their words."""
     pairs = written(pairs, "pairs")
     ids = written(pairs.select("id").unionByName(pairs.select(F.col("fid").alias("id"))).distinct(), "ids")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST else ids
+    few = _few(ids)
     sets, spelling = sets.join(few, "id", "left_semi"), spelling.join(few, "id", "left_semi")
     a = sets.select("id", F.col("tokens").alias("x"))
     b = sets.select(F.col("id").alias("fid"), F.col("tokens").alias("y"))
@@ -157,15 +174,30 @@ def _similar(pairs: DataFrame, sets: DataFrame, spelling: DataFrame, n: int, per
     return out
 
 
-def _spelling(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(id, doc, no, first, line)``: the words of wanted lines ``(id, doc, row, no, first)``, joined by blanks."""
-    want = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("no", "id", "first")).alias("want"))
-    texts = docs.select(_doc(doc_id).alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text")).where("text is not null")
-    texts = texts.join(want, ["doc", "row"]).groupBy("doc", "row").agg(F.first("text").alias("text"), F.first("want").alias("want"))
-    pick = lambda lines: F.transform("want", lambda w: F.struct(w["id"].alias("id"), w["no"].alias("no"), w["first"].alias("first"), F.get(lines, w["no"]).alias("line")))
-    picked = F.get(F.transform(F.array(F.split("text", "\n")), pick), F.lit(0))  # wanted lines alone, so that no text is copied for each
-    lines = texts.select("doc", F.explode(picked).alias("w")).select("w.id", "doc", "w.no", "w.first", _plain(F.col("w.line")).alias("line"))
-    return lines.withColumn("line", F.array_join(_words("line"), " "))
+def _texts(lines: DataFrame, slim: DataFrame, shared: DataFrame) -> DataFrame:
+    """``(id, line, at, same, near, clash)`` of the hashes that several lines have (``same``) or that have posts (``near``).
+
+    ``at`` is the earliest place; ``clash`` says that lines of other words have the hash too.
+    """
+    same = slim.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k", F.lit(True).alias("same"), F.lit(False).alias("near"))
+    near = shared.select(F.col("id").alias("k")).distinct().select("k", F.lit(False).alias("same"), F.lit(True).alias("near"))
+    wanted = written(same.unionByName(near).groupBy("k").agg(F.max("same").alias("same"), F.max("near").alias("near")), "wanted")
+    found = lines.select("doc", "no", "line", "k").join(_few(wanted), "k")
+    least = found.groupBy("k", "same", "near").agg(F.min("line").alias("line"), F.max("line").alias("other"), F.min(F.struct("doc", "no")).alias("at"))
+    out = written(least.select(F.col("k").alias("id"), "line", "at", "same", "near", (F.col("line") != F.col("other")).alias("clash")), "texts")
+    discard(wanted)
+    return out
+
+
+@contextmanager
+def _few_files(spark: SparkSession):
+    """Small shuffles end in few tasks, as each file an executor writes may start a process or two."""
+    before = spark.conf.get(_PARALLEL, None)
+    spark.conf.set(_PARALLEL, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PARALLEL) if before is None else spark.conf.set(_PARALLEL, before)
 
 
 def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -181,45 +213,34 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     Lines without words, null and empty texts lose nothing. Rows that repeat an
     id and text are one row here. Rows that lose nothing are not returned.
     """
+    with _few_files(docs.sparkSession):
+        return _repeated(docs, doc_id, text, shingle, percent)
+
+
+def _repeated(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
-    lines = written(_lines(docs, doc_id, text).withColumns({"id": F.monotonically_increasing_id(), "k": F.xxhash64("words")}), "lines")
-    ranks = _ranks(lines)
-    every = written(_posts(lines, ranks, shingle, percent), "every")
-    slim = written(lines.select("id", "doc", "row", "no", "k"), "slim")
-    discard(lines)
-    posts = written(_shared(every), "posts")
-    discard(every)
-
-    # lines whose hash an earlier or equal one has; written first, so that a hash with very many lines is split in the join
-    at = F.min(F.struct("doc", "no", "id")).alias("at")
-    equal = written(slim.groupBy("k").agg(at, F.count("*").alias("c")).where("c > 1").select("k", "at"), "equal")
-    copies = slim.join(equal, "k").where("id <> at.id").select("id", "doc", "row", "no", F.col("at.id").alias("first"), (F.struct("doc", "no") > F.struct("at.doc", "at.no")).alias("later"))
-    copies = written(copies, "copies")
-    none = F.lit(None).cast("long").alias("first")
-    wanted = posts.select("id", none).unionByName(copies.select("id", "first")).unionByName(equal.select("at.id", F.col("at.id").alias("first")))
-    wanted = wanted.groupBy("id").agg(F.max("first").alias("first")).join(slim, "id").select("id", "doc", "row", "no", "first")
-    spelling = written(_spelling(docs, wanted, doc_id, text), "spelling")
-    discard(equal)
-    release(spark)
-    first = spelling.where("id = first").select("first", F.col("line").alias("same"))
-    sure = spelling.where("id <> first").join(first, "first").where(F.col("line") == F.col("same")).select("id")
-    copies, old = written(copies.join(sure, "id"), "same"), copies
-    discard(old)
-
-    own = written(posts.join(copies.select("id"), "id", "left_anti").distinct(), "own")
-    discard(posts)
-    posts = written(_shared(own), "shared")
-    discard(own)
-    sets = spelling.join(posts.select("id").distinct(), "id").select("id", "doc", "no", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("words"))
-    sets = sets.select("id", "doc", "no", _tokens(ranks, shingle).alias("tokens"))
+    for salt in count():
+        lines = _tidied(docs, doc_id, text, salt)
+        slim = written(lines.select("doc", "row", "no", "k"), "slim")
+        posts = written(_posts(_lines(docs, doc_id, text, salt), shingle, percent), "posts")
+        shared = _shared(posts)
+        discard(posts)
+        texts = _texts(lines, slim, shared)
+        if texts.where("clash").isEmpty():
+            break
+        discard(slim, shared, texts)  # lines of other words with the same hash: again, with another hash
+    sets = texts.where("near").select("id", "at", F.split("line", " ").alias("words"))
+    sets = sets.select("id", "at.doc", "at.no", _tokens(shingle).alias("tokens"))
     sets = written(sets.select("id", "doc", "no", "tokens", _parity(0).alias("b0"), _parity(1).alias("b1")), "sets")
     release(spark)
 
     # places and sizes for the filters: a token's place is where it stands in its line's order
     names = ["doc", "no", "id", "n", "i", "b0", "b1"]
-    spots = posts.join(sets, "id").select("token", "id", "doc", "no", F.size("tokens").alias("n"), F.array_position("tokens", F.col("token")).cast("int").alias("i"), "b0", "b1")
+    spots = shared.join(sets, "id").select("token", "id", "doc", "no", F.size("tokens").alias("n"), F.array_position("tokens", F.col("token")).cast("int").alias("i"), "b0", "b1")
     spots = written(spots, "spots")
-    discard(posts)
+    discard(shared)
+    hot = written(spots.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("token"), "hot")
+    some_hot = not hot.isEmpty()
     later = (F.col("doc") > F.col("fdoc")) | ((F.col("doc") == F.col("fdoc")) & (F.col("no") > F.col("fno")))
 
     def earliest(high: int) -> DataFrame:
@@ -227,30 +248,29 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         if high == 1:
             return spots.groupBy("token").agg(F.min(F.struct(*names)).alias("f")).select("token", "f.*")
         part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part")
-        out = spots.select("*", part)
+        out = spots.join(hot, "token", "left_semi").select("*", part)
         for by in (["token", "part"], ["token"]):
             rank = F.row_number().over(Window.partitionBy(*by).orderBy("doc", "no", "id"))
             out = out.withColumn("rank", rank).where(F.col("rank") <= high).drop("rank")
         return out.drop("part")
 
     open_, lost, used = spots, None, []
-    for high in (1, EARLIEST, None):
+    for high in (1, EARLIEST, None) if some_hot else (1, None):
         some = (earliest(high) if high else spots).select("token", *[F.col(c).alias(f"f{c}") for c in names])
         some = written(some, "earliest") if high else some
         pairs = open_.join(some, "token").where(later & _fits(percent)).select("id", "fid").distinct()
-        found = _similar(pairs, sets, spelling, shingle, percent)
+        found = _similar(pairs, sets, texts, shingle, percent)
         used.append(found)
         lost = found if lost is None else lost.unionByName(found)
         if high:
             used.append(some)
             open_ = open_.join(found, "id", "left_anti")
 
-    lost = written(lost, "lost")
-    keys = ["doc", "row", "no"]
-    dropped = slim.join(lost, "id").select(*keys)
-    dropped = dropped.unionByName(copies.where("later").select(*keys)).unionByName(copies.where("not later").join(lost.select(F.col("id").alias("first")), "first").select(*keys))
+    lost = written(lost.distinct().withColumn("gone", F.lit(True)), "lost")
+    marks = texts.select("id", "at", "same").join(lost, "id", "left").where("same or gone")
+    dropped = slim.join(marks.select(F.col("id").alias("k"), "at", "gone"), "k").where(F.col("gone") | (F.struct("doc", "no") > F.struct("at.doc", "at.no")))
     out = settled(dropped.groupBy("doc", "row").agg(F.sort_array(F.collect_set("no")).alias("dropped")))
-    discard(slim, copies, spelling, sets, spots, lost, *used)
+    discard(slim, texts, sets, spots, hot, lost, *used)
     return out
 
 

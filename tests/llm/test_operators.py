@@ -295,6 +295,25 @@ def test_line_dedup_splits_once(spark, docs):
         assert r["fits"] == (100 * len({*r["x"]} & {*r["y"]}) >= 80 * len({*r["x"], *r["y"]}))
 
 
+def test_line_dedup_writes_little(spark, docs, monkeypatch):
+    """Small shuffles end in few files, no table holds the words of all lines, and the session is left as it was."""
+    key, seen = "spark.sql.adaptive.coalescePartitions.parallelismFirst", []
+    before, write = spark.conf.get(key), linededup.written
+    monkeypatch.setattr(linededup, "written", lambda df, tag: seen.append((tag, spark.conf.get(key), "words" in df.columns)) or write(df, tag))
+    linededup.line_report(docs).count()
+    assert seen and all(held == "false" and not words for _, held, words in seen), seen
+    assert spark.conf.get(key) == before
+
+
+def test_line_dedup_same_hash(spark, monkeypatch):
+    """Lines of other words with one hash are told apart with another hash."""
+    df = spark.createDataFrame([(1, "a b\nc d e f g h"), (2, "c d e f g h\nx y"), (3, "a  b"), (4, None)], "doc_id bigint, text string")
+    tidied, salts = linededup._tidied, []
+    monkeypatch.setattr(linededup, "_tidied", lambda docs, doc_id, text, salt=0: salts.append(salt) or tidied(docs, doc_id, text, salt).withColumn("k", F.when(F.lit(salt == 0), F.lit(7).cast("long")).otherwise(F.col("k"))))
+    assert [(r["doc_id"], r["removed"]) for r in linededup.line_report(df).orderBy("doc_id").collect()] == [(1, ""), (2, "0"), (3, "0"), (4, "")]
+    assert sorted({*salts}) == [0, 1]
+
+
 def test_line_dedup_is_native(docs):
     plan = linededup.line_report(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
