@@ -2,11 +2,13 @@
 
 Lines are told apart by a hash of their words, so equal lines are one from the
 start; the words of lines that share a hash are compared, and all is done again
-with another hash should they differ. The tokens of a line are its word
-shingles, ordered by their first word (short ones last, then by hash). Two lines
-that are similar enough share a token in their prefixes, so only prefixes are
+with another hash should they differ. A line is the set of its word shingles.
+Shingles are ordered by the least rank among the first words of the grams (three
+words in a row) that they hold, long words first. Two lines that are similar
+enough share a shingle in their prefixes, and with it the gram of that word, so
+a gram stands for several neighbouring shingles and only grams of prefixes are
 posted; posted tokens that no other line has are dropped. Candidates pass
-length, positional and bitmap filters and a comparison of token sets, each line
+length and bitmap filters and a comparison of shingle sets, each line
 first against the earliest line of its tokens, and only the lines that stay open
 against the others: a group of similar lines is not spelt out in pairs. Hashes
 of 64 bits only filter: the words themselves, which are fetched for repeated
@@ -25,8 +27,10 @@ from factspan.llm.tables import discard, fresh, release, settled, written
 
 SHINGLE = 5
 PERCENT = 80
-#: Words of fewer bytes come last in the order of tokens.
-SHORT = 5
+#: Words that begin at one of the places that a line posts; a shingle holds several such grams, and its neighbours the same ones.
+GRAM = 3
+#: Words of as many bytes or more come first in the order, shorter ones by their size.
+LONG = 15
 #: A line is compared with the earliest line of each of its tokens, then with this many of each hot token, then with all.
 EARLIEST = 16
 #: Tokens with more lines than this are hot.
@@ -66,24 +70,21 @@ def _tidied(docs: DataFrame, doc_id: str, text: str, salt: int = 0) -> DataFrame
     return lines.select("doc", "row", "no", _tidy("raw").alias("line")).withColumn("k", F.xxhash64(F.lit(salt), "line"))
 
 
-def _rank(word: Column) -> Column:
-    """A word's place in the order, of 16 bits: short words, which tend to be common, come last."""
-    return F.shiftrightunsigned(F.xxhash64(word), 49).cast("int") + F.when(F.octet_length(word) < SHORT, F.lit(1 << 15)).otherwise(F.lit(0))
+def _rank(word: Column, i: Column) -> Column:
+    """A word's rank over its place ``i`` (32 bits): long words, which tend to be rare, come first, then by hash."""
+    spare = (F.lit(LONG) - F.least(F.octet_length(word), F.lit(LONG))).cast("long") * F.lit(1 << 59)
+    return spare + F.xxhash64(word).bitwiseAND(F.lit((1 << 59) - (1 << 32))) + i.cast("long")
 
 
-def _token(rank: Column, i: Column, n: int) -> Column:
-    """The shingle of ``words`` at ``i`` (all words where they are fewer): 16 bits of rank over 47 bits of hash."""
-    shingle = F.xxhash64(*[F.get("words", i + k) for k in range(n)])
-    return rank.cast("long") * F.lit(1 << 47) + F.shiftrightunsigned(F.when(F.size("words") >= n, shingle).otherwise(F.xxhash64("words")), 17)
-
-
-def _places(n: int) -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0)))
+def _grams(n: int) -> Column:
+    """The hashes of each ``n`` words in a row of ``words``, which alone is named, as a column named once would be computed again for each."""
+    places = F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0)))
+    return F.transform(places, lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(n)]))
 
 
 def _tokens(n: int) -> Column:
-    """The distinct tokens of ``words``, in order; ``words`` alone is named, as a column named once would be computed again for each token."""
-    return F.sort_array(F.array_distinct(F.transform(_places(n), lambda i: _token(_rank(F.get("words", i)), i, n))))
+    """The hashes of the distinct shingles of ``words``, ``n`` words at least, in order."""
+    return F.sort_array(F.array_distinct(_grams(n)))
 
 
 def _ranked(lines: DataFrame, *keep: str) -> DataFrame:
@@ -96,20 +97,45 @@ def _lines(docs: DataFrame, doc_id: str, text: str, salt: int = 0) -> DataFrame:
     return _ranked(_tidied(docs, doc_id, text, salt), "k")
 
 
-def _posts(lines: DataFrame, n: int, percent: int) -> DataFrame:
-    """``(k, token)``: the tokens of each line's prefix, and some more.
+def _covered(places: str, size: str, reach: int) -> Column:
+    """Of ``size`` shingles, how many begin at one of ``places`` (sorted, from 1) or less than ``reach`` before."""
+    high, low = F.lit(1 << 32), F.lit((1 << 32) - 1)  # the sum over the last place
+    step = lambda x, i: x + (F.least(i, size) - F.greatest(x.bitwiseAND(low), i - reach)) * high + F.least(i, size) - x.bitwiseAND(low)
+    return F.shiftright(F.aggregate(places, F.lit(0).cast("long"), step), 32)
+
+
+def _posts(lines: DataFrame, n: int, percent: int, *keep: str) -> DataFrame:
+    """``(*keep, k, token)``: a row for each line with null ``token``, and one with null ``keep`` for each gram that it posts.
 
-    A prefix of p tokens has first words of at most p ranks, the least ones of
-    the line, so every token whose first word has one of these is posted.
+    A shingle counts as the least rank of the words that begin a gram in it.
+    The ``limit`` of a line is a rank that more of its shingles are within than
+    a similar line can lack, so of the shingles that two similar lines share,
+    the one that counts least is within the limits of both, and both post its
+    gram. Shingles that hold the first place of one of the least ranks of a line
+    are all different, as that place is at another offset or has another rank;
+    where too few are found by these, all grams are posted. Lines of fewer words
+    than a shingle's are similar to equal ones only.
     """
-    size = F.greatest(F.size("words") - n + 1, F.lit(1))
-    firsts = F.sort_array(F.array_distinct(F.slice("r", F.lit(1), size)))
-    prefix = size - F.floor((size * percent + 99) / 100).cast("int") + 1
-    least = lines.select("k", "words", "r", firsts.alias("firsts"), prefix.alias("p"))
-    least = least.select("k", "words", "r", F.get("firsts", F.least("p", F.size("firsts")) - 1).alias("limit"))
-    spread = least.select("k", "words", "r", "limit", F.explode(_places(n)).alias("i"))
-    rank = F.get("r", F.col("i"))
-    return spread.where(rank <= F.col("limit")).select("k", _token(rank, F.col("i"), n).alias("token"))
+    g = min(GRAM, n)
+    reach = n - g + 1
+    at, place = F.col("i"), F.lit((1 << 32) - 1)
+    size = F.size("words") - n + 1
+    prefix = lambda m: m - F.floor((m * percent + 99) / 100).cast("int") + 1
+    lines = lines.select(*keep, "k", "words", "r", size.cast("long").alias("size"), F.when(size > 0, prefix(size)).alias("need"))
+    lines = lines.withColumn("few", F.ceil(F.col("need") * 5 / (4 * reach)).cast("int") + 1)
+    least = F.slice(F.sort_array(F.slice("r", F.lit(1), F.col("size").cast("int") + reach - 1)), F.lit(1), F.col("few"))
+    lines = lines.withColumn("least", F.when(F.col("need").isNotNull(), least))
+    rank = lambda x: F.shiftright(x, 32)
+    firsts = F.filter("least", lambda x, j: (j == 0) | (rank(x) != rank(F.get("least", j - 1))))
+    lines = lines.withColumn("spots", F.sort_array(F.transform(firsts, lambda x: x.bitwiseAND(place) + 1)))
+    limit = F.when(_covered("spots", "size", reach) >= F.col("need"), F.get("least", F.size("least") - 1).bitwiseOR(place))
+    lines = lines.select(*keep, "k", "words", "r", "need", limit.alias("limit"))
+    lines = lines.withColumn("every", F.when(F.col("need").isNotNull() & F.col("limit").isNull(), F.array_distinct(_grams(g))))
+    last = F.when(F.col("need").isNull(), -1).when(F.col("every").isNotNull(), F.size("every") - 1).otherwise(F.size("words") - g)
+    spread = lines.select(*keep, "k", "words", "r", "limit", "every", F.explode(F.sequence(F.lit(-1), last)).alias("i"))
+    posted = spread.where((at < 0) | F.col("every").isNotNull() | (F.get("r", at) <= F.col("limit")))
+    gram = F.when(F.col("every").isNotNull(), F.get("every", at)).otherwise(F.xxhash64(*[F.get("words", at + j) for j in range(g)]))
+    return posted.select(*[F.when(at < 0, F.col(c)).alias(c) for c in keep], "k", F.when(at >= 0, gram).alias("token"))
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -133,16 +159,15 @@ def _parity(half: int) -> Column:
 
 
 def _fits(percent: int) -> Column:
-    """Length, positional and bitmap filters on a pair (``n``, ``i``, ``b0``, ``b1`` and the same with ``f``).
+    """Length and bitmap filters on a pair (``n``, ``b0``, ``b1`` and the same with ``f``).
 
     Sets that are similar enough differ in few tokens, and bits of their
     parities that differ are at most as many.
     """
     total = F.col("n") + F.col("fn")
     length = 100 * F.least("n", "fn") >= percent * F.greatest("n", "fn")
-    reach = F.least("i", "fi") + F.least(F.col("n") - F.col("i"), F.col("fn") - F.col("fi"))
     apart = F.bit_count(F.col("b0").bitwiseXOR(F.col("fb0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("fb1")))
-    return length & ((100 + percent) * reach >= percent * total) & ((100 + percent) * apart <= (100 - percent) * total)
+    return length & ((100 + percent) * apart <= (100 - percent) * total)
 
 
 def _enough(x: Column, y: Column, percent: int) -> Column:
@@ -156,21 +181,21 @@ def _spelt(words: str, n: int) -> Column:
     return F.when(F.size(words) >= n, F.array_distinct(spelt)).otherwise(F.array(F.array_join(words, " ")))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, spelling: DataFrame, n: int, percent: int) -> DataFrame:
+def _similar(pairs: DataFrame, spelling: DataFrame, n: int, percent: int) -> DataFrame:
     """Of distinct pairs ``(id, fid)``, the later lines (of ids ``id``) that are similar to the earlier one, by their words."""
     pairs = written(pairs, "pairs")
     ids = written(pairs.select("id").unionByName(pairs.select(F.col("fid").alias("id"))).distinct(), "ids")
-    few = _few(ids)
-    sets, spelling = sets.join(few, "id", "left_semi"), spelling.join(few, "id", "left_semi")
+    sets = spelling.join(_few(ids), "id", "left_semi").select("id", "line", F.split("line", " ").alias("words"))
+    sets = written(sets.select("id", "line", _tokens(n).alias("tokens")), "tokens")
     a = sets.select("id", F.col("tokens").alias("x"))
     b = sets.select(F.col("id").alias("fid"), F.col("tokens").alias("y"))
     likely = pairs.join(a, "id").join(b, "fid").where(_enough(F.col("x"), F.col("y"), percent)).select("id", "fid")
-    a = spelling.select("id", F.split("line", " ").alias("x"))
-    b = spelling.select(F.col("id").alias("fid"), F.split("line", " ").alias("y"))
+    a = sets.select("id", F.split("line", " ").alias("x"))
+    b = sets.select(F.col("id").alias("fid"), F.split("line", " ").alias("y"))
     both = likely.join(a, "id").join(b, "fid")
     fine = F.transform(F.array(F.struct(_spelt("x", n).alias("x"), _spelt("y", n).alias("y"))), lambda p: _enough(p["x"], p["y"], percent))
     out = written(both.where(F.get(fine, 0)).select("id").distinct(), "found")
-    discard(pairs, ids)
+    discard(pairs, ids, sets)
     return out
 
 
@@ -221,23 +246,20 @@ def _repeated(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: in
     spark = docs.sparkSession
     for salt in count():
         lines = _tidied(docs, doc_id, text, salt)
-        slim = written(lines.select("doc", "row", "no", "k"), "slim")
-        posts = written(_posts(_lines(docs, doc_id, text, salt), shingle, percent), "posts")
-        shared = _shared(posts)
-        discard(posts)
+        posts = written(_posts(_ranked(lines, "doc", "row", "no", "k"), shingle, percent, "doc", "row", "no"), "posts")
+        slim = posts.where("token is null").select("doc", "row", "no", "k")
+        shared = _shared(posts.where("token is not null"))
         texts = _texts(lines, slim, shared)
         if texts.where("clash").isEmpty():
             break
-        discard(slim, shared, texts)  # lines of other words with the same hash: again, with another hash
+        discard(posts, shared, texts)  # lines of other words with the same hash: again, with another hash
     sets = texts.where("near").select("id", "at", F.split("line", " ").alias("words"))
     sets = sets.select("id", "at.doc", "at.no", _tokens(shingle).alias("tokens"))
-    sets = written(sets.select("id", "doc", "no", "tokens", _parity(0).alias("b0"), _parity(1).alias("b1")), "sets")
+    sets = written(sets.select("id", "doc", "no", F.size("tokens").alias("n"), _parity(0).alias("b0"), _parity(1).alias("b1")), "sets")
     release(spark)
 
-    # places and sizes for the filters: a token's place is where it stands in its line's order
-    names = ["doc", "no", "id", "n", "i", "b0", "b1"]
-    spots = shared.join(sets, "id").select("token", "id", "doc", "no", F.size("tokens").alias("n"), F.array_position("tokens", F.col("token")).cast("int").alias("i"), "b0", "b1")
-    spots = written(spots, "spots")
+    names = ["doc", "no", "id", "n", "b0", "b1"]
+    spots = written(shared.join(sets, "id").select("token", *names), "spots")
     discard(shared)
     hot = written(spots.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("token"), "hot")
     some_hot = not hot.isEmpty()
@@ -259,7 +281,7 @@ def _repeated(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: in
         some = (earliest(high) if high else spots).select("token", *[F.col(c).alias(f"f{c}") for c in names])
         some = written(some, "earliest") if high else some
         pairs = open_.join(some, "token").where(later & _fits(percent)).select("id", "fid").distinct()
-        found = _similar(pairs, sets, texts, shingle, percent)
+        found = _similar(pairs, texts, shingle, percent)
         used.append(found)
         lost = found if lost is None else lost.unionByName(found)
         if high:
@@ -270,7 +292,7 @@ def _repeated(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: in
     marks = texts.select("id", "at", "same").join(lost, "id", "left").where("same or gone")
     dropped = slim.join(marks.select(F.col("id").alias("k"), "at", "gone"), "k").where(F.col("gone") | (F.struct("doc", "no") > F.struct("at.doc", "at.no")))
     out = settled(dropped.groupBy("doc", "row").agg(F.sort_array(F.collect_set("no")).alias("dropped")))
-    discard(slim, texts, sets, spots, hot, lost, *used)
+    discard(posts, texts, sets, spots, hot, lost, *used)
     return out
 
 

@@ -314,6 +314,39 @@ def test_line_dedup_same_hash(spark, monkeypatch):
     assert sorted({*salts}) == [0, 1]
 
 
+def test_line_dedup_few_grams(spark):
+    """Lines post about half as many grams as their prefixes have shingles, repetitive ones each gram once, and no similar pair is lost."""
+    rng = random.Random(5)
+    plain = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(36)) for _ in range(200)]
+    lines = spark.createDataFrame([(t, i) for i, t in enumerate([*plain, "a b " * 500 + "c", "a b c d"])], "line string, k bigint")
+    posts = Counter(r["k"] for r in linededup._posts(linededup._ranked(lines, "k"), 5, 80).where("token is not null").collect())
+    assert sum(posts[i] for i in range(200)) <= 200 * 5 and posts[200] == 3 and 201 not in posts, posts
+
+    def bent(w):  # a few words changed, moved, stuttered or cut
+        w, at = [*w], rng.randrange(len(w))
+        kind, size = rng.randrange(5), rng.randint(1, 1 + len(w) // 8)
+        if kind == 0:
+            w[at] = rng.choice(w)
+        elif kind == 1:
+            w = w[at:] + w[:at]
+        elif kind == 2:
+            w = w[:at] + w[max(0, at - size) : at] + w[at:]
+        else:
+            w = w[size:] if kind == 3 else w[:-size]
+        return w or ["x"]
+
+    rows = []
+    for words in (2, 4, 12, 400):
+        for _ in range(12):
+            base = [f"word{rng.randrange(words)}" * rng.randint(1, 2) for _ in range(rng.choice([5, 6, 9, 14, 30, 60, 120, 200]))]
+            base = (base[: rng.randint(1, 12)] * len(base))[: len(base)] if rng.random() < 0.3 else base
+            rows += [(len(rows) + j, " ".join(w)) for j, w in enumerate([base, *[bent(base) for _ in range(5)], bent(bent(base))])]
+    sets = [({tuple(w[a : a + 5]) for a in range(len(w) - 4)} or {tuple(w)}) for w in (t.split() for _, t in rows)]
+    gone = [i for i, s in enumerate(sets) if any(100 * len(s & q) >= 80 * len(s | q) for q in sets[:i])]
+    got = linededup.line_report(spark.createDataFrame(rows, "doc_id bigint, text string")).where("n_removed = 1").collect()
+    assert len(gone) > 60 and sorted(r["doc_id"] for r in got) == gone
+
+
 def test_line_dedup_is_native(docs):
     plan = linededup.line_report(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
